@@ -140,3 +140,24 @@ def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     low = LOWER[raw]
     starts, ends, border = spans(ALNUM[low], at)
     return starts, ends, border, word_hashes(low, starts, ends)
+
+
+def mapped(docs: DataFrame, each, fields: str, id_col: str | None = None, text_col: str = "text") -> DataFrame:
+    """Columns that each(texts) gives for Arrow batches of whole texts, beside what is kept of the row.
+
+    With id_col, that column is kept, as doc_id; without, the whole row, as the struct `row`, whatever its
+    columns are called. each takes an Arrow array of texts and returns a list of Arrow arrays, in fields' order.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    kept = F.col(id_col).cast("long").alias("doc_id") if id_col else F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    chosen = docs.select(kept, F.col(text_col).cast("string").alias("text_"))
+    schema = T.StructType([chosen.schema[0], *T.StructType.fromDDL(fields).fields])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *each(batch.column(1))], names=names)
+
+    return chosen.mapInArrow(run, schema)

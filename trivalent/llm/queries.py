@@ -5,17 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivalent.llm import golay_simhash
+from trivalent.llm import golay_simhash, quality_rules, suffix_decontam
 from trivalent.llm.common import table
 
 
+def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality_rules.passes("base")).alias("base_failed"),
+        quality_rules.passes("v2").alias("kept"), "n_lines", "n_upper", "n_exclaim", "n_digits", "failed",
+    )
+
+
+def op7_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        F.expr(suffix_decontam.CONTAMINATED).alias("contaminated"), "longest_words", "longest_at",
+    )
+
+
 def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = golay_simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", golay_simhash.as_hex("print").alias("fingerprint"), "component_id", "n_links")
 
 
 QUERIES = {
+    "op4_quality_ledger": op4_quality_ledger,
+    "op7_suffix_decontam": op7_suffix_decontam,
     "op9_simhash_golay": op9_simhash_golay,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_ledger": quality_rules.SQL,
+}
