@@ -5,7 +5,8 @@ is set where rule r failed. Versioned policies are masks over those bits: applyi
 reads the ledger alone. `ablation` groups the ledger by the failed bits that a policy looks at, a table of at
 most 2^rules rows, and counts from it what each rule alone rejects and what it would keep if dropped.
 
-Everything happens within a row; there is no shuffle before the small group-by of the ablation. Repeated
+Everything happens within a row; there is no shuffle before the small group-by of the ablation. The ledger is
+stored, so that filters on it never evaluate the rules again. Repeated
 5-word windows are found by hash; a text without any (the common case) is told by its distinct hashes, and
 only the others are sorted.
 
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trivalent.llm.common import stored
+
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -69,7 +72,7 @@ def _repeats(words: str, hashes: str) -> Column:
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the measurements, and failed: the bits of the rules that the text fails."""
+    """doc_id, the measurements, and failed: the bits of the rules that the text fails; written once, as Parquet in the shared folder."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     split = texts.withColumn("w", F.array_remove(F.split("t", SPACE), "")).withColumn("lines", F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     n = F.size("w")
@@ -87,7 +90,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         _count("t", "0123456789").cast("long").alias("n_digits"),
     )
     failed = sum((F.when(F.expr(test), F.lit(BIT[name])).otherwise(0).cast("long") for name, test in RULES), F.lit(0).cast("long"))
-    return measured.withColumn("failed", failed)
+    return stored(measured.withColumn("failed", failed), "ledger")
 
 
 def passes(policy: str) -> Column:
