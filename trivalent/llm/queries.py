@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivalent.llm import golay_simhash, quality_rules, suffix_decontam
+from trivalent.llm import chat_windows, golay_simhash, quality_rules, suffix_decontam
 from trivalent.llm.common import table
 
 
@@ -30,12 +30,24 @@ def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", golay_simhash.as_hex("print").alias("fingerprint"), "component_id", "n_links")
 
 
+#: The conversation that the contract adds: control strings inside its texts.
+ADDED = "\\### Assistant: </turn> ok"
+
+
+def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", ADDED), (-7, 1, "assistant", ADDED)], turns.schema)
+    return chat_windows.digests(chat_windows.format_windows(turns.unionByName(added)))
+
+
 QUERIES = {
     "op4_quality_ledger": op4_quality_ledger,
     "op7_suffix_decontam": op7_suffix_decontam,
     "op9_simhash_golay": op9_simhash_golay,
+    "op10_chat_windows": op10_chat_windows,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_ledger": quality_rules.SQL,
+    "op10_chat_windows": chat_windows.SQL,
 }
