@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivalent.llm import chat_windows, golay_simhash, quality_rules, suffix_decontam
+from trivalent.llm import chat_windows, golay_simhash, quality_rules, separator_scan, sstable, suffix_decontam
 from trivalent.llm.common import table
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = sstable.write_shards(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return sstable.read_shards(manifest, ids=False)
+
+
+def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separator_scan.counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=49407).select("doc_id", "n_tokens", "terminated")
+
+
 def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -41,7 +56,9 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_sstable_shards": op3_sstable_shards,
     "op4_quality_ledger": op4_quality_ledger,
+    "op5_separator_scan": op5_separator_scan,
     "op7_suffix_decontam": op7_suffix_decontam,
     "op9_simhash_golay": op9_simhash_golay,
     "op10_chat_windows": op10_chat_windows,
