@@ -161,3 +161,33 @@ def mapped(docs: DataFrame, each, fields: str, id_col: str | None = None, text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), *each(batch.column(1))], names=names)
 
     return chosen.mapInArrow(run, schema)
+
+
+class HashIndex:
+    """Places, from 1, of 64-bit hashes in a fixed set; 0 for hashes outside it. One look-up in a table of top bits."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[self.order]
+        bits = max(10, int(len(hashes)).bit_length() + 5)
+        self.shift = np.uint64(64 - bits)
+        slots = (self.hashes >> self.shift).astype(np.int64)
+        self.table = np.zeros(1 << bits, np.int32)
+        self.table[slots] = np.arange(1, len(slots) + 1)
+        taken, times = np.unique(slots, return_counts=True)
+        self.table[taken[times > 1]] = -1
+        self.place = np.concatenate([[0], self.order + 1]).astype(np.int32)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int32)
+        found = self.table[(hashes >> self.shift).astype(np.int64)]
+        if len(crowded := np.flatnonzero(found < 0)):
+            found[crowded] = np.minimum(np.searchsorted(self.hashes, hashes[crowded]), len(self.hashes) - 1) + 1
+        found[self.hashes[found - 1] != hashes] = 0
+        return self.place[found]
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, so many."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())

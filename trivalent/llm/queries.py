@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivalent.llm import chat_windows, golay_simhash, quality_rules, separator_scan, sstable, suffix_decontam
+from trivalent.llm import chat_windows, golay_simhash, language_id, license_join, quality_rules, separator_scan, sstable, suffix_decontam
 from trivalent.llm.common import table
 
 
@@ -15,6 +15,20 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Rows of this remainder are held out of language identification: crc32(doc_id) mod 5 = 0.
+LANGUAGE_FOLD = (5, 0)
+
+
+def language_profiles(docs: DataFrame):
+    return language_id.train(docs, ~language_id.held_out("doc_id", *LANGUAGE_FOLD))
+
+
+def op1_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_profiles(docs))
+    return found.select("doc_id", language_id.held_out("doc_id", *LANGUAGE_FOLD).alias("held_out"), "lang_pred", "score", "distance")
+
+
 def op3_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = sstable.write_shards(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return sstable.read_shards(manifest, ids=False)
@@ -40,6 +54,14 @@ def op7_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_join.license_scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"),
+        "score", F.size("matches").cast("long").alias("n_matches"),
+    )
+
+
 def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = golay_simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", golay_simhash.as_hex("print").alias("fingerprint"), "component_id", "n_links")
@@ -56,10 +78,12 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_rank_order_language": op1_rank_order_language,
     "op3_sstable_shards": op3_sstable_shards,
     "op4_quality_ledger": op4_quality_ledger,
     "op5_separator_scan": op5_separator_scan,
     "op7_suffix_decontam": op7_suffix_decontam,
+    "op8_license_join": op8_license_join,
     "op9_simhash_golay": op9_simhash_golay,
     "op10_chat_windows": op10_chat_windows,
 }

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trivalent.llm.common import mapped, spans, stored, text_slices, words_of
+from trivalent.llm.common import HashIndex, mapped, ranges, spans, stored, text_slices, words_of
 
 WINDOW = 13
 #: Packed benchmark bytes up to which it is broadcast.
@@ -35,11 +35,6 @@ PACK_BYTES = 1 << 20
 FIELDS = "n_words long, n_hit long, items array<string>, longest_words long, longest_at long"
 
 
-def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for each start, so many."""
-    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-
-
 def _keys(ranks: np.ndarray, at: np.ndarray, ends: np.ndarray, depth: int, fill: int = 0) -> np.ndarray:
     """The ranks from each place on, to its end, as fixed-width byte strings that sort as the suffixes do."""
     index = at[:, None] + np.arange(depth)
@@ -61,7 +56,7 @@ def pack(ids: list[str | None], texts: pa.Array, window: int = WINDOW) -> Iterat
         n = np.diff(border)
         wide = np.minimum(n, window)
         windows = np.where(n > 0, n - wide + 1, 0)
-        starts = _ranges(border[:-1], windows)
+        starts = ranges(border[:-1], windows)
         item = np.repeat(np.arange(b - a), windows)
         length = wide[item]
         low = _keys(ranks, starts, starts + length, window)
@@ -70,29 +65,13 @@ def pack(ids: list[str | None], texts: pa.Array, window: int = WINDOW) -> Iterat
         order = np.argsort(of, kind="stable")
         short = np.zeros(len(vocabulary) + 1, bool)
         short[ranks[starts[length < window]]] = True
-        bits = max(10, int(len(vocabulary)).bit_length() + 6)
-        slots = (vocabulary >> np.uint64(64 - bits)).astype(np.int64)
-        table = np.zeros(1 << bits, np.int32)
-        table[slots] = np.arange(1, len(slots) + 1)
-        taken, times = np.unique(slots, return_counts=True)
-        table[taken[times > 1]] = -1
         yield {
-            "ids": ids[a:b], "vocabulary": vocabulary, "table": table, "shift": 64 - bits, "low": low[first], "high": high[first],
+            "ids": ids[a:b], "vocabulary": HashIndex(vocabulary), "low": low[first], "high": high[first],
             "length": length[first], "of_item": item[order], "of_offset": (starts - border[item])[order],
             "of_border": np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(first)))]), "short": short, "least": int(length.min()), "window": window,
         }
 
 
-def rank(block: dict, hashes: np.ndarray) -> np.ndarray:
-    """Each word's place in the block's vocabulary, from 1, or 0."""
-    vocabulary = block["vocabulary"]
-    found = block["table"][(hashes >> np.uint64(block["shift"])).astype(np.int64)]
-    if len(crowded := np.flatnonzero(found < 0)):
-        found[crowded] = np.minimum(np.searchsorted(vocabulary, hashes[crowded]), len(vocabulary) - 1) + 1
-    found[vocabulary[found - 1] != hashes] = 0
-    return found
-
-
 def suffix_array(block: dict, ranks: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys and places of all suffixes of the shard that some test suffix could match."""
     starts, ends, _ = spans(ranks > 0, border)
@@ -100,7 +79,7 @@ def suffix_array(block: dict, ranks: np.ndarray, border: np.ndarray) -> tuple[np
     long = ends - starts >= least
     starts, ends = starts[long], ends[long]
     count = ends - starts - least + 1
-    at, until = _ranges(starts, count), np.repeat(ends, count)
+    at, until = ranges(starts, count), np.repeat(ends, count)
     if least < window:
         fit = (until - at >= window) | block["short"][ranks[at]]
         at, until = at[fit], until[fit]
@@ -113,7 +92,7 @@ def occurrences(block: dict, keys: np.ndarray, places: np.ndarray) -> tuple[np.n
     """(place, window) of every occurrence of every window in the shard."""
     low = np.searchsorted(keys, block["low"], "left")
     n = np.searchsorted(keys, block["high"], "right") - low
-    return places[_ranges(low, n)], np.repeat(np.arange(len(n)), n)
+    return places[ranges(low, n)], np.repeat(np.arange(len(n)), n)
 
 
 def _longest(doc: np.ndarray, item: np.ndarray, offset: np.ndarray, place: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +119,7 @@ def scan(texts: pa.Array, blocks: Callable[[], Iterator[dict]]) -> list[pa.Array
         found: list[set[str]] = [set() for _ in range(b - a)]
         most, where = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)
         for block in blocks():
-            place, window = occurrences(block, *suffix_array(block, rank(block, hashes), border))
+            place, window = occurrences(block, *suffix_array(block, block["vocabulary"](hashes), border))
             if not len(place):
                 continue
             length = block["length"][window]
@@ -148,7 +127,7 @@ def scan(texts: pa.Array, blocks: Callable[[], Iterator[dict]]) -> list[pa.Array
             np.add.at(marks, place + length, -1)
             doc = np.searchsorted(border, place, "right") - 1
             n = np.diff(block["of_border"])[window]
-            of = _ranges(block["of_border"][window], n)
+            of = ranges(block["of_border"][window], n)
             item, offset = block["of_item"][of], block["of_offset"][of]
             doc, place, length = np.repeat(doc, n), np.repeat(place, n), np.repeat(length, n)
             for d, i in np.unique(np.stack([doc, item], 1), axis=0).tolist():
