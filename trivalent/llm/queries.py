@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivalent.llm import chat_windows, golay_simhash, language_id, license_join, quality_rules, separator_scan, sstable, suffix_decontam
+from trivalent.llm import chat_windows, golay_simhash, language_id, license_join, mil_quality, quality_rules, separator_scan, sstable, suffix_decontam
 from trivalent.llm.common import table
 
 
@@ -46,6 +46,23 @@ def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rows of this remainder are held out of the quality classifier: crc32(doc_id) mod 4 = 2.
+QUALITY_FOLD = (4, 2)
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> mil_quality.Model:
+    return mil_quality.train(docs, labels, ~language_id.held_out("doc_id", *QUALITY_FOLD))
+
+
+def op6_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = mil_quality.score(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+    return found.select(
+        "doc_id", language_id.held_out("doc_id", *QUALITY_FOLD).alias("held_out"), "score", F.when(F.col("score") >= mil_quality.KEEP_SCORE, 1).otherwise(0).alias("predicted"),
+        "n_passages", "top_passage",
+    )
+
+
 def op7_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -82,6 +99,7 @@ QUERIES = {
     "op3_sstable_shards": op3_sstable_shards,
     "op4_quality_ledger": op4_quality_ledger,
     "op5_separator_scan": op5_separator_scan,
+    "op6_attention_quality": op6_attention_quality,
     "op7_suffix_decontam": op7_suffix_decontam,
     "op8_license_join": op8_license_join,
     "op9_simhash_golay": op9_simhash_golay,
