@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivalent.llm import chat_windows, golay_simhash, language_id, license_join, mil_quality, quality_rules, separator_scan, sstable, suffix_decontam
+from trivalent.llm import chat_windows, golay_simhash, language_id, license_join, mil_quality, quality_rules, sentencepiece_gumbel, separator_scan, sstable, suffix_decontam
 from trivalent.llm.common import table
 
 
@@ -29,6 +29,12 @@ def op1_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out("doc_id", *LANGUAGE_FOLD).alias("held_out"), "lang_pred", "score", "distance")
 
 
+def op2_gumbel_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentencepiece_gumbel.sample(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), ids=False)
+    each = [F.col(f"samples.{c}").alias(c) for c in ("n_pieces", "ids_crc32", "log_prob", "perturbed", "log_inclusion")]
+    return found.select("doc_id", F.size("samples").cast("long").alias("n_samples"), *each, "round_trip")
+
+
 def op3_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = sstable.write_shards(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return sstable.read_shards(manifest, ids=False)
@@ -96,6 +102,7 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_rank_order_language": op1_rank_order_language,
+    "op2_gumbel_sentencepiece": op2_gumbel_sentencepiece,
     "op3_sstable_shards": op3_sstable_shards,
     "op4_quality_ledger": op4_quality_ledger,
     "op5_separator_scan": op5_separator_scan,
