@@ -2,45 +2,98 @@
 
 ASCII white space ends every pre-token of the word-level vocabulary, so a text's ids are those of its pieces in
 order; tests hold this against the library on whole texts. Pieces are remembered as little-endian bytes of their
-ids, and a text's ids are one join of them. The memory is emptied when it holds `remember` pieces.
+ids, and a text's ids are one join of them. The memory has two generations of `remember` pieces: when the younger
+is full it becomes the older, from which pieces that recur come back.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 
+#: The byte-level alphabet of the vocabulary: printable bytes stand for themselves, the others for the code points from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PLAIN)}
+_MARKS = ".,;:!?"
+
+
 class PieceEncoder:
-    def __init__(self, path: str, special_as_text: bool = False, remember: int = 300_000) -> None:
+    def __init__(self, path: str, special_as_text: bool = False, remember: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.remember = remember
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def _whole(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _learn(self, pieces: list[bytes]) -> None:
-        for i in range(0, len(pieces), 10_000):
-            some = pieces[i : i + 10_000]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in some], add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(found.ids, self.dtype).tobytes()
+        """Lower-case Latin words, with or without marks after them, are one pre-token and one of marks, which normalising leaves alone: the model takes them many at once."""
+        rest, easy = [], []
+        for piece in pieces:
+            text = piece.decode("utf-8")
+            word = text.rstrip(_MARKS)
+            if word.isalpha() and word.islower():
+                if word.isascii():
+                    letters = word
+                elif max(word) < "\u0250" and word == word.lower() and unicodedata.is_normalized("NFC", word):
+                    letters = "".join([_ALPHABET[b] for b in word.encode()])
+                else:
+                    rest.append(piece)
+                    continue
+                marks = text[len(word) :]
+                if marks not in self.marks:
+                    self.marks[marks] = self._whole([marks])[0]
+                easy.append((piece, letters, self.marks[marks]))
+            else:
+                rest.append(piece)
+        for i in range(0, len(easy), 10_000):
+            some = easy[i : i + 10_000]
+            found = self.plain.encode(" ".join([letters for _, letters, _ in some]), add_special_tokens=False)
+            at = (np.searchsorted(np.array(found.word_ids), np.arange(len(some) + 1)) * self.dtype.itemsize).tolist()
+            ids = np.array(found.ids, self.dtype).tobytes()
+            self.known.update((piece, ids[a:b] + marks) for (piece, _, marks), a, b in zip(some, at, at[1:], strict=False))
+        for i in range(0, len(rest), 10_000):
+            some = rest[i : i + 10_000]
+            self.known.update(zip(some, self._whole([p.decode("utf-8") for p in some]), strict=True))
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, as bytes of self.dtype."""
+        for group in self._groups(texts):
+            new = {p for pieces in group for p in pieces}.difference(self.known)
+            if len(self.known) + len(new) > self.remember:
+                self.known, self.older = {}, self.known
+                new = {p for pieces in group for p in pieces}
+            again = new.intersection(self.older)
+            self.known.update((p, self.older[p]) for p in again)
+            self._learn(list(new - again))
+            for pieces in group:
+                yield b"".join(map(self.known.__getitem__, pieces))
+
+    @staticmethod
+    def _groups(texts: Iterable[str | None], size: int = 1 << 20) -> Iterator[list[list[bytes]]]:
+        """The pieces of each text, for some texts at a time."""
+        group, held = [], 0
         for text in texts:
             raw = (text or "").encode("utf-8")
-            pieces = (raw if b"<|" in raw else raw.lower()).split()  # case is dropped anyway, but for the names of special tokens
-            if new := set(pieces).difference(self.known):
-                if len(self.known) + len(new) > self.remember:
-                    self.known.clear()
-                    new = set(pieces)
-                self._learn(list(new))
-            yield b"".join(map(self.known.__getitem__, pieces))
+            group.append((raw if b"<|" in raw else raw.lower()).split())  # case is dropped anyway, but for the names of special tokens
+            held += len(raw)
+            if held > size:
+                yield group
+                group, held = [], 0
+        yield group
 
 
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
