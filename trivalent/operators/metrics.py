@@ -87,7 +87,7 @@ def paired_flips(pairs: DataFrame, test: str) -> DataFrame:
 
 def macro_average(cells: DataFrame, value: str, inner: list[str], outer: list[str]) -> DataFrame:
     """The mean of the groups' means, each group counting once."""
-    return cells.groupBy(*outer, *inner).agg(F.avg(value).alias("v_")).groupBy(*outer).agg(F.round(F.avg("v_"), 6).alias(f"macro_{value}"), F.count("*").alias("groups"))
+    return cells.groupBy(*outer, *inner).agg(F.avg(value).alias("v_")).groupBy(*outer).agg(F.round(F.avg("v_"), 4).alias(f"macro_{value}"), F.count("*").alias("groups"))
 
 
 def ranked(cells: DataFrame, value: str, within: list[str], tie: str) -> DataFrame:
