@@ -86,10 +86,10 @@ def scan(files: DataFrame, end_id: int, width: int, block_bytes: int = BLOCK_BYT
 
     found = blocks.repartition("file", "block").mapInArrow(search, "file string, size long, block long, ends array<bigint>")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = found.withColumn("open", F.coalesce(F.max(F.element_at("ends", -1)).over(before) + 1, F.lit(0).cast("long")))
+    carried = found.withColumn("open", F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))).over(before) + 1, F.lit(0).cast("long")))
     carried = carried.withColumn("count", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0).cast("long")))
     last = F.col("block") == F.floor((F.col("size") - 1) / block_bytes)
-    tail = F.coalesce(F.element_at("ends", -1) + 1, F.col("open"))
+    tail = F.coalesce(F.try_element_at("ends", F.lit(-1)) + 1, F.col("open"))
     ids = (F.col("size") / width).cast("long")
     ended = F.transform(
         "ends", lambda e, i: F.struct((F.col("count") + i).alias("nth"), F.when(i == 0, F.col("open")).otherwise(F.get("ends", i - 1) + 1).alias("start"), e.alias("stop"), F.lit(True).alias("terminated"))
