@@ -21,7 +21,7 @@ def wilson(k: Column, n: Column) -> tuple[Column, Column]:
     den = 1 + Z95 * Z95 / F.nullif(n, F.lit(0.0))
     centre = (p + Z95 * Z95 / (2 * F.nullif(n, F.lit(0.0)))) / den
     half = Z95 * F.sqrt(p * (1 - p) / F.nullif(n, F.lit(0.0)) + Z95 * Z95 / (4 * F.nullif(n * n, F.lit(0.0)))) / den
-    return F.when(k == 0, F.lit(0.0) * n).otherwise(centre - half), F.when(k == n, 1.0 + 0.0 * n).otherwise(centre + half)
+    return F.when(n == 0, None).when(k == 0, 0.0).otherwise(centre - half), F.when(n == 0, None).when(k == n, 1.0).otherwise(centre + half)
 
 
 def mcnemar_exact(b: Column, c: Column) -> Column:

@@ -38,7 +38,7 @@ SPACE = "▁"
 SAMPLES = 3
 SEED = 20
 ZIPF_SHIFT = 10.0
-SLICE_CHARS = 2 << 20
+SLICE_CHARS = 3 << 20
 SAMPLE_TYPE = "struct<n_pieces:long,ids_crc32:long,log_prob:double,perturbed:double,log_inclusion:double,ids:array<int>>"
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _UNIT_LINES = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
@@ -121,7 +121,7 @@ class Lattice:
     """The lattices of distinct words, end to end: edges in order of their start, with conditional probabilities."""
 
     def __init__(self, words: list[str], pieces: Pieces) -> None:
-        sizes = np.array([len(w) for w in words], np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
         codes = _codes("".join(words))
@@ -129,8 +129,9 @@ class Lattice:
         total, down = _prefix(codes)
         limit = np.repeat(self.ends, sizes)
         at, to, piece = [], [], []
+        room, place = limit - np.arange(n), np.arange(n)
         for length in range(1, pieces.longest + 1):
-            place = np.flatnonzero(np.arange(n) + length <= limit)
+            place = place[room[place] >= length]
             if not len(place):
                 break
             found = pieces.index(_hash_codes(codes, place, place + length, total, down))
@@ -149,9 +150,8 @@ class Lattice:
         self.raw = np.concatenate([pieces.log_prob[np.concatenate(piece)], pieces.byte_log_prob * lone_bytes])[order]
         self.border = np.searchsorted(self.start, np.arange(n + 1))
         back = np.zeros(n + 1)
-        far = limit - np.arange(n)
-        by_far = np.argsort(far, kind="stable")
-        counts = np.bincount(far)[1:]
+        by_far = np.argsort(room, kind="stable")
+        counts = np.bincount(room)[1:]
         first = np.diff(self.border)
         stops = np.cumsum(counts)
         final = self.end == limit[self.start]
@@ -208,11 +208,25 @@ class Lattice:
         return edges, border
 
 
-def truncated(mean: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
-    """Gumbel variables at mean, truncated at bound."""
-    with np.errstate(over="ignore", divide="ignore"):
-        inner = mean - bound  # log of exp(mean - bound); -log(u) + exp(inner), in logs
-        return mean - np.logaddexp(inner, np.log(-np.log(u)))
+def log_exponential(u: np.ndarray) -> np.ndarray:
+    """The log of an exponential variable: less it, a mean becomes a Gumbel variable."""
+    return np.log(-np.log(u))
+
+
+def truncated(mean: np.ndarray, bound: float, noise: np.ndarray) -> np.ndarray:
+    """Gumbel variables at mean, truncated at bound, from log_exponential noise."""
+    return mean - np.logaddexp(mean - bound, noise)
+
+
+class Walk:
+    """One free segmentation of every word of a slice, with what the search wants of each step: its log-probability, that of all else in its place, and noise by row."""
+
+    def __init__(self, lattice: Lattice, of: np.ndarray, rows: np.ndarray, keys: np.ndarray, row_keys: np.ndarray) -> None:
+        self.edges, self.border = lattice.walk(of, keys)
+        self.log, self.others = lattice.log[self.edges], lattice.others[self.edges]
+        first = self.border[rows]
+        n = np.diff(first)
+        self.noise = log_exponential(uniform(np.repeat(row_keys, n) + (np.arange(first[-1]) - np.repeat(first[:-1], n)).astype(np.uint64) * _M2))
 
 
 def _ids(lattice: Lattice, edges: np.ndarray) -> np.ndarray:
@@ -228,81 +242,97 @@ def sample_slice(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int) ->
     borders = [0]
     for text in texts:
         words = pieces.words(text)
-        for w in words:
-            if w not in known:
-                known[w] = len(known)
+        for w in set(words).difference(known):
+            known[w] = len(known)
         units += map(known.__getitem__, words)
         borders.append(len(units))
     if not known:
-        return [[(np.zeros(0, np.int64), 0.0, float(truncated(np.zeros(1), np.inf, uniform(key[None]))[0]), 0.0)] for key in keys]
+        return [[(np.zeros(0, np.int64), 0.0, float(-log_exponential(uniform(key[None]))[0]), 0.0)] for key in keys]
     lattice = Lattice(list(known), pieces)
     of, border = np.array(units, np.int64), np.array(borders)
     row = np.repeat(np.arange(len(texts)), np.diff(border))
     base = mixed(keys[row] ^ (np.arange(len(of)) - border[row]).astype(np.uint64) * _STEP)
-    fresh = [lattice.walk(of, mixed(base + np.uint64(r))) for r in range(k)]
+    fresh = [Walk(lattice, of, border, mixed(base + np.uint64(r)), mixed(keys ^ np.uint64((r + 1) * int(_M1) & _MASK))) for r in range(k)]
     return [_search(lattice, of, int(a), int(b), fresh, key, k) for a, b, key in zip(border[:-1], border[1:], keys, strict=True)]
 
 
 #: No Gumbel variable drawn here is further than this above its mean: uniform() is at most 1 - 2^-53.
 REACH = 37.0
-CHUNK = 192
+CHUNK = 1024
+_MASK = (1 << 64) - 1
+
+
+def _best(values: np.ndarray, k: int) -> list[float]:
+    return (values if len(values) <= k else np.partition(values, -k)[-k:]).tolist()
 
 
 class _Path:
     """A segmentation that the search fixed: its first steps are its parent's, then come new ones, then a walk of all later words."""
 
-    def __init__(self, walk: tuple[np.ndarray, np.ndarray], first: int, last: int, parent: _Path | None = None, keep: int = 0, new: tuple[int, ...] = (), word: int = 0) -> None:
-        edges, self.border = walk
-        self.first, self.parent, self.keep, self.word, self.offset = first, parent, keep, word, keep + len(new)
-        tail = edges[self.border[first] : self.border[last]]
-        self.edges = np.concatenate([parent.edges[:keep], np.array(new, np.int64), tail]) if parent else tail
-        self.values = np.zeros(0)
+    def __init__(self, walk: Walk, first: int, last: int, parent: _Path | None = None, keep: int = 0, new: tuple[int, ...] = (), word: int = 0) -> None:
+        self.walk, self.first, self.parent, self.keep, self.word, self.offset = walk, first, parent, keep, word, keep + len(new)
+        self.tail = slice(walk.border[first], walk.border[last])
+        self.edges, self.log = walk.edges[self.tail], walk.log[self.tail]
+        self.new = np.array(new, np.int64)
+
+    def join(self, lattice: Lattice) -> None:
+        if self.parent:
+            self.edges = np.concatenate([self.parent.edges[: self.keep], self.new, self.edges])
+            self.log = np.concatenate([self.parent.log[: self.keep], lattice.log[self.new], self.log])
 
     def word_at(self, step: int) -> int:
         if step >= self.offset:
-            return int(np.searchsorted(self.border, self.border[self.first] + step - self.offset, "right")) - 1
+            return int(np.searchsorted(self.walk.border, self.tail.start + step - self.offset, "right")) - 1
         return self.word if step >= self.keep else self.parent.word_at(step)
 
+    def bounds(self, lattice: Lattice, bound: float, best: list[float], k: int, draw) -> None:
+        """Draw the bounds of the nodes that the path leaves behind. A later step's mean is no higher than the prefix before it; once that
+        is too far below the k best bounds known for any draw to reach them, the steps from there on can't be taken, and are left out."""
+        at = self.keep + (self.parent is not None)  # what else could follow at the step where it left its parent is a node of the parent's
+        others, noise = self.walk.others[self.tail], self.walk.noise[self.tail]
+        if len(self.new) > 1:
+            others, noise = np.concatenate([lattice.others[self.new[1:]], others]), np.concatenate([draw(len(self.new) - 1), noise])
+        before, parts, done = float(self.log[:at].sum()), [], 0
+        while done < len(others) and not (len(best) >= k and before + REACH < best[0]):
+            prefix = before + np.cumsum(self.log[at + done : at + done + CHUNK])
+            mean = others[done : done + CHUNK] + prefix
+            mean -= self.log[at + done : at + done + CHUNK]
+            values = truncated(mean, bound, noise[done : done + CHUNK])
+            parts.append(values)
+            done, before = done + len(values), float(prefix[-1])
+            best = sorted([*best, *_best(values, k)])[-k:]
+        self.start, self.values = at, parts[0] if len(parts) == 1 else np.concatenate([*parts, np.zeros(0)])
+        self.top = float(self.values.max()) if len(self.values) else -np.inf
+
 
-def _search(lattice: Lattice, of: np.ndarray, a: int, b: int, fresh: list, key: np.uint64, k: int) -> list[tuple]:
+def _search(lattice: Lattice, of: np.ndarray, a: int, b: int, fresh: list[Walk], key: np.uint64, k: int) -> list[tuple]:
     """The perturbed A-star search of one text, whose words are of[a:b]; fresh has a walk of all words for each sample."""
-    stream = mixed(np.array([key], np.uint64) ^ _M1)[0]
-    draws = 0
+    stream, draws = int(key) ^ int(_M1), 0
 
     def next_uniform(n: int) -> np.ndarray:
         nonlocal draws
         draws += n
-        return uniform(stream + np.arange(draws - n, draws, dtype=np.uint64) * _M2)
+        return uniform(np.array([(stream + i * int(_STEP)) & _MASK for i in range(draws - n, draws)], np.uint64))
 
-    def bounds(path: _Path, bound: float, agenda: list[float]) -> None:
-        """Draw the bounds of the nodes that the path leaves behind. A later step's mean is no higher than the prefix before it; once that
-        is too far below the k best bounds known for any draw to reach them, the steps from there on can't be taken, and are left out."""
-        at = path.keep + (path.parent is not None)  # what else could follow at the step where it left its parent is a node of the parent's
-        before, parts = float(lattice.log[path.edges[:at]].sum()), [np.full(at, -np.inf)]
-        best = sorted(agenda)[-k:]
-        while at < len(path.edges) and not (len(best) == k and before + REACH < best[0]):
-            edges = path.edges[at : at + CHUNK]
-            prefix = before + np.cumsum(lattice.log[edges])
-            values = truncated(np.concatenate([[before], prefix[:-1]]) + lattice.others[edges], bound, next_uniform(len(edges)))
-            parts.append(values)
-            at, before = at + len(edges), float(prefix[-1])
-            best = sorted([*best, *np.sort(values)[-k:].tolist()])[-k:]
-        path.values = np.concatenate(parts)
+    def draw(n: int) -> np.ndarray:
+        return log_exponential(next_uniform(n))
 
-    bound = float(truncated(np.zeros(1), np.inf, next_uniform(1))[0])
+    bound = float(-draw(1)[0])
     path = _Path(fresh[0], a, b)
     paths: list[_Path] = []
     out: list[tuple[np.ndarray, float, float]] = []
     excluded: dict[tuple[int, int], list[int]] = {}
     while True:
-        out.append((path.edges, float(lattice.log[path.edges].sum()), bound))
-        bounds(path, bound, [float(v) for p in paths for v in np.sort(p.values)[-k:]])
+        path.join(lattice)
+        out.append((path.edges, float(path.log.sum()), bound))
+        path.bounds(lattice, bound, sorted(v for p in paths for v in _best(p.values, k))[-k:], k, draw)
         paths.append(path)
-        bound, p = max(((float(x.values.max()), i) for i, x in enumerate(paths) if len(x.values)), default=(-np.inf, 0))
+        bound, p = max((x.top, i) for i, x in enumerate(paths))
         if len(out) == k or bound == -np.inf:
             break
         old = paths[p]
-        t = int(old.values.argmax())
+        i = int(old.values.argmax())
+        t = old.start + i
         place = lattice.start[old.edges[t]]
         gone = excluded.setdefault((p, t), [int(old.edges[t])])
         options = [e for e in range(lattice.border[place], lattice.border[place + 1]) if e not in gone]
@@ -310,8 +340,9 @@ def _search(lattice: Lattice, of: np.ndarray, a: int, b: int, fresh: list, key:
         new = [options[min(int(np.searchsorted(np.cumsum(share), float(next_uniform(1)[0]) * share.sum())), len(options) - 1)]]
         left = float(share.sum() - np.exp(lattice.log[new[0]]))
         gone.append(new[0])
-        mean = float(lattice.log[old.edges[:t]].sum()) + (np.log(left) if len(options) > 1 and left > 0 else -np.inf)
-        old.values[t] = truncated(np.array([mean]), bound, next_uniform(1))[0]
+        some = len(options) > 1 and left > 0
+        old.values[i] = truncated(np.array([float(old.log[:t].sum()) + np.log(left)]), bound, draw(1))[0] if some else -np.inf
+        old.top = float(old.values.max())
         word = old.word_at(t)
         stop = lattice.ends[of[word]]
         while (at := lattice.end[new[-1]]) < stop:
