@@ -193,3 +193,29 @@ def license_scan(
     """For each document the base phrases' places and labels, all labels, the best containment (1 for a phrase), and every matching block."""
     known = Templates(templates, threshold, word_counts(docs, templates, width, text_col))
     return mapped(docs, lambda texts: scan(texts, known, phrases, width), FIELDS, id_col, text_col)
+
+
+def sql(templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, width: int = BLOCK_WORDS) -> str:
+    """The query's rows in DuckDB SQL, by comparing every block to every template."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    sets = [sorted(set(text.split())) for _, text in templates]
+    values = ", ".join(f"({t}, '{label}', {quoted(s)})" for t, ((label, _), s) in enumerate(zip(templates, sets, strict=True)))
+    above = [(t, u) for t, s in enumerate(sets) for u, other in enumerate(sets) if set(s) < set(other)] or [(-1, -1)]
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    half = width // 2
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
+ph AS (SELECT * FROM (VALUES {", ".join(f"('{label}', {quoted(p.split())})" for p, label in phrases)}) AS t(label, p)),
+pl AS (SELECT rid, label, o FROM (SELECT rid, w, unnest(range(0, len(w))) AS o FROM d), ph WHERE w[o + 1] = p[1] AND w[o + 1:o + len(p)] = p),
+b AS (SELECT rid, count(*) AS n_base, min(o) AS first_word, max(o) AS last_word, list(DISTINCT label) AS base FROM pl GROUP BY rid),
+t AS (SELECT * FROM (VALUES {values}) AS t(t, label, s)),
+bl AS (SELECT rid, i, list_distinct(w[i * {half} + 1:i * {half} + {width}]) AS own FROM (SELECT rid, w, unnest(range(0, greatest(1, ceil(len(w) / {half}.0)::BIGINT - 1))) AS i FROM d)),
+m AS (SELECT rid, i, t, label, len(list_intersect(own, s)) / len(s)::DOUBLE AS containment FROM bl, t WHERE len(list_intersect(own, s)) >= ceil({threshold}::DOUBLE * len(s) - 1e-9)),
+ab AS (SELECT * FROM (VALUES {", ".join(str(x) for x in above)}) AS a(t, u)),
+l AS (SELECT m.rid, list(DISTINCT m.label) AS labels FROM m WHERE NOT EXISTS (SELECT 1 FROM ab JOIN m x ON x.t = ab.u WHERE ab.t = m.t AND x.rid = m.rid AND x.i = m.i) GROUP BY m.rid),
+s AS (SELECT rid, max(containment) AS best, count(*) AS n_matches FROM m GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(labels, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score,
+  coalesce(n_matches, 0) AS n_matches
+FROM d LEFT JOIN b USING (rid) LEFT JOIN l USING (rid) LEFT JOIN s USING (rid)
+"""

@@ -115,5 +115,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_ledger": quality_rules.SQL,
+    "op7_suffix_decontam": suffix_decontam.SQL,
+    "op8_license_join": license_join.sql(),
     "op10_chat_windows": chat_windows.SQL,
 }

@@ -203,3 +203,22 @@ CONTAMINATED = "n_hit > 0 AND 20 * n_hit >= n_words"
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated rows."""
     return matches(docs, benchmark, id_col=None).where(f"NOT ({CONTAMINATED})").select("row.*")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: The same rows in DuckDB SQL, by joining windows.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS iid, item_id, {_WORDS} AS w FROM benchmark),
+iw AS (SELECT iid, item_id, w, least({WINDOW}, len(w)) AS n FROM i WHERE len(w) > 0),
+ik AS (SELECT iid, item_id, n, o AS off, array_to_string(w[o + 1:o + n], ' ') AS k FROM (SELECT *, unnest(range(0, len(w) - n + 1)) AS o FROM iw)),
+dk AS (SELECT rid, n, p, array_to_string(w[p + 1:p + n], ' ') AS k FROM (SELECT d.*, n, unnest(range(0, len(w) - n + 1)) AS p FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+occ AS (SELECT rid, iid, item_id, n, p, off FROM dk JOIN ik USING (n, k)),
+hit AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT rid, p, n FROM occ)) GROUP BY rid),
+its AS (SELECT rid, list(DISTINCT item_id::VARCHAR ORDER BY item_id::VARCHAR) AS items FROM occ GROUP BY rid),
+run AS (SELECT rid, min(p) AS spot, count(*) - 1 + min(n) AS words FROM (SELECT *, p - row_number() OVER (PARTITION BY rid, iid, p - off ORDER BY p) AS g FROM occ) GROUP BY rid, iid, p - off, g),
+lon AS (SELECT rid, max(words) AS words, arg_max(spot, words * 1000000000 - spot) AS spot FROM run GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(words, 0)::BIGINT AS longest_words, spot AS longest_at
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid) LEFT JOIN lon USING (rid)
+"""
