@@ -1,6 +1,6 @@
 """Every registered query, and its SQL."""
 
-from trivalent.plans import behavior, decisions, evaluation, segmentation, statistics  # noqa: F401
+from trivalent.plans import behavior, cohort_queries, decisions, evaluation, segmentation, statistics  # noqa: F401
 from trivalent.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
