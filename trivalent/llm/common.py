@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are worked on at once; one longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _CONF = "spark.checkpoint.dir"
 
@@ -55,6 +55,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Give memory that is free in this worker back to the machine: workers are reused, and what one stage held would stand beside the next."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(lengths: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose lengths add up to at most limit; a longer row stands alone."""
     start, total = 0, 0
@@ -159,6 +168,7 @@ def mapped(docs: DataFrame, each, fields: str, id_col: str | None = None, text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *each(batch.column(1))], names=names)
+            release()
 
     return chosen.mapInArrow(run, schema)
 
@@ -184,8 +194,10 @@ class HashIndex:
         found = self.table[(hashes >> self.shift).astype(np.int64)]
         if len(crowded := np.flatnonzero(found < 0)):
             found[crowded] = np.minimum(np.searchsorted(self.hashes, hashes[crowded]), len(self.hashes) - 1) + 1
-        found[self.hashes[found - 1] != hashes] = 0
-        return self.place[found]
+        some = np.flatnonzero(found)
+        at = found[some]
+        found[some] = np.where(self.hashes[at - 1] == hashes[some], self.place[at], 0)
+        return found
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trivalent.llm.common import stored
+from trivalent.llm.common import release, stored
 
 #: Generator polynomial of the binary Golay code, a fixed value: x^11+x^10+x^6+x^5+x^4+x^2+1.
 GENERATOR = 0b110001110101
@@ -120,6 +120,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         prints = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, len(batch))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "print"])
+        release()
 
 
 def _keyed(batches: Iterator[pa.RecordBatch], keys) -> Iterator[pa.RecordBatch]:
