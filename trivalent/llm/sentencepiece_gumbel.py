@@ -24,6 +24,7 @@ of them; a null row key is a key of its own; repeated rows return the same sampl
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -32,18 +33,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trivalent.llm.common import HashIndex, _powers, ranges, slices
+from trivalent.llm.common import HashIndex, _powers, ranges, release, slices
 
 SPACE = "▁"
 SAMPLES = 3
 SEED = 20
 ZIPF_SHIFT = 10.0
-SLICE_CHARS = 3 << 20
+SLICE_CHARS = 3 << 19
 SAMPLE_TYPE = "struct<n_pieces:long,ids_crc32:long,log_prob:double,perturbed:double,log_inclusion:double,ids:array<int>>"
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _UNIT_LINES = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
+_MASK = (1 << 64) - 1
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A well-spread 64-bit hash of each number."""
@@ -58,18 +61,27 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((mixed(x) >> np.uint64(12)).astype(float) + 0.5) / (1 << 52)
 
 
-def _hash_codes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, total: np.ndarray, down: np.ndarray) -> np.ndarray:
-    h = (total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)
+def one_uniform(x: int) -> float:
+    """uniform() of one number."""
+    x = (x + int(_STEP)) & _MASK
+    x = ((x ^ (x >> 30)) * int(_M1)) & _MASK
+    x = ((x ^ (x >> 27)) * int(_M2)) & _MASK
+    return (((x ^ (x >> 31)) >> 12) + 0.5) / (1 << 52)
+
+
+def _finish(h: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+    """Spread the polynomial hash of a run of characters over all bits."""
+    h = h + np.uint64(length) if isinstance(length, int) else h + length.astype(np.uint64)
     h ^= h >> np.uint64(31)
     h *= _M1
     return h ^ (h >> np.uint64(29))
 
 
-def _prefix(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_runs(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _powers(len(codes) + 1)
     total = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    return total, down
+    return _finish((total[ends] - total[starts]) * down[starts], ends - starts)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -90,12 +102,19 @@ class Pieces:
             raise ValueError("a piece goes across a space")
         self.byte_ids = {int(model.id_to_piece(i)[1:-1], 16): i for i in range(n) if model.is_byte(i)}
         self.surface = {i: t.encode() for i, t in zip(normal, texts, strict=True)} | {i: bytes([b]) for b, i in self.byte_ids.items()}
+        written = [self.surface.get(i, b"") for i in range(n)]
+        self.sizes = np.array([len(x) for x in written], np.int64)
+        self.places = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(written), np.uint8)
         self.ids = np.array(normal, np.int64)
         self.lines = not any("\n" in t for t in texts)
-        codes = _codes("".join(texts))
-        ends = np.cumsum([len(t) for t in texts])
-        total, down = _prefix(codes)
-        self.index = HashIndex(_hash_codes(codes, ends - [len(t) for t in texts], ends, total, down))
+        heads = list(dict.fromkeys(t[:n] for t in texts for n in range(1, len(t) + 1)))
+        sizes = np.array([len(t) for t in heads])
+        ends = np.cumsum(sizes)
+        self.index = HashIndex(_hash_runs(_codes("".join(heads)), ends - sizes, ends))  # of all beginnings of pieces
+        place = {t: i for i, t in enumerate(heads)}
+        self.piece_of = np.full(len(heads) + 1, -1, np.int64)  # which piece a beginning is, if it is one
+        self.piece_of[[place[t] + 1 for t in texts]] = np.arange(len(texts))
         self.longest = max(len(t) for t in texts)
         weight = np.log(np.arange(len(normal) + 256) + ZIPF_SHIFT)  # pieces are in the order of their rank
         norm = np.log(np.exp(-weight).sum())
@@ -112,9 +131,12 @@ class Pieces:
             return _UNIT_LINES.findall(SPACE + text.replace(" ", SPACE))
         return [w for w in (SPACE + text.replace(" ", f" {SPACE}").replace("\n", " \n ")).split(" ") if w]
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "surrogatepass").replace(SPACE, " ")
-        return text[1:]
+    def written(self, ids: np.ndarray) -> bytes:
+        """The pieces end to end, in UTF-8."""
+        return self.letters[ranges(self.places[ids], self.sizes[ids])].tobytes()
+
+    def decode(self, ids: np.ndarray) -> str:
+        return self.written(ids).decode("utf-8", "surrogatepass").replace(SPACE, " ")[1:]
 
 
 class Lattice:
@@ -126,31 +148,43 @@ class Lattice:
         self.starts = self.ends - sizes
         codes = _codes("".join(words))
         n = len(codes)
-        total, down = _prefix(codes)
         limit = np.repeat(self.ends, sizes)
-        at, to, piece = [], [], []
         room, place = limit - np.arange(n), np.arange(n)
+        up = _powers(pieces.longest + 1)[0]
+        plus = codes.astype(np.uint64) + np.uint64(1)
+        hashed = np.zeros(n, np.uint64)
+        degree = np.zeros(n + 1, np.int64)
+        at, piece = [], []
         for length in range(1, pieces.longest + 1):
-            place = place[room[place] >= length]
+            fits = room[place] >= length
+            place = place[fits]
             if not len(place):
                 break
-            found = pieces.index(_hash_codes(codes, place, place + length, total, down))
-            hit = found > 0
+            hashed = hashed[fits] + plus[place + (length - 1)] * up[length - 1]
+            found = pieces.index(_finish(hashed, length))
+            which = pieces.piece_of[found]
+            hit = np.flatnonzero(which >= 0)
             at.append(place[hit])
-            to.append(place[hit] + length)
-            piece.append(found[hit] - 1)
+            piece.append(which[hit])
+            degree[at[-1]] += 1
             if length == 1:
-                lone = place[~hit]
+                lone = np.flatnonzero(which < 0)
+                degree[lone] += 1
+            begun = np.flatnonzero(found)
+            place, hashed = place[begun], hashed[begun]
+        self.border = np.concatenate([[0], np.cumsum(degree[:-1])])
+        edges = int(self.border[-1])
+        self.start, self.end, self.piece, self.raw = np.repeat(np.arange(n), degree[:-1]), np.empty(edges, np.int64), np.empty(edges, np.int64), np.empty(edges)
+        free = self.border[:-1].copy()
+        for length in range(len(at), 0, -1):  # long pieces first: they are the likeliest, so choose() stops soon
+            slot = free[at[length - 1]]
+            self.end[slot], self.piece[slot], self.raw[slot] = at[length - 1] + length, piece[length - 1], pieces.log_prob[piece[length - 1]]
+            free[at[length - 1]] += 1
         lone_bytes = np.where(codes[lone] < 0x80, 1, np.where(codes[lone] < 0x800, 2, np.where(codes[lone] < 0x10000, 3, 4)))
-        at, to, piece = at[::-1], to[::-1], piece[::-1]  # long pieces first: they are the likeliest, so choose() stops soon
-        start = np.concatenate([*at, lone])
-        order = np.argsort(start, kind="stable")
-        self.start, self.end = start[order], np.concatenate([*to, lone + 1])[order]
-        self.piece = np.concatenate([*piece, -codes[lone].astype(np.int64) - 1])[order]  # below zero: a character in bytes
-        self.raw = np.concatenate([pieces.log_prob[np.concatenate(piece)], pieces.byte_log_prob * lone_bytes])[order]
-        self.border = np.searchsorted(self.start, np.arange(n + 1))
+        slot = free[lone]
+        self.end[slot], self.piece[slot], self.raw[slot] = lone + 1, -codes[lone].astype(np.int64) - 1, pieces.byte_log_prob * lone_bytes  # below zero: a character in bytes
         back = np.zeros(n + 1)
-        by_far = np.argsort(room, kind="stable")
+        by_far = np.argsort(room.astype(np.uint16) if n and room.max() < 1 << 16 else room, kind="stable")
         counts = np.bincount(room)[1:]
         first = np.diff(self.border)
         stops = np.cumsum(counts)
@@ -172,19 +206,42 @@ class Lattice:
         normal = np.flatnonzero(self.piece >= 0)
         self.ids[self.id_border[normal]] = pieces.ids[self.piece[normal]]
         self.ids[ranges(self.id_border[lone], self.n_ids[lone])] = [b for x in spelled for b in x]
-        self.cum = np.cumsum(np.exp(self.log))
-        self.base = np.concatenate([[0.0], self.cum])[self.border]
-        self.base_total = self.base[1:] - self.base[:-1]
+        self.share = np.exp(self.log)  # summed along the edges of a place
+        place, nth = np.flatnonzero(degree[:-1] > 1), 1
+        while len(place):
+            edge = self.border[place] + nth
+            self.share[edge] += self.share[edge - 1]
+            nth += 1
+            place = place[degree[place] > nth]
+        self.total = self.share[self.border[1:] - 1]
+
+    def joined(self, other: Lattice) -> Lattice:
+        """Both lattices' words, these first."""
+        both = object.__new__(Lattice)
+        n, edges, ids = len(self.total), len(self.end), len(self.ids)
+        for name, shift in (("starts", n), ("ends", n), ("start", n), ("end", n), ("piece", 0), ("log", 0), ("others", 0), ("share", 0), ("total", 0), ("n_ids", 0), ("ids", 0)):
+            mine, more = getattr(self, name), getattr(other, name)
+            setattr(both, name, np.concatenate([mine, more + shift if shift else more]))
+        both.border = np.concatenate([self.border[:-1], other.border + edges])
+        both.id_border = np.concatenate([self.id_border[:-1], other.id_border + ids])
+        return both
 
     def choose(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge from each place, by its conditional probability."""
         edge = self.border[place]
         last = self.border[place + 1] - 1
-        goal = self.base[place] + u * self.base_total[place]
-        open_ = np.flatnonzero((edge < last) & (self.cum[edge] < goal))
+        goal = u * self.total[place]
+        open_ = np.flatnonzero((edge < last) & (self.share[edge] < goal))
         while len(open_):
             edge[open_] += 1
-            open_ = open_[(edge[open_] < last[open_]) & (self.cum[edge[open_]] < goal[open_])]
+            open_ = open_[(edge[open_] < last[open_]) & (self.share[edge[open_]] < goal[open_])]
+        return edge
+
+    def choose_one(self, place: int, u: float) -> int:
+        edge, last = int(self.border[place]), int(self.border[place + 1]) - 1
+        goal = u * self.total[place]
+        while edge < last and self.share[edge] < goal:
+            edge += 1
         return edge
 
     def walk(self, words: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,9 +292,35 @@ def _ids(lattice: Lattice, edges: np.ndarray) -> np.ndarray:
     return lattice.ids[at if len(n) == n.sum() else ranges(at, n)]
 
 
+class Common:
+    """The lattice of words that recur, built once for a worker: those of its first slice that stand there twice."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+        self.lattice: Lattice | None = None
+
+    def of(self, words: dict[str, int], units: list[int], pieces: Pieces) -> Lattice:
+        """A lattice of these words, which are this one's, in order, and then others."""
+        rest = list(words)[len(self.known) :]
+        found = Lattice(rest, pieces) if rest else None
+        if self.lattice is None:
+            again = np.flatnonzero(np.bincount(units, minlength=len(words)) > 1)[:COMMON_WORDS]
+            names = list(words)
+            self.known = {names[i]: n for n, i in enumerate(again.tolist())}
+            self.lattice = Lattice(list(self.known), pieces) if self.known else None
+            return found
+        return self.lattice.joined(found) if found else self.lattice
+
+
+#: Words at most whose lattice a worker keeps.
+COMMON_WORDS = 50_000
+_COMMON: dict[int, Common] = {}
+
+
 def sample_slice(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int) -> list[list[tuple]]:
     """For each text its samples, best first: (ids, log_prob, perturbed, log_inclusion)."""
-    known: dict[str, int] = {}
+    common = _COMMON.setdefault(id(pieces), Common())
+    known = dict(common.known)
     units: list[int] = []
     borders = [0]
     for text in texts:
@@ -246,9 +329,9 @@ def sample_slice(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int) ->
             known[w] = len(known)
         units += map(known.__getitem__, words)
         borders.append(len(units))
-    if not known:
+    if not units:
         return [[(np.zeros(0, np.int64), 0.0, float(-log_exponential(uniform(key[None]))[0]), 0.0)] for key in keys]
-    lattice = Lattice(list(known), pieces)
+    lattice = common.of(known, units, pieces)
     of, border = np.array(units, np.int64), np.array(borders)
     row = np.repeat(np.arange(len(texts)), np.diff(border))
     base = mixed(keys[row] ^ (np.arange(len(of)) - border[row]).astype(np.uint64) * _STEP)
@@ -259,7 +342,6 @@ def sample_slice(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int) ->
 #: No Gumbel variable drawn here is further than this above its mean: uniform() is at most 1 - 2^-53.
 REACH = 37.0
 CHUNK = 1024
-_MASK = (1 << 64) - 1
 
 
 def _best(values: np.ndarray, k: int) -> list[float]:
@@ -309,13 +391,13 @@ def _search(lattice: Lattice, of: np.ndarray, a: int, b: int, fresh: list[Walk],
     """The perturbed A-star search of one text, whose words are of[a:b]; fresh has a walk of all words for each sample."""
     stream, draws = int(key) ^ int(_M1), 0
 
-    def next_uniform(n: int) -> np.ndarray:
+    def next_uniform() -> float:
         nonlocal draws
-        draws += n
-        return uniform(np.array([(stream + i * int(_STEP)) & _MASK for i in range(draws - n, draws)], np.uint64))
+        draws += 1
+        return one_uniform((stream + draws * int(_STEP)) & _MASK)
 
     def draw(n: int) -> np.ndarray:
-        return log_exponential(next_uniform(n))
+        return log_exponential(np.array([next_uniform() for _ in range(n)]))
 
     bound = float(-draw(1)[0])
     path = _Path(fresh[0], a, b)
@@ -336,17 +418,19 @@ def _search(lattice: Lattice, of: np.ndarray, a: int, b: int, fresh: list[Walk],
         place = lattice.start[old.edges[t]]
         gone = excluded.setdefault((p, t), [int(old.edges[t])])
         options = [e for e in range(lattice.border[place], lattice.border[place + 1]) if e not in gone]
-        share = np.exp(lattice.log[options])
-        new = [options[min(int(np.searchsorted(np.cumsum(share), float(next_uniform(1)[0]) * share.sum())), len(options) - 1)]]
-        left = float(share.sum() - np.exp(lattice.log[new[0]]))
+        share = [math.exp(lattice.log[e]) for e in options]
+        goal, pick = next_uniform() * sum(share), 0
+        while pick < len(options) - 1 and share[pick] < goal:
+            goal, pick = goal - share[pick], pick + 1
+        new = [options[pick]]
+        left = sum(share[:pick]) + sum(share[pick + 1 :])
         gone.append(new[0])
-        some = len(options) > 1 and left > 0
-        old.values[i] = truncated(np.array([float(old.log[:t].sum()) + np.log(left)]), bound, draw(1))[0] if some else -np.inf
+        old.values[i] = truncated(np.array([float(old.log[:t].sum()) + math.log(left)]), bound, draw(1))[0] if left > 0 else -np.inf
         old.top = float(old.values.max())
         word = old.word_at(t)
         stop = lattice.ends[of[word]]
         while (at := lattice.end[new[-1]]) < stop:
-            new.append(int(lattice.choose(np.array([at]), next_uniform(1))[0]))
+            new.append(lattice.choose_one(at, next_uniform()))
         path = _Path(fresh[len(out)], word + 1, b, old, t, tuple(new), word)
     kappa = bound
     result = []
@@ -383,14 +467,15 @@ def sample(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, ids:
             for a, b in slices(np.array([len(t) for t in texts]), SLICE_CHARS):
                 rows, same = [], []
                 for text, found in zip(texts[a:b], sample_slice(texts[a:b], keys[a:b], pieces, k), strict=True):
-                    plain = text.replace(SPACE, " ")
-                    same.append(all(pieces.decode(x.tolist()) == plain for x, *_ in found))
+                    plain = (SPACE + text.replace(" ", SPACE)).encode("utf-8", "surrogatepass") if text else b""
+                    same.append(all(pieces.written(x) == plain for x, *_ in found))
                     rows.append([
                         {"n_pieces": len(x), "ids_crc32": zlib.crc32(x.astype("<u4").tobytes()), "log_prob": log_prob, "perturbed": g, "log_inclusion": q, "ids": x.astype(np.int32) if ids else None}
                         for x, log_prob, g, q in found
                     ])
                 kind = pa.list_(pa.struct([("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64()), ("ids", pa.list_(pa.int32()))]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(rows, kind), pa.array(same, pa.bool_())], names=["doc_id", "samples", "round_trip"])
+                release()
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(run, f"doc_id long, samples array<{SAMPLE_TYPE}>, round_trip boolean")
@@ -404,7 +489,7 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
         pieces = pieces_of(model)
         for batch in batches:
             at = batch.schema.get_field_index(ids_col)
-            texts = [None if x is None else pieces.decode(x) for x in batch.column(at).to_pylist()]
+            texts = [None if x is None else pieces.decode(np.array(x, np.int64)) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
