@@ -207,6 +207,21 @@ def test_phrases_and_templates(spark):
     assert all((found[i].n_base, found[i].first_word, found[i].labels, found[i].score) == (0, None, [], 0.0) for i in (5, 6, 8, 9))
 
 
+def test_notices_and_their_variants_keep_their_own_labels(spark):
+    pad = " ".join(f"q{i}" for i in range(60))
+    by = "This work is licensed under a Creative Commons Attribution 4.0 International License."
+    nc = by.replace("Attribution", "Attribution-NonCommercial")
+    gpl = "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation."
+    lgpl = gpl.replace("General", "Lesser General")
+    want = [
+        (by, ["cc-by"]), (nc, ["cc-by-nc"]), (f"{by} {nc}", ["cc-by", "cc-by-nc"]), (f"{nc} {nc}", ["cc-by-nc"]), (gpl, ["gpl"]), (gpl.replace("General Public ", "General "), ["gpl"]), (lgpl.replace("General Public ", "General "), ["lgpl"]),
+        (f"{by} Noncommercial is another.", ["cc-by", "cc-by-nc"]), ("Licensed under CC BY 4.0", ["cc-by"]), ("Licensed under CC BY-SA 4.0", ["cc-by-sa"]), ("Licensed under CC BY-NC 4.0, or licensed under CC BY 4.0", ["cc-by", "cc-by-nc"]),
+    ]
+    docs = [(i, around + t + around) for i, (t, _) in enumerate(want) for around in ("", f" {pad} ")]
+    found = lj.license_scan(rows(spark, docs), phrases=()).collect()
+    assert len(found) == len(docs) and [(r.doc_id, r.labels) for r in found if r.labels != want[r.doc_id][1]] == []
+
+
 # ---- Quality rules
 
 

@@ -9,6 +9,11 @@ ceil(threshold |T|); a block is looked up under its own words, must have at leas
 (length filter), and enough words left on both sides after the first common one (positional filter); what remains
 is counted exactly. Templates are a fixed library, so they travel with the tasks; documents never shuffle.
 
+A matching template gives its label, but for templates of which one has all the words of another and more (a notice
+and its variant), where both match the same block: where none of the further words is there, the larger matches by
+the smaller one's words alone and gives no label; where all are there, the smaller gives none unless it has a place
+of its own, its wording outside the larger one's or enough words beside those of the larger one. `matches` has both.
+
 Beside the join, plain phrases give the base labels.
 
 Defined cases: a null, empty or wordless text has no places, labels or matches; repeated rows each return; with
@@ -87,11 +92,33 @@ class Templates:
         self.under = np.array([x for u in under for x in u], np.int64).reshape(-1, 2)
         self.border = np.concatenate([[0], np.cumsum([len(u) for u in under])]).astype(np.int64)
         self.above = [{u for u, other in enumerate(sets) if set(s) < set(other)} for s in sets]
-
-    def names(self, matches: list[dict]) -> set[str]:
-        """Labels of the matches, but for those where a template with all the words and more matches the same block."""
-        there = {(m["block_word"], m["template"]) for m in matches}
-        return {m["label"] for m in matches if not any((m["block_word"], t) in there for t in self.above[m["template"]])}
+        #: Each template's wording and how often it has each word, as places from 1, like the index gives them.
+        self.wording = [np.array([place[w] + 1 for w in text.split()], np.int64) for _, text in templates]
+        self.times = [np.bincount(w, minlength=len(self.words) + 1) for w in self.wording]
+
+    def runs(self, t: int, own: np.ndarray) -> int:
+        """How often the words of a block have the wording of template t, word for word."""
+        wording = self.wording[t]
+        return int((np.lib.stride_tricks.sliding_window_view(own, len(wording)) == wording).all(1).sum()) if len(own) >= len(wording) else 0
+
+    def apart(self, t: int, u: int, own: np.ndarray, counts: np.ndarray) -> bool:
+        """Whether template t has a place in the block beside those of u, which has all its words and more."""
+        if self.runs(t, own) > self.runs(u, own) * self.runs(t, self.wording[u]):
+            return True
+        words, more = self.times[t] > 0, (self.times[u] > 0) & (self.times[t] == 0)
+        places = max(1, (counts[more] // self.times[u][more]).min())
+        return int((counts > places * self.times[u])[words].sum()) >= self.need[t]
+
+    def naming(self, found: list[int], own: np.ndarray) -> list[int]:
+        """Those of the templates found in a block, of which own has the words' places, that give their label."""
+        nested = [(t, u) for t in found for u in self.above[t] if u in found]
+        if not nested:
+            return found
+        counts = np.bincount(own, minlength=len(self.words) + 1)
+        more = {(t, u): counts[(self.times[u] > 0) & (self.times[t] == 0)] > 0 for t, u in nested}
+        gone = {u for (t, u), there in more.items() if not there.any()}
+        gone |= {t for (t, u), there in more.items() if u not in gone and there.all() and not self.apart(t, u, own, counts)}
+        return [t for t in found if t not in gone]
 
 
 def block_words(index: HashIndex, hashes: np.ndarray, border: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,12 +201,18 @@ def scan(texts: pa.Array, known: Templates, phrases, width: int) -> list[pa.Arra
         block, template, common = join(known, block, word)
         doc = np.searchsorted(first, block, "right") - 1
         matches: list[list[dict]] = [[] for _ in range(b - a)]
+        by_block: dict[tuple[int, int], list[int]] = {}
         for d, i, t, c in zip(doc.tolist(), (block - first[doc]).tolist(), template.tolist(), common.tolist(), strict=True):
             matches[d].append({"label": known.labels[t], "template": t, "block_word": i * (width // 2), "containment": c / int(known.sizes[t])})
+            by_block.setdefault((d, i), []).append(t)
+        names: list[set[str]] = [set() for _ in range(b - a)]
+        for (d, i), some in by_block.items():
+            start = int(border[d]) + i * (width // 2)
+            names[d] |= {known.labels[t] for t in known.naming(some, known.index(hashes[start : min(start + width, int(border[d + 1]))]))}
         for d, n in enumerate(np.diff(border).tolist()):
             starts, own = [p for p, _ in base[d]], {x for _, x in base[d]}
             best = max((m["containment"] for m in matches[d]), default=0.0)
-            row = (n, len(starts), min(starts, default=None), max(starts, default=None), sorted(own), sorted(own | known.names(matches[d])), 1.0 if starts else best, matches[d])
+            row = (n, len(starts), min(starts, default=None), max(starts, default=None), sorted(own), sorted(own | names[d]), 1.0 if starts else best, matches[d])
             for column, x in zip(out, row, strict=True):
                 column.append(x)
     kind = pa.struct([("label", pa.string()), ("template", pa.int32()), ("block_word", pa.int64()), ("containment", pa.float64())])
