@@ -265,6 +265,20 @@ def test_streams_drop_repeats(spark, tmp_path):
 # ---- Catalog
 
 
+def test_every_action_has_its_provenance(spark, tmp_path):
+    from trivalent.plans import catalog
+
+    events = [(i, t) for i, t in enumerate(["click", "purchase", "view", "purchase", "purchase", "purchase", "signup"] * 2, 1996)]
+    spark.createDataFrame(events, "event_id long, event_type string").write.parquet(f"file://{tmp_path}/events.parquet")
+    want = []
+    for i, tool in events:
+        sources = [["none"], ["ext"], ["op"], ["ext", "who"]][i % 4]
+        reasons = {"none": ["missing_provenance"], "ext": ["external_controls_protected_argument"], "op": [], "who": ["unknown_source"]}
+        found = sorted({r for s in sources for r in reasons[s]}) if tool == "purchase" else [] if tool == "click" else ["tool_not_allowed"]
+        want.append((i, ",".join(found), bool(found)))
+    assert sorted(tuple(r) for r in catalog.QUERIES["action_provenance"](spark, f"file://{tmp_path}").collect()) == want
+
+
 def test_catalog_against_duckdb(spark):
     import glob
     import os

@@ -162,7 +162,7 @@ event_type NOT IN ('click', 'purchase') OR (event_type = 'purchase' AND event_id
 def action_provenance(spark, sf):
     k = F.col("event_id") % 4
     sources = F.when(k == 1, F.array(F.lit("ext"))).when(k == 2, F.array(F.lit("op"))).when(k == 3, F.array(F.lit("ext"), F.lit("who"))).otherwise(F.array().cast("array<string>"))
-    actions = fx.table(spark, sf, "events").where("event_id < 2000").select(F.col("event_id").alias("action_id"), F.col("event_type").alias("tool"), F.lit("/to").alias("path"), sources.alias("sources"))
+    actions = fx.table(spark, sf, "events").select(F.col("event_id").alias("action_id"), F.col("event_type").alias("tool"), F.lit("/to").alias("path"), sources.alias("sources"))
     origins = spark.createDataFrame([("ext", "external"), ("op", "operator")], "source_id string, origin string")
     found = behavior.action_provenance(actions, origins, {"click": [], "purchase": ["/to"]})
     return found.select("action_id", F.array_join("reasons", ",").alias("reasons"), "flagged")
