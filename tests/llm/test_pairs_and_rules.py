@@ -99,6 +99,15 @@ def test_near_duplicates_match_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
 
 
+def test_one_row_of_each_component_stays_whatever_the_ids(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (text(rng, 100) for _ in range(5))
+    data = [(None, a), (None, b), (None, b), (None, c), (1, c), (2, d), (2, a), (2, d), (2, e), (3, e), (None, None), (None, "")]
+    kept = sorted(((r.doc_id, r.text) for r in gs.keep_one(rows(spark, data)).collect()), key=str)
+    assert len(kept) == 6 and {t or "" for _, t in kept} == {a, b, c, d, e, ""}
+    assert {t: i for i, t in kept if t} == {a: 2, b: None, c: 1, d: 2, e: 2}
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)]
     found = dict(gs.components(spark.createDataFrame(edges, "u long, v long")).collect())

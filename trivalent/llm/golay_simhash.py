@@ -11,7 +11,8 @@ copies, however many, are one row. Links form components by alternating large-st
 each written to the shared folder.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and links like any other;
-repeated rows each return; a null doc_id never names a component unless no other row is in it.
+repeated rows each return; a null doc_id never names a component unless no other row is in it. keep_one takes a
+row for each component, whatever ids its rows have: null, or shared with other components.
 """
 
 from __future__ import annotations
@@ -118,8 +119,9 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, len(batch))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "print"])
+        *kept, texts = batch.columns
+        prints = np.fromiter((fingerprint(x.as_py()) for x in texts), np.uint64, len(batch))
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(prints.view(np.int64))], names=[*batch.schema.names[:-1], "print"])
         release()
 
 
@@ -193,10 +195,17 @@ def as_hex(column: str | Column) -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs without all but one of each component: its smallest doc_id; of repeated rows one stays."""
+    """One row of docs for each component: that of its smallest doc_id (a null is the last), of several the one of the least hash of the text, then of the row."""
     from pyspark.sql import Window
 
-    found = near_duplicates(docs)
-    stay = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    return docs.join(stay, docs.doc_id.eqNullSafe(stay.doc_id), "left_semi").withColumn("nth_", F.row_number().over(once)).where("nth_ = 1").drop("nth_")
+    # a row's component depends on its text only, so id and text (by 128 bits) name the row that stays, but for its other columns
+    doc_id = F.col("doc_id").cast("long")
+    key = {"id_": F.coalesce(doc_id, F.lit(0)), "h1_": F.xxhash64(doc_id.isNull(), "text"), "h2_": F.xxhash64(F.lit(1), doc_id.isNull(), "text")}
+    chosen = docs.select(doc_id.isNull().alias("none_"), *[c.alias(n) for n, c in key.items()], F.col("text").cast("string").alias("text"))
+    prints = stored(chosen.mapInArrow(_fingerprints, "none_ boolean, id_ long, h1_ long, h2_ long, print long"), "prints")
+    classes = stored(prints.groupBy("print").agg(F.min(F.struct("none_", *key)).alias("least")), "classes")
+    roots = components(stored(links(classes).distinct(), "links"))
+    named = classes.join(roots, classes.print == roots.node, "left").groupBy(F.coalesce("root", "print").alias("root")).agg(F.min("least").alias("least"))
+    stay = named.select(*[f"least.{n}" for n in key])
+    once = Window.partitionBy(*key).orderBy(F.xxhash64(*docs.columns))
+    return docs.withColumns(key).join(stay, [*key], "left_semi").withColumn("nth_", F.row_number().over(once)).where("nth_ = 1").select(*docs.columns)
