@@ -198,7 +198,7 @@ def artifact_kinds(spark, sf):
 def upsert_merge(spark, sf):
     orders = fx.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     target = orders.where("o_orderkey % 3 <> 2").withColumn("v", F.lit(1))
-    changes = orders.where("o_orderkey % 3 = 1").select("o_orderkey", F.lit("new").alias("o_orderstatus"), F.lit(2).alias("v"))
+    changes = orders.where("o_orderkey % 3 <> 0").select("o_orderkey", F.lit("new").alias("o_orderstatus"), F.lit(2).alias("v"))
     return files.upsert(target, changes, ["o_orderkey"], "v").drop("v")
 
 

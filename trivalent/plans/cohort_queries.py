@@ -108,8 +108,7 @@ def encoding_controls(spark, sf):
 @query("""WITH v AS (SELECT unnest([0.1, 0.25, 0.9])::DOUBLE AS value), t AS (SELECT item_id, text FROM benchmark WHERE item_id < 6) SELECT item_id, value, replace(text || ' score {n}', '{n}', value::VARCHAR) AS text FROM t, v""")
 def numeral_substitution(spark, sf):
     values = spark.createDataFrame([(0.1,), (0.25,), (0.9,)], "value double")
-    seeds = fx.table(spark, sf, "benchmark").where("item_id < 6")
-    return seeds.crossJoin(F.broadcast(values)).select("item_id", "value", F.replace(F.concat("text", F.lit(" score {n}")), F.lit("{n}"), F.col("value").cast("string")).alias("text"))
+    return fx.table(spark, sf, "benchmark").crossJoin(F.broadcast(values)).select("item_id", "value", F.replace(F.concat("text", F.lit(" score {n}")), F.lit("{n}"), F.col("value").cast("string")).alias("text"))
 
 
 @query("""WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN 'start' WHEN event_id % 3 = 1 THEN 'finish' ELSE 'note' END AS kind FROM events),
@@ -151,5 +150,5 @@ def span_containment(spark, sf):
     docs = fx.table(spark, sf, "documents")
     n = F.floor(F.length("text") / 100).cast("long")
     windows = docs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("i")).select("doc_id", (F.col("i") * 100).alias("begin"), (F.col("i") * 100 + 200).alias("finish"))
-    payloads = docs.where("doc_id % 3 = 0").select("doc_id", F.lit(150).alias("start"), F.lit(260).alias("stop"))
+    payloads = docs.select("doc_id", F.lit(150).alias("start"), F.lit(260).alias("stop"))
     return behavior.contained(windows, payloads, ["doc_id"]).select("doc_id", "begin", "finish")
