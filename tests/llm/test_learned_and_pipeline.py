@@ -122,6 +122,12 @@ def test_quality_edge_rows(spark):
     assert mq.score(docs.limit(0), ones).count() == 0
 
 
+def test_texts_of_no_learned_language_go(spark):
+    profiles = {k: li.profile(*li.ngrams(t), 50) for k, t in (("aa", "abc abd abe"), ("bb", "xyz xyw xyv"))}
+    docs = spark.createDataFrame([(1, "abc abd"), (2, "日本 語"), (3, "xyz"), (4, "12 3"), (5, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in li.keep_identified(docs, profiles).collect()) == [1, 3]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 

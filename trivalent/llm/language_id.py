@@ -128,9 +128,6 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP, i
     return mapped(docs, each, FIELDS, id_col, text_col)
 
 
-#: Documents of at least this score, and no `und`, stay.
-KEEP_SCORE = 0.5
-
-
 def keep_identified(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
-    return identify(docs, profiles, id_col=None).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= KEEP_SCORE)).select("row.*")
+    """Rows whose language is identified: no `und`, and nearer than 1.0, the distance of a text that shares no n-gram with any profile."""
+    return identify(docs, profiles, id_col=None).where((F.col("lang_pred") != UNKNOWN) & (F.col("distance") < 1)).select("row.*")
