@@ -231,6 +231,14 @@ def test_notices_and_their_variants_keep_their_own_labels(spark):
     assert len(found) == len(docs) and [(r.doc_id, r.labels) for r in found if r.labels != want[r.doc_id][1]] == []
 
 
+def test_templates_longer_than_half_a_block(spark):
+    for n in (90, 150):
+        body = " ".join(f"t{i}" for i in range(n))
+        docs = [(at, " ".join(f"q{i}" for i in range(at)) + f" {body} " + "q " * 200) for at in (0, 24, 40)]
+        found = lj.license_scan(rows(spark, docs), templates=(("long", body),), phrases=()).collect()
+        assert sorted((r.doc_id, r.labels, r.score) for r in found) == [(at, ["long"], 1.0) for at in (0, 24, 40)]
+
+
 # ---- Quality rules
 
 

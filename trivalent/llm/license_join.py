@@ -224,6 +224,8 @@ def license_scan(
     docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, width: int = BLOCK_WORDS, id_col: str | None = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """For each document the base phrases' places and labels, all labels, the best containment (1 for a phrase), and every matching block."""
+    longest = max((len(text.split()) for _, text in templates), default=0)
+    width = max(width, 2 * longest)  # a passage of half a window stands whole in some block
     known = Templates(templates, threshold, word_counts(docs, templates, width, text_col))
     return mapped(docs, lambda texts: scan(texts, known, phrases, width), FIELDS, id_col, text_col)
 
