@@ -38,6 +38,14 @@ def test_pieces_encode_as_whole_texts_do(library):
         assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_another_vocabulary_is_not_cut():
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    encoder = PieceEncoder(vocabulary("byte_bpe_50k.json"))
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode([*ODD, None, "two  blanks\n\n"])] == [other.encode(t, add_special_tokens=False).ids for t in [*ODD, "", "two  blanks\n\n"]]
+
+
 def test_shards_round_trip_and_look_up(spark, library):
     rng = random.Random(2)
     data = [(rng.randrange(-50, 400), rng.choice(ODD) + " word" * rng.randint(0, 30)) for _ in range(300)] + [(None, "null id"), (7, None), (7, ""), (7, "same"), (7, "same")]
@@ -190,7 +198,13 @@ def test_windows_round_trip(spark):
     got = windows.orderBy("conv_id", "window").collect()
     assert all(w.text.startswith("### system\n") for w in got if w.conv_id in (1, 3))
     assert any(w.n_repeated > 1 for w in got) and {w.conv_id for w in got} == set(want)
+    for w in got:
+        own = [t for t in want[w.conv_id]][0][0] == "system"
+        assert w.over_budget == (w.n_tokens > 60) and (not w.over_budget or w.n_turns - w.n_repeated <= 1 + (own and w.window == 0))
+        assert not w.over_budget or w.n_repeated <= own
     digest = {r.conv_id: r for r in cw.digests(windows).collect()}
+    for c in want:
+        assert digest[c].n_windows == sum(w.conv_id == c for w in got) and digest[c].n_over_budget == sum(w.over_budget for w in got if w.conv_id == c)
     for c, own in want.items():
         assert digest[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in own).encode()).hexdigest()
         assert digest[c].formatted_chars == sum(len(w.text) for w in got if w.conv_id == c)

@@ -2,19 +2,21 @@ r"""Chat formatting in budgeted windows, in DataFrame functions only.
 
 A turn is written `### <role>\n<text>\n</turn>\n`, the role percent-encoded and the text with a backslash
 before each backslash, `#` and `<`; so neither a turn's head nor its end can stand inside a text, and removing
-the backslashes restores it. A conversation whose turns don't fit one window is cut into spans at turn borders:
-with P the tokens of the turns before a turn, its span is floor(P / (budget - history)), a prefix sum and no
-loop. Each window holds the opening system turn again, then the last turns of the span before it as far as they
-fit the history budget, then its own span. Loss lies on the texts of assistant turns in the window of their own
-span; repeated ones are masked. A turn is never cut: a window exceeds its budget only by its last turn, or by
-the system turn, and says so.
+the backslashes restores it. A conversation whose turns don't fit one window is cut into spans at turn borders, by prefix sums
+and no loop: what the budget leaves beside the history and the opening system turn is the room of a cell; turns whose
+tokens, by their prefix sum, lie within one cell are a span, and a turn that lies across a border of cells is a span of
+its own. So a span of several turns always fits its room. Each window holds the opening system turn again, then the
+last turns of the span before it as far as they fit the history budget and what its own span leaves, then its own span.
+Loss lies on the texts of assistant turns in the window of their own span; repeated ones are masked. A turn is never
+cut: a window exceeds its budget only where a single turn (with the system turn) does, and says so.
 
 A turn's place in its conversation comes from its sort order (turn, then role and text for ties; null turns
 first). Window functions over a conversation stream and spill; no list of its turns is built but for a
 window, whose size the budget bounds, and for the digest that `read_back` feeds.
 
 Defined cases: null texts and roles are empty; a null conv_id is a conversation like any other; repeated rows
-are turns of their own; an empty table gives no window; extra columns are not read.
+are turns of their own; a very long text is one turn, over budget; an empty table gives no window; extra columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -46,13 +48,20 @@ def _placed(turns: DataFrame, budget: int, history: int) -> DataFrame:
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     nth = own.withColumn("nth", F.row_number().over(order)).withColumn("opens", (F.col("nth") == 1) & (F.col("role") == "system"))
+    whole = Window.partitionBy("conv_id")
     body = F.when(F.col("opens"), F.lit(0).cast("long")).otherwise(F.col("tokens"))
-    nth = nth.withColumn("body", body).withColumn("prefix", F.coalesce(F.sum("body").over(before), F.lit(0).cast("long")))
-    nth = nth.withColumn("span", F.floor(F.col("prefix") / (budget - history)))
+    nth = nth.withColumn("body", body).withColumn("system", F.coalesce(F.max(F.when(F.col("opens"), F.col("tokens"))).over(whole), F.lit(0).cast("long")))
+    nth = nth.withColumn("prefix", F.coalesce(F.sum("body").over(before), F.lit(0).cast("long")))
+    cell = lambda at: F.floor(at / F.greatest(F.lit(budget - history) - F.col("system"), F.lit(1)))
+    crosses = (F.col("body") > 0) & (cell(F.col("prefix") + F.col("body") - 1) != cell(F.col("prefix")))
+    nth = nth.withColumn("span", 2 * cell(F.col("prefix")) + crosses.cast("long"))
+    nth = nth.withColumn("span", F.when(F.col("opens"), F.coalesce(F.lead("span").over(order), F.lit(0).cast("long"))).otherwise(F.col("span")))
     nth = nth.withColumn("window", F.sum(F.when(F.col("span") != F.lag("span", 1).over(order), 1).otherwise(0)).over(upto).cast("long"))
-    whole = Window.partitionBy("conv_id")
-    nth = nth.withColumn("last", F.max("window").over(whole)).withColumn("end", F.max(F.col("prefix") + F.col("body")).over(Window.partitionBy("conv_id", "window")))
-    again = (F.col("window") < F.col("last")) & (F.col("end") - F.col("prefix") <= history) & ~F.col("opens")
+    each = Window.partitionBy("conv_id", "window")
+    nth = nth.withColumn("last", F.max("window").over(whole)).withColumn("end", F.max(F.col("prefix") + F.col("body")).over(each)).withColumn("own", F.sum("body").over(each))
+    nth = nth.withColumn("follows", F.when(F.lead("window").over(order) != F.col("window"), F.lead("own").over(order))).withColumn("follows", F.max("follows").over(each))
+    room = F.least(F.lit(history), F.lit(budget) - F.col("system") - F.col("follows"))
+    again = (F.col("window") < F.col("last")) & (F.col("end") - F.col("prefix") <= room) & ~F.col("opens")
     windows = F.when(F.col("opens"), F.sequence(F.lit(0).cast("long"), F.col("last"))).when(again, F.array("window", F.col("window") + 1)).otherwise(F.array("window"))
     return nth.select("conv_id", "nth", "role", "text", "tokens", "opens", F.col("window").alias("home"), F.explode(windows).alias("window"))
 
@@ -91,17 +100,20 @@ def read_back(windows: DataFrame) -> DataFrame:
         ),
     )
     under = F.array_join(F.transform("loss", lambda s: unescape(F.substring("text", s["start"].cast("int") + 1, s["length"].cast("int")))), "")
-    each = windows.select("conv_id", F.struct("window", turns.alias("turns"), under.alias("under")).alias("w"), F.length("text").cast("long").alias("chars"))
-    whole = each.groupBy("conv_id").agg(F.array_sort(F.collect_list("w")).alias("w"), F.sum("chars").alias("formatted_chars"))
-    return whole.select("conv_id", F.flatten(F.transform("w", lambda x: x["turns"])).alias("turns"), F.array_join(F.transform("w", lambda x: x["under"]), "").alias("loss"), "formatted_chars")
+    each = windows.select("conv_id", F.struct("window", turns.alias("turns"), under.alias("under")).alias("w"), F.length("text").cast("long").alias("chars"), "over_budget")
+    whole = each.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list("w")).alias("w"), F.sum("chars").alias("formatted_chars"), F.count("*").alias("n_windows"), F.count(F.when(F.col("over_budget"), 1)).alias("n_over_budget")
+    )
+    loss = F.array_join(F.transform("w", lambda x: x["under"]), "")
+    return whole.select("conv_id", F.flatten(F.transform("w", lambda x: x["turns"])).alias("turns"), loss.alias("loss"), "formatted_chars", "n_windows", "n_over_budget")
 
 
 def digests(windows: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, read back from the windows."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, read back from the windows, and how many windows there are and exceed the budget."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read_back(windows).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
-        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_windows", "n_over_budget",
     )
 
 
@@ -111,15 +123,20 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth,
   len(regexp_extract_all(text, '[\p{{L}}\p{{M}}]+|\p{{N}}|[^\s\p{{L}}\p{{M}}\p{{N}}]+')) + {HEAD_TOKENS} AS tokens FROM t),
-b AS (SELECT *, CASE WHEN nth = 1 AND role = 'system' THEN 0 ELSE tokens END AS body FROM n),
-p AS (SELECT *, sum(body) OVER (PARTITION BY conv_id ORDER BY nth) - body AS prefix FROM b),
-s AS (SELECT *, prefix // {BUDGET - HISTORY} AS span FROM p),
-w AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY span) - 1 AS win, max(prefix + body) OVER (PARTITION BY conv_id, span) AS fin FROM s),
-c AS (SELECT *, CASE WHEN nth = 1 AND role = 'system' THEN 1 + max(win) OVER (PARTITION BY conv_id)
-  WHEN win < max(win) OVER (PARTITION BY conv_id) AND fin - prefix <= {HISTORY} THEN 2 ELSE 1 END AS times,
-  length(role) + 5 + length(regexp_replace(text, '([\\#<])', '\\\1', 'g')) + {len(END)} AS chars FROM w)
+b AS (SELECT *, nth = 1 AND role = 'system' AS opens, CASE WHEN nth = 1 AND role = 'system' THEN 0 ELSE tokens END AS body FROM n),
+y AS (SELECT *, coalesce(max(CASE WHEN opens THEN tokens END) OVER (PARTITION BY conv_id), 0) AS sys FROM b),
+p AS (SELECT *, (sum(body) OVER (PARTITION BY conv_id ORDER BY nth) - body)::BIGINT AS prefix, greatest({BUDGET - HISTORY} - sys, 1) AS room FROM y),
+k AS (SELECT *, 2 * (prefix // room) + (body > 0 AND (prefix + body - 1) // room <> prefix // room)::INT AS spot FROM p),
+s AS (SELECT *, CASE WHEN opens THEN coalesce(lead(spot) OVER (PARTITION BY conv_id ORDER BY nth), 0) ELSE spot END AS span FROM k),
+w AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY span) - 1 AS win, max(prefix + body) OVER (PARTITION BY conv_id, span) AS fin,
+  sum(body) OVER (PARTITION BY conv_id, span) AS own FROM s),
+x AS (SELECT *, lead(own) OVER (PARTITION BY conv_id ORDER BY nth) AS lo, lead(win) OVER (PARTITION BY conv_id ORDER BY nth) AS lw FROM w),
+f AS (SELECT *, max(CASE WHEN lw <> win THEN lo END) OVER (PARTITION BY conv_id, win) AS follows, max(win) OVER (PARTITION BY conv_id) AS fin_win FROM x),
+c AS (SELECT *, CASE WHEN opens THEN 1 + fin_win WHEN win < fin_win AND fin - prefix <= least({HISTORY}, {BUDGET} - sys - follows) THEN 2 ELSE 1 END AS times,
+  length(role) + 5 + length(regexp_replace(text, '([\\#<])', '\\\1', 'g')) + {len(END)} AS chars FROM f)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(times * chars)::BIGINT AS formatted_chars
+  sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(times * chars)::BIGINT AS formatted_chars,
+  1 + max(win)::BIGINT AS n_windows, count(DISTINCT CASE WHEN sys + own > {BUDGET} THEN win END)::BIGINT AS n_over_budget
 FROM c GROUP BY conv_id
 """

@@ -22,10 +22,12 @@ _CONF = "spark.checkpoint.dir"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or an own one where it is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`. Where it is unset, a new one on one machine (as in tests), and an error on a cluster."""
     context = spark.sparkContext
     root = context.getConf().get(_CONF) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError(f"set {_CONF} to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='trivalent-')}"
     if not context.getCheckpointDir():
         context.setCheckpointDir(root)
@@ -160,14 +162,19 @@ def mapped(docs: DataFrame, each, fields: str, id_col: str | None = None, text_c
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
-    kept = F.col(id_col).cast("long").alias("doc_id") if id_col else F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    chosen = docs.select(kept, F.col(text_col).cast("string").alias("text_"))
+    if id_col:
+        chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text_"))
+    else:
+        chosen = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        place = docs.columns.index(text_col)
     schema = T.StructType([chosen.schema[0], *T.StructType.fromDDL(fields).fields])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *each(batch.column(1))], names=names)
+            texts = batch.column(1) if id_col else batch.column(0).field(place)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *each(texts if pa.types.is_string(texts.type) else texts.cast(pa.string()))], names=names)
+            del texts, batch
             release()
 
     return chosen.mapInArrow(run, schema)

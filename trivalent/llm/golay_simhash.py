@@ -1,18 +1,27 @@
 """SimHash near-duplicates, joined through Golay-code fuzzy keys.
 
-A 64-bit fingerprint is cut into three segments of 22, 21 and 21 bits. Two fingerprints that differ in
-at most three bits have two segments that differ in at most one bit each (pigeonhole). Each segment is a
-word of the perfect binary (23, 12, 7) Golay code's space, padded with zeros: decoding takes it to the one
-codeword within distance three. A segment is indexed under its own codeword, and probed under the codewords
-of itself and of all words one flip away, one to six of them; so segments one flip apart always meet. The
-join key is a pair of segments with a codeword of each, 24 bits of selectivity; the join condition verifies
-the Hamming distance, so only true links leave the join. Fingerprints are made distinct first, so exact
-copies, however many, are one row. Links form components by alternating large-star and small-star rounds,
-each written to the shared folder.
-
-Defined cases: a null or empty text, or one without words, has fingerprint zero and links like any other;
-repeated rows each return; a null doc_id never names a component unless no other row is in it. keep_one takes a
-row for each component, whatever ids its rows have: null, or shared with other components.
+A 64-bit fingerprint is cut into three segments of 22, 21 and 21 bits. Each segment is a word of the perfect binary
+(23, 12, 7) Golay code's space, padded with zeros: decoding takes it to the one codeword within distance three. A
+segment is indexed under its own codeword, and probed under the codewords of itself and of all words one flip away,
+one to six of them; so segments one flip apart always meet.
+
+Of two fingerprints that differ in at most three bits, either a segment is equal and another differs in at most one
+bit, or every segment differs in exactly one, and so one half of the last is equal (pigeonhole). Hence eight kinds of
+key: a whole segment with a codeword of another (six ordered pairs, 33 or 34 bits), and a codeword of each of the
+first two segments with a half of the last (two, 34 or 35 bits). The join condition verifies the Hamming distance, so
+only true links leave the join. Fingerprints are made distinct first, so exact copies, however many, are one row.
+Links form components by alternating large-star and small-star rounds, each written to the shared folder; they settle
+in a number of rounds that grows with the logarithm of the longest chain, and `max_rounds` raises rather than return
+components that have not.
+
+A link is about the bits, as the contract fixes them: near copies whose fingerprints differ in more than three bits,
+as happens with short texts or more than a few changed words, aren't linked.
+
+Defined cases: a null or empty text, or one without words, has fingerprint zero and links like any other; very long
+texts are hashed whole, in pieces of bounded size; repeated rows each return; a null doc_id never names a component
+unless no other row is in it; an empty table has no rows; extra columns, whatever their names, are not read by
+near_duplicates and come back from keep_one. keep_one takes a row for each component, whatever ids its rows have:
+null, or shared with other components.
 """
 
 from __future__ import annotations
@@ -32,8 +41,12 @@ from trivalent.llm.common import release, stored
 GENERATOR = 0b110001110101
 #: Shift and width of each segment.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
-PAIRS = ((0, 1), (0, 2), (1, 2))
+#: Kinds of key: (segment taken whole, segment by codeword), then the halves (shift and width) of the last segment.
+ORDERED = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
+HALVES = ((10, 11), (0, 10))
 SEED = 42
+#: Fingerprints of at least one in so many rows get their component by a broadcast, not a shuffle.
+HOT_SHARE = 1000
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -78,28 +91,41 @@ def _segments(prints: np.ndarray) -> list[np.ndarray]:
     return [(prints >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.int32) for shift, width in SEGMENTS]
 
 
+def _key(kind: int, exact: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """A kind, the bits that must be equal, and the codeword indices."""
+    return (np.int64(kind) << 48) | (exact.astype(np.int64) << 24) | codes
+
+
 def index_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): one key for each pair of segments."""
-    codes = [decode(s) for s in _segments(prints)]
-    keys = [(p << 24) | (codes[a] << 12) | codes[b] for p, (a, b) in enumerate(PAIRS)]
-    return np.tile(np.arange(len(prints)), len(PAIRS)), np.concatenate(keys)
+    """(row, key): one key of each kind."""
+    segments = _segments(prints)
+    codes = [decode(s) for s in segments]
+    keys = [_key(i, segments[a], codes[b]) for i, (a, b) in enumerate(ORDERED)]
+    both = (codes[0] << 12) | codes[1]
+    keys += [_key(len(ORDERED) + i, segments[2] >> shift & ((1 << width) - 1), both) for i, (shift, width) in enumerate(HALVES)]
+    return np.tile(np.arange(len(prints)), len(keys)), np.concatenate(keys)
 
 
 def probe_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): for each pair of segments, each pair of their near codewords."""
-    near = [near_codes(s, w) for s, (_, w) in zip(_segments(prints), SEGMENTS, strict=True)]
-    lists = []
-    for codes, first in near:
-        n = first.sum(1)
-        lists.append((codes[first], np.concatenate([[0], np.cumsum(n)]), n))
+    """(row, key): a key of each kind for each near codeword, or pair of them."""
+    segments = _segments(prints)
+    near = []
+    for segment, (_, width) in zip(segments, SEGMENTS, strict=True):
+        codes, first = near_codes(segment, width)
+        near.append((np.nonzero(first)[0], codes[first], first.sum(1)))
     rows, keys = [], []
-    for p, (a, b) in enumerate(PAIRS):
-        (va, ia, na), (vb, ib, nb) = lists[a], lists[b]
-        n = na * nb
-        row = np.repeat(np.arange(len(prints)), n)
-        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    for i, (a, b) in enumerate(ORDERED):
+        row, codes, _ = near[b]
+        rows.append(row)
+        keys.append(_key(i, segments[a][row], codes))
+    (_, one, n_one), (_, two, n_two) = near[:2]
+    n = n_one * n_two
+    row = np.repeat(np.arange(len(prints)), n)
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    both = (one[(np.cumsum(n_one) - n_one)[row] + nth // n_two[row]] << 12) | two[(np.cumsum(n_two) - n_two)[row] + nth % n_two[row]]
+    for i, (shift, width) in enumerate(HALVES):
         rows.append(row)
-        keys.append((p << 24) | (va[ia[row] + nth // nb[row]] << 12) | vb[ib[row] + nth % nb[row]])
+        keys.append(_key(len(ORDERED) + i, (segments[2] >> shift & ((1 << width) - 1))[row], both))
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -130,7 +156,7 @@ def _keyed(batches: Iterator[pa.RecordBatch], keys) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(batch), 4096):
             prints = batch.column(0).slice(i, 4096).to_numpy(zero_copy_only=False).view(np.uint64)
             row, key = keys(prints)
-            yield pa.RecordBatch.from_arrays([pa.array(prints[row].view(np.int64)), pa.array(key.astype(np.int32))], names=["print", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(prints[row].view(np.int64)), pa.array(key)], names=["print", "key"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,7 +169,7 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     """Pairs u < v of distinct fingerprints at most `distance` (3 or less) bits apart; a pair may return more than once."""
     if distance > 3:
         raise ValueError("the segments guarantee links of three bits or fewer")
-    keyed = [prints.select("print").mapInArrow(partial(_keyed, keys=k), "print long, key int") for k in (probe_keys, index_keys)]
+    keyed = [prints.select("print").mapInArrow(partial(_keyed, keys=k), "print long, key long") for k in (probe_keys, index_keys)]
     probe, index = (k.select(F.col("print").alias(name), "key") for k, name in zip(keyed, "uv", strict=True))
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance
     return probe.join(index, (probe.key == index.key) & (F.col("u") < F.col("v")) & near).select("u", "v")
@@ -178,7 +204,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, print (signed long) and component_id of every row; n_links counts links to other fingerprints."""
     prints = stored(fingerprints(docs, id_col, text_col), "prints")
-    classes = stored(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")), "classes")
+    classes = stored(prints.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes")
     edges = stored(links(classes, distance).distinct(), "links")
     ends = edges.select("u").unionByName(edges.select(F.col("v").alias("u"))).groupBy("u").agg(F.count("*").alias("n_links"))
     roots = components(edges)
@@ -186,8 +212,13 @@ def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id",
     least = named.groupBy("root").agg(F.min("first_id").alias("component"))
     linked = roots.join(least, "root").select(F.col("node").alias("print"), "component")
     linked = linked.join(ends, linked.print == ends.u).select("print", "component", "n_links")
-    by_class = classes.join(linked, "print", "left").select("print", F.coalesce("component", "first_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return prints.join(by_class, "print").select("doc_id", "print", "component_id", "n_links")
+    by_class = classes.join(linked, "print", "left").select("print", "n", F.coalesce("component", "first_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    by_class = stored(by_class, "components")
+    rows = prints.count()
+    hot = F.broadcast(by_class.where(F.col("n") * HOT_SHARE >= rows).drop("n"))  # at most HOT_SHARE rows: each stands for so large a share of all
+    many = prints.join(hot, "print")
+    few = prints.join(hot.select("print"), "print", "left_anti").join(by_class.drop("n"), "print")
+    return many.unionByName(few).select("doc_id", "print", "component_id", "n_links")
 
 
 def as_hex(column: str | Column) -> Column:
@@ -207,5 +238,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     roots = components(stored(links(classes).distinct(), "links"))
     named = classes.join(roots, classes.print == roots.node, "left").groupBy(F.coalesce("root", "print").alias("root")).agg(F.min("least").alias("least"))
     stay = named.select(*[f"least.{n}" for n in key])
-    once = Window.partitionBy(*key).orderBy(F.xxhash64(*docs.columns))
-    return docs.withColumns(key).join(stay, [*key], "left_semi").withColumn("nth_", F.row_number().over(once)).where("nth_ = 1").select(*docs.columns)
+    once = Window.partitionBy(*key).orderBy(F.xxhash64("row"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in key.items()])  # so no name of docs can clash
+    return rows.join(stay, [*key], "left_semi").withColumn("nth", F.row_number().over(once)).where("nth = 1").select("row.*")

@@ -10,7 +10,8 @@ The score is d2 / (d1 + d2) for the least and second-least distance: a half when
 for a perfect fit. It is 0 for `und`.
 
 Defined cases: a null text, or one without a letter, is `und`; with nothing learned every text is; rows with null
-labels, texts or ids teach nothing; repeated rows each return; extra columns are not read.
+labels, texts or ids teach nothing; an id that stands in several rows teaches by each; very long texts count whole;
+an empty table has no rows; repeated rows each return; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -67,12 +68,16 @@ def held_out(id_col: str | Column, folds: int, fold: int) -> Column:
 
 
 def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, top: int = TOP, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """The profile of each language, from at most per_language documents of each, those of the least hash of the id."""
+    """The profile of each language, from the documents of at most per_language ids of each, those of the least hash."""
     base = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     hashed = base.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
+    # hashes are evenly spread: the least four times as many as wanted are in this part of their range, so few of each language reach one task
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))  # a row for each language
+    part = F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("n"))
+    near = hashed.select("lang", "h").join(F.broadcast(stored(sizes, "languages")), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) <= part)
     least = Window.partitionBy("lang").orderBy("h")
-    cuts = hashed.select("lang", "h").withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= per_language).groupBy("lang").agg(F.max("h").alias("cut"))
-    sample = hashed.join(F.broadcast(stored(cuts, "cuts")), "lang").where("h <= cut").select("lang", "text")  # a row for each language
+    cuts = near.groupBy("lang", "h").count().withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= per_language).groupBy("lang").agg(F.max("h").alias("cut"))
+    sample = hashed.join(F.broadcast(stored(cuts, "cuts")), "lang").where("h <= cut").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,8 +16,9 @@ of its own, its wording outside the larger one's or enough words beside those of
 
 Beside the join, plain phrases give the base labels.
 
-Defined cases: a null, empty or wordless text has no places, labels or matches; repeated rows each return; with
-no documents or no templates there are no matches.
+Defined cases: a null, empty or wordless text has no places, labels or matches; very long texts are scanned whole;
+repeated rows each return; with no documents or no templates there are no matches; extra columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations

@@ -4,25 +4,28 @@ A document is a bag of passages of `PASSAGE_WORDS` words, all of its text. Each
 its bytes and words (shares of character classes, word lengths, symbol-laden words, repetition within the passage
 and across the document). A small network, trained here, embeds a passage, gives it a gated attention weight
 (tanh and sigmoid branches), and scores the document by the attention-weighted mean of its passage embeddings; only
-documents have labels. Weights are learned by Adam on a bounded, hash-chosen sample of labelled documents
-(`sample`, a parameter); scoring covers every passage of every document, in the partition where the document is.
+documents have labels. Weights are learned by Adam, on the driver, on a bounded, hash-chosen sample of labelled
+documents (`sample` documents and `passages` passages at most, both parameters; a document that would go beyond ends
+it); scoring covers every passage of every document, in the partition where the document is.
 
 Defined cases: a null or empty text is one empty passage and gets a score like any other; null labels teach
 nothing; a document labelled twice teaches twice; with labels of one class, or none, every score is that class's
-share (a half without labels); repeated rows each return; extra columns are not read.
+share (a half without labels); an id that stands in several rows teaches by each of them; very long texts are scored
+whole; an empty table has no rows; repeated rows each return; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trivalent.llm.common import LOWER, SOLID, mapped, spans, stored, text_slices, word_hashes
 
 PASSAGE_WORDS = 50
 SAMPLE = 6000
+PASSAGES = 300_000
 KEEP_SCORE = 0.7
 FIELDS = "score double, n_passages long, top_passage long, top_weight double"
 
@@ -139,26 +142,32 @@ class Model:
         return f["p"], f["weight"]
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on at most `sample` labelled documents for which learn holds, those of the least hash of the id."""
+def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, passages: int = PASSAGES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """Fit on labelled documents for which learn holds, those of the least hash of the id: `sample` at most, of `passages` at most in all."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("y"))
-    chosen = known.where(learn).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "y").limit(sample)
+    order = [F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "y"]
+    chosen = known.where(learn).orderBy(*order).limit(sample)
     bags = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(stored(chosen, "labelled")), "doc_id")  # at most `sample` rows
 
     def encoded(texts: pa.Array) -> list[pa.Array]:
-        bags = []
+        bags, n = [], []
         for _, _, raw, at in text_slices(texts):
             x, first = encode(raw, at)
-            bags += [x[a:b].astype(np.float32).ravel() for a, b in zip(first, first[1:])]
-        return [pa.array(bags, pa.list_(pa.float32()))]
-
-    rows = mapped(bags, encoded, "x array<float>", id_col=None).select("row.doc_id", "row.y", "x").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.y, len(r.x), r.x))
+            bags += [x[a:b].astype("<f4").tobytes() for a, b in zip(first, first[1:])]
+            n += np.diff(first).tolist()
+        return [pa.array(bags, pa.binary()), pa.array(n, pa.int64())]
+
+    found = stored(mapped(bags, encoded, "x binary, n long", id_col=None).select("row.doc_id", "row.y", "n", "x"), "bags")
+    order += ["n", "x"]
+    few = found.orderBy(*order).limit(sample)  # an id that stands in many rows brings them all
+    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # over `sample` rows at most
+    rows = few.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") <= passages).select("doc_id", "y", "n", "x").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.y, r.n, r.x))
     if not rows:
         return Model().fit(np.zeros((0, FEATURES)), np.zeros(1, int), np.zeros(0))
-    bags = [np.array(r.x).reshape(-1, FEATURES) for r in rows]
+    bags = [np.frombuffer(r.x, "<f4").reshape(-1, FEATURES) for r in rows]
     first = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
-    return Model().fit(np.concatenate(bags), first, np.array([r.y for r in rows], float))
+    return Model().fit(np.concatenate(bags).astype(float), first, np.array([r.y for r in rows], float))
 
 
 def score(docs: DataFrame, model: Model, id_col: str | None = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,8 +10,9 @@ stored, so that filters on it never evaluate the rules again. Repeated
 5-word windows are found by hash; a text without any (the common case) is told by its distinct hashes, and
 only the others are sorted.
 
-Defined cases: a null or empty text has no words, fails `few_words`, and measures zero throughout; repeated
-rows each return; extra columns are not read.
+Defined cases: a null or empty text has no words, fails `few_words`, and measures zero throughout; very long texts
+are measured whole; an empty table has an empty ledger and no ablation; repeated rows each return; extra columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -130,3 +131,12 @@ f AS (SELECT *, ({" + ".join(f"CASE WHEN {test} THEN {BIT[name]} ELSE 0 END" for
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {POLICIES["base"]} <> 0 AS base_failed,
        failed & {POLICIES["v2"]} = 0 AS kept, n_lines, n_upper, n_exclaim, n_digits, failed FROM f
 """
+
+_EACH = ", ".join(f"('{p}', '{n}', {BIT[n]}, {m})" for p, m in POLICIES.items() for n in BIT if BIT[n] & m)
+#: The ablations of all policies in DuckDB SQL, a pass over the ledger for each rule.
+ABLATION_SQL = f"""
+WITH led AS ({SQL}), r AS (SELECT * FROM (VALUES {_EACH}) AS r(policy, rule, bit, mask))
+SELECT policy, rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed & mask = bit) AS n_only, count(*) FILTER (failed & mask = 0) AS n_kept,
+  count(*) FILTER (failed & mask & ~bit = 0) AS n_kept_without
+FROM r LEFT JOIN led ON true GROUP BY policy, rule
+"""

@@ -52,6 +52,13 @@ def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ledger_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, alone too, from one ledger."""
+    rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    each = [quality_rules.ablation(rows, p).withColumn("policy", F.lit(p)) for p in quality_rules.POLICIES]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
 #: Rows of this remainder are held out of the quality classifier: crc32(doc_id) mod 4 = 2.
 QUALITY_FOLD = (4, 2)
 
@@ -111,10 +118,12 @@ QUERIES = {
     "op8_license_join": op8_license_join,
     "op9_simhash_golay": op9_simhash_golay,
     "op10_chat_windows": op10_chat_windows,
+    "quality_ledger_ablation": quality_ledger_ablation,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_ledger": quality_rules.SQL,
+    "quality_ledger_ablation": quality_rules.ABLATION_SQL,
     "op7_suffix_decontam": suffix_decontam.SQL,
     "op8_license_join": license_join.sql(),
     "op10_chat_windows": chat_windows.SQL,

@@ -2,7 +2,7 @@
 
 A file is nothing but little-endian token ids, each document's followed by the end-of-document id. Files are
 read in blocks of some MB, dealt over all tasks; each block is one vectorised search that yields the places of
-its separators. A prefix scan over the blocks of a file (the last separator before the block, and how many
+its separators. A prefix scan over two numbers for each block of a file (the last separator before the block, and how many
 there were) stitches documents that begin in one block and end in another, however many blocks lie between.
 
 `write_flat` makes such files from documents; it keeps the order of their ids in a manifest beside them, which
@@ -10,7 +10,9 @@ the scan doesn't read. File names hold the task attempt, so a retried task never
 
 Defined cases: a null or empty text is a document of no tokens; tokens after a file's last separator are a
 document with terminated = false; an empty file or folder has no documents; a size that isn't a whole number of
-ids is an error. Separator ids can't come from a text: special tokens' names are encoded as ordinary text.
+ids is an error. Separator ids can't come from a text: special tokens' names are encoded as ordinary text. A null
+doc_id, and repeated rows, are documents like others; a very long text spans as many blocks as it takes; an empty
+table has no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from trivalent.llm.tokens import encoder
 
 BLOCK_BYTES = 4 << 20
 FILE_BYTES = 256 << 20
+READERS = 20_000
 
 
 def write_flat(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -84,10 +87,14 @@ def scan(files: DataFrame, end_id: int, width: int, block_bytes: int = BLOCK_BYT
                 places = np.flatnonzero(np.frombuffer(data, f"<u{width}") == end_id) + block * (block_bytes // width)
                 yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([size]), pa.array([block]), pa.array([places], pa.list_(pa.int64()))], names=["file", "size", "block", "ends"])
 
-    found = blocks.repartition("file", "block").mapInArrow(search, "file string, size long, block long, ends array<bigint>")
+    tasks = max(1, min(blocks.count(), READERS))  # a number that adaptive execution leaves alone, however small the table of blocks is
+    found = stored(blocks.repartition(tasks).mapInArrow(search, "file string, size long, block long, ends array<bigint>"), "separators")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = found.withColumn("open", F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))).over(before) + 1, F.lit(0).cast("long")))
-    carried = carried.withColumn("count", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0).cast("long")))
+    summary = found.select("file", "block", F.try_element_at("ends", F.lit(-1)).alias("last"), F.size("ends").alias("n"))  # the prefix scan sees two numbers a block
+    opened = summary.select(
+        "file", "block", F.coalesce(F.max("last").over(before) + 1, F.lit(0).cast("long")).alias("open"), F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("count")
+    )
+    carried = found.join(opened, ["file", "block"])
     last = F.col("block") == F.floor((F.col("size") - 1) / block_bytes)
     tail = F.coalesce(F.try_element_at("ends", F.lit(-1)) + 1, F.col("open"))
     ids = (F.col("size") / width).cast("long")

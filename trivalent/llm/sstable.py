@@ -12,7 +12,9 @@ manifest, a Parquet table that Spark commits, says which shards count: a lost ex
 unreferenced file. A document's start is a prefix sum over the manifest, one row a shard, plus its place within.
 
 Defined cases: a null or empty text has only the end id; a null doc_id has the empty key, before all others;
-rows of one doc_id stand together, ordered by a hash of the text and then the text; an empty table has no shard.
+rows of one doc_id stand together, ordered by a hash of the text and then the text, repeated rows each; a very long
+text is a value like any other, its block as large as it; an empty table has no shard; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from trivalent.llm.tokens import encoder
 
 BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 64 << 20
+READERS = 20_000
 END_ID = 1
 MAGIC = b"TVSSTAB1"
 FOOTER = struct.Struct("<QQQQIIQQ8s")
@@ -225,6 +228,11 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
     return stored(dealt.mapInArrow(write, MANIFEST), "manifest")
 
 
+def _tasks(manifest: DataFrame) -> int:
+    """A task for each shard, up to READERS: a number that adaptive execution leaves alone, however small the manifest is."""
+    return max(1, min(manifest.count(), READERS))
+
+
 def read_shards(manifest: DataFrame, ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, read from the shards; with ids also the ids."""
     before = Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)
@@ -250,7 +258,7 @@ def read_shards(manifest: DataFrame, ids: bool = True) -> DataFrame:
         kinds = [pa.int64()] * 4 + [pa.list_(pa.int32())] * ids
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=False)], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(kinds)])
 
-    return placed.repartition("shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
+    return placed.repartition(_tasks(manifest)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
 
 
 def lookup(manifest: DataFrame, doc_ids: list[int]) -> DataFrame:
@@ -268,4 +276,4 @@ def lookup(manifest: DataFrame, doc_ids: list[int]) -> DataFrame:
                         if found:
                             yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(found)), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return manifest.select("shard", "first_id", "last_id").repartition("shard").mapInArrow(search, "doc_id long, ids array<int>")
+    return manifest.select("shard", "first_id", "last_id").repartition(_tasks(manifest)).mapInArrow(search, "doc_id long, ids array<int>")

@@ -11,8 +11,9 @@ The packed benchmark goes to the executors as a broadcast while it is below `bro
 each executor reads it block by block from the shared folder.
 
 Defined cases: a null, empty or wordless text has no words and is never contaminated; a wordless item
-never occurs; items of one id count once; a null item_id marks words but isn't listed; repeated rows and ties
-each return.
+never occurs; items of one id count once; a null item_id marks words but isn't listed; a very long text is a shard of
+its own; an empty benchmark hits nothing, and an empty table has no rows; repeated rows and ties each return; extra
+columns, whatever their names, are not read by matches and come back from decontaminate.
 """
 
 from __future__ import annotations

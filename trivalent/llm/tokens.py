@@ -1,7 +1,8 @@
 """Token ids of whole texts, each distinct piece between ASCII white space encoded once by the tokenizers library.
 
 ASCII white space ends every pre-token of the word-level vocabulary, so a text's ids are those of its pieces in
-order; tests hold this against the library on whole texts. Pieces are remembered as little-endian bytes of their
+order; tests hold this against the library on whole texts. A vocabulary of another kind (told by its normalizer,
+pre-tokenizer and post-processor) is not cut: its whole texts go to the library. Pieces are remembered as little-endian bytes of their
 ids, and a text's ids are one join of them. The memory has two generations of `remember` pieces: when the younger
 is full it becomes the older, from which pieces that recur come back.
 """
@@ -21,6 +22,16 @@ _ALPHABET = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate
 _MARKS = ".,;:!?"
 
 
+def word_level(tokenizer) -> bool:
+    """Whether this is a vocabulary whose pre-tokens end at white space and whose case is dropped, so that texts may be encoded by pieces."""
+    import json
+
+    made = json.loads(tokenizer.to_str())
+    steps = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers", [])]
+    model = made["model"]
+    return steps == ["NFC", "Replace", "Lowercase"] and model.get("end_of_word_suffix") == "</w>" and (made.get("pre_tokenizer") or {}).get("type") == "Sequence"
+
+
 class PieceEncoder:
     def __init__(self, path: str, special_as_text: bool = False, remember: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -28,6 +39,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
+        self.by_piece = word_level(self.tokenizer)
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -71,6 +83,10 @@ class PieceEncoder:
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, as bytes of self.dtype."""
+        if not self.by_piece:
+            for text in texts:
+                yield self._whole([text or ""])[0]
+            return
         for group in self._groups(texts):
             new = {p for pieces in group for p in pieces}.difference(self.known)
             if len(self.known) + len(new) > self.remember:
