@@ -8,7 +8,8 @@ occurrences. Consecutive occurrences along one diagonal of (document word, item
 verbatim match and its place. Words in any occurrence are hit; documents with enough of them go.
 
 The packed benchmark goes to the executors as a broadcast while it is below `broadcast_bytes`; beyond that,
-each executor reads it block by block from the shared folder.
+each task reads it block by block from the shared folder, once for every `SHARDS` shards of documents. The result is
+the same.
 
 Defined cases: a null, empty or wordless text has no words and is never contaminated; a wordless item
 never occurs; items of one id count once; a null item_id marks words but isn't listed; a very long text is a shard of
@@ -33,6 +34,8 @@ WINDOW = 13
 #: Packed benchmark bytes up to which it is broadcast.
 BROADCAST_BYTES = 24 << 20
 PACK_BYTES = 1 << 20
+#: Shards that a task holds at once: it reads a benchmark that isn't broadcast once for so many.
+SHARDS = 32
 FIELDS = "n_words long, n_hit long, items array<string>, longest_words long, longest_at long"
 
 
@@ -113,39 +116,63 @@ def _longest(doc: np.ndarray, item: np.ndarray, offset: np.ndarray, place: np.nd
 
 def scan(texts: pa.Array, blocks: Callable[[], Iterator[dict]]) -> list[pa.Array]:
     """For each text: words, words hit, the items that occur, and the longest match with its first word."""
-    words, hits, items, longest, longest_at = [], [], [], [], []
-    for a, b, raw, at in text_slices(texts):
-        _, _, border, hashes = words_of(raw, at)
-        marks = np.zeros(len(hashes) + 1, np.int64)
-        found: list[set[str]] = [set() for _ in range(b - a)]
-        most, where = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)
+    out: tuple[list, ...] = ([], [], [], [], [])
+    shards: list[Shard] = []
+
+    def search() -> None:
+        """Each block is read once for all the shards held."""
         for block in blocks():
-            place, window = occurrences(block, *suffix_array(block, block["vocabulary"](hashes), border))
-            if not len(place):
-                continue
-            length = block["length"][window]
-            np.add.at(marks, place, 1)
-            np.add.at(marks, place + length, -1)
-            doc = np.searchsorted(border, place, "right") - 1
-            n = np.diff(block["of_border"])[window]
-            of = ranges(block["of_border"][window], n)
-            item, offset = block["of_item"][of], block["of_offset"][of]
-            doc, place, length = np.repeat(doc, n), np.repeat(place, n), np.repeat(length, n)
-            for d, i in np.unique(np.stack([doc, item], 1), axis=0).tolist():
-                if block["ids"][i] is not None:
-                    found[d].add(block["ids"][i])
-            doc, n, place = _longest(doc, item, offset, place, length)
-            more = n > most[doc]
-            most[doc[more]], where[doc[more]] = n[more], (place - border[doc])[more]
-        hit = np.concatenate([[0], np.cumsum(np.cumsum(marks[:-1]) > 0)])
-        words.append(np.diff(border))
-        hits.append(np.diff(hit[border]))
-        items += [sorted(x) for x in found]
-        longest.append(most)
-        longest_at.append(where)
+            for shard in shards:
+                shard.search(block)
+        for shard in shards:
+            for column, values in zip(out, shard.found(), strict=True):
+                column.append(values)
+        shards.clear()
+
+    for _, _, raw, at in text_slices(texts):
+        _, _, border, hashes = words_of(raw, at)
+        shards.append(Shard(border, hashes))
+        if len(shards) == SHARDS:
+            search()
+    search()
     whole = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
+    words, hits, items, longest, longest_at = out
     most = whole(longest)
-    return [pa.array(whole(words)), pa.array(whole(hits)), pa.array(items, pa.list_(pa.string())), pa.array(most), pa.array(whole(longest_at), mask=most == 0)]
+    return [pa.array(whole(words)), pa.array(whole(hits)), pa.array([x for some in items for x in some], pa.list_(pa.string())), pa.array(most), pa.array(whole(longest_at), mask=most == 0)]
+
+
+class Shard:
+    """The words of a slice of texts, and what was found in them."""
+
+    def __init__(self, border: np.ndarray, hashes: np.ndarray) -> None:
+        self.border, self.hashes = border, hashes
+        n = len(border) - 1
+        self.marks = np.zeros(len(hashes) + 1, np.int32)
+        self.items: list[set[str]] = [set() for _ in range(n)]
+        self.most, self.where = np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+    def search(self, block: dict) -> None:
+        place, window = occurrences(block, *suffix_array(block, block["vocabulary"](self.hashes), self.border))
+        if not len(place):
+            return
+        length = block["length"][window]
+        np.add.at(self.marks, place, 1)
+        np.add.at(self.marks, place + length, -1)
+        doc = np.searchsorted(self.border, place, "right") - 1
+        n = np.diff(block["of_border"])[window]
+        of = ranges(block["of_border"][window], n)
+        item, offset = block["of_item"][of], block["of_offset"][of]
+        doc, place, length = np.repeat(doc, n), np.repeat(place, n), np.repeat(length, n)
+        for d, i in np.unique(np.stack([doc, item], 1), axis=0).tolist():
+            if block["ids"][i] is not None:
+                self.items[d].add(block["ids"][i])
+        doc, n, place = _longest(doc, item, offset, place, length)
+        more = n > self.most[doc]
+        self.most[doc[more]], self.where[doc[more]] = n[more], (place - self.border[doc])[more]
+
+    def found(self) -> tuple:
+        hit = np.concatenate([[0], np.cumsum(np.cumsum(self.marks[:-1]) > 0)])
+        return np.diff(self.border), np.diff(hit[self.border]), [sorted(x) for x in self.items], self.most, self.where
 
 
 _LOADED: dict[str, list[dict]] = {}
