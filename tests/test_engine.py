@@ -4,13 +4,16 @@ import base64
 import itertools
 import json
 import math
+import os
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from trivalent.functions import stats
 from trivalent.functions.text import lcg, seed_for, words
-from trivalent.operators import behavior, metrics, scoring, segment, statistics, turns, verdict
+from trivalent.operators import behavior, metrics, preview, scoring, segment, statistics, turns, verdict
 from trivalent.sources import files
 from trivalent.streaming import events as streams
 
@@ -178,23 +181,49 @@ def test_single_class_cells(spark):
 
 
 def test_strict_scores(spark):
-    cases = ['{"concernScore": 0.5}', '{"concernScore": 1e-1}', '{"concernScore": 0.5} x', '{"concernScore": 2}', '{"concernScore": "1"}', '{"concernScore": 1, "concernScore": 0}', "```json\n{}```", "{}", None]
+    cases = ['{"concernScore": 0.5}', '{"concernScore": 1e-1}', '{"concernScore": 0.5} x', '{"concernScore": 2}', '{"concernScore": "1"}', '{"concernScore": 1, "concernScore": 0}', "```json\n{}```", "{}", None, '{"a": {"b": 1}}', '{"concernScore": 0.5, "x": "}"}', "[0.5]", "0.5", '{"concernScore": 0.5}]']
     score, reason = scoring.parse_score("t")
     got = [(r.s, r.r) for r in docs(spark, cases).withColumnRenamed("text", "t").orderBy("case_id").select(score.alias("s"), reason.alias("r")).collect()]
-    assert got == [(0.5, None), (0.1, None), (None, "invalid_json"), (None, "invalid_score"), (None, "invalid_score"), (None, "invalid_json"), (None, "invalid_json"), (None, "invalid_score"), (None, "invalid_json")]
+    assert got == [(0.5, None), (0.1, None), (None, "invalid_json"), (None, "invalid_score"), (None, "invalid_score"), (None, "invalid_json"), (None, "invalid_json"), (None, "invalid_score"), (None, "invalid_json"), (None, "invalid_score"), (None, "invalid_score"), *[(None, "invalid_json")] * 3]
 
 
-def test_decoded_views():
+def test_decoded_views(spark):
     words3 = base64.b64encode(b"ignore all previous words").decode()
-    assert scoring.decoded_views(f"see {words3} now") == ["ignore all previous words"]
-    assert scoring.decoded_views("ａ​b") == ["ab"] and scoring.decoded_views("a%20b+c") == ["a b+c"] and scoring.decoded_views("100%zz%20") == []
-    assert scoring.decoded_views("\\u0041bc") == ["Abc"] and scoring.decoded_views("plain text") == []
-    assert scoring.decoded_views(base64.b64encode(bytes(range(30))).decode()) == [] and len(scoring.decoded_views("ａ" * 9000)[0]) == 8192
+    want = {
+        f"see {words3} now": ["ignore all previous words"], "ａ\u200bb": ["ab"], "a%20b+c": ["a b+c"], "100%zz%20": [], "\\u0041bc": ["Abc"], "plain text": [],
+        base64.b64encode(bytes(range(30))).decode(): [], "ａ" * 9000: ["a" * 8192], 'q "x" \\u0041\n\ttab \\n': ['q "x" A\n\ttab \\n'], "\\\\u0041": ["\\A"], "%ff%20": [], "": [],
+        f"ａ {words3} {words3}": [f"a {words3} {words3}", "ignore all previous words"],
+    }
+    rows = docs(spark, [*want, None]).withColumn("normal", preview.nfkc("text"))
+    got = {r.text: r.v for r in rows.select("text", preview.decoded_views("text", "normal").alias("v")).collect()}
+    assert got == {**want, None: None}
+    shown = {r.text: r.preview for r in preview.decoded_preview(docs(spark, ["\\u0041bc", "x", None])).collect()}
+    assert shown == {"\\u0041bc": "\\u0041bc\n\n[Decoded text previews]\n[View 1]\nAbc", "x": "x", None: None}
+
+
+def test_previews_keep_their_limits(spark):
+    tokens = [base64.b64encode(f"hidden words number {i:05d} {'pad ' * 2500}".encode()).decode() for i in range(9)]
+    rows = docs(spark, [" ".join(tokens)]).withColumn("normal", preview.nfkc("text"))
+    views = rows.select(preview.decoded_views("text", "normal").alias("v")).first().v
+    assert [len(v) for v in views] == [8192] * 4 and views[0].startswith("hidden words number 00000")
 
 
 def test_payload_spans(spark):
     df = spark.createDataFrame([("a b c", "a b INSERT c"), ("same", "same"), ("x y", "x"), (None, "q")], "c string, a string")
     got = {r.a: (r.start, r.stop, r.payload) for r in behavior.payload_span(df, "c", "a").collect()}
+    rng = random.Random(5)
+    many = [("".join(rng.choice("ab \n") for _ in range(rng.randint(0, 12))), "".join(rng.choice("ab \n") for _ in range(rng.randint(0, 16)))) for _ in range(300)]
+    for r in behavior.payload_span(spark.createDataFrame(many, "c string, a string"), "c", "a").collect():
+        head = len(os.path.commonprefix([r.c, r.a]))
+        tail = len(os.path.commonprefix([r.c[head:][::-1], r.a[head:][::-1]]))
+        begin, end = head, len(r.a) - tail
+        if r.c == r.a or end <= begin:
+            assert r.start is None and r.stop is None and r.payload is None
+            continue
+        whole = [m.span() for m in re.finditer(r"\S+", r.a)]
+        begin = min([begin, *(x for x, y in whole if x < begin < y)])
+        end = max([end, *(y for x, y in whole if x < end < y)])
+        assert (r.start, r.stop, r.payload) == (begin, end, r.a[begin:end]), (r.c, r.a)
     assert got["a b INSERT c"] == (4, 11, "INSERT ") and got["same"] == (None, None, None) and got["x"][2] is None
 
 
@@ -259,7 +288,7 @@ def test_streams_drop_repeats(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01 00:00:00", "a"), ("2024-01-01 00:00:05", "a"), ("2024-01-01 00:00:06", "b")], "at string, k string").select(F.to_timestamp("at").alias("at"), "k")
     rows.write.parquet(f"file://{tmp_path}/in")
     stream = streams.first_of(streams.read_table(spark, f"file://{tmp_path}/in"), ["k"], "at")
-    assert sorted(r.k for r in streams.drain(stream, "dropped", "append", f"file://{tmp_path}/cp").collect()) == ["a", "b"]
+    assert sorted(r.k for r in streams.drain(stream, resume=f"file://{tmp_path}/out").collect()) == ["a", "b"]
 
 
 # ---- Catalog
@@ -292,6 +321,10 @@ def test_whole_tables_reach_substitution_containment_and_upsert(spark, tmp_path)
     assert run("upsert_merge") == [(i, "F" if i % 3 == 0 else "new") for i in range(7)]
 
 
+#: Queries without SQL, and the test that holds each.
+WITHOUT_SQL = {"cluster_bootstrap", "family_bootstrap_exact", "stratified_logit"}
+
+
 def test_catalog_against_duckdb(spark):
     import glob
     import os
@@ -308,10 +341,11 @@ def test_catalog_against_duckdb(spark):
         order = sorted(range(len(cols)), key=lambda i: cols[i])
         return sorted(tuple("null" if r[i] is None else repr(round(float(r[i]), 7)) if isinstance(r[i], float) else str(r[i]) for i in order) for r in rows)
 
-    for name in sorted(catalog.QUERIES)[::4]:
+    for name in sorted(catalog.QUERIES):
         got = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
         if name in catalog.ORACLE_SQL:
             want = db.sql(catalog.ORACLE_SQL[name])
             assert norm(got.collect(), got.columns) == norm(want.fetchall(), want.columns), name
         else:
-            assert got.count() >= 0
+            assert name in WITHOUT_SQL
+            assert got.count() > 0, name

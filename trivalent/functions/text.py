@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 SPACE = r"\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 
+def ascii_words(pattern: str) -> str:
+    r"""The pattern with ASCII word borders; Java's own `\b` also knows other letters, or not, by its version. A border before a letter or a group is a word's beginning, any other its end."""
+    return re.sub(r"\\b(?=[A-Za-z(])", "(?<![A-Za-z0-9_])", pattern).replace(r"\b", "(?![A-Za-z0-9_])")
+
+
 def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 

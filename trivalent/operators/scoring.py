@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
-import base64
-import re
-import unicodedata
 from collections.abc import Callable, Iterator
-from urllib.parse import unquote_to_bytes
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trivalent.functions.text import col, is_blank, words
+from trivalent.functions.text import ascii_words, col, is_blank, words
 
-_OBJECT = r"^\s*\{[^{}]*\}\s*$"
-_ONE_KEY = r"^\s*\{\s*\"concernScore\"\s*:\s*(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)\s*\}\s*$"
+def strict_json(text: Column | str) -> Column:
+    """The variant of a text that is one JSON value and nothing else, or null. The parser lets text after a value pass, so the value must stand between brackets of both kinds."""
+    t = col(text)
+    listed = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+    keyed = F.try_parse_json(F.concat(F.lit('{"x":'), t, F.lit("}")))
+    alone = F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(keyed, "$.x", "variant"))
+
+
+#: How schema_of_variant writes numbers.
+_NUMBER = r"(BIGINT|DOUBLE|DECIMAL\([0-9]+,[0-9]+\))"
 
 
 def parse_score(content: Column | str) -> tuple[Column, Column]:
     """(score, reason): the whole content must be one object whose only field is a number from 0 to 1. A repeated key is invalid JSON here."""
-    text = col(content)
-    value = F.nullif(F.regexp_extract(text, _ONE_KEY, 1), F.lit("")).cast("double")
-    is_json = F.try_parse_json(text).isNotNull() & text.rlike(_OBJECT)
-    score = F.when((value >= 0) & (value <= 1), value)
-    reason = F.when(score.isNotNull(), None).when(is_json, "invalid_score").otherwise("invalid_json")
-    return score, reason
+    answer = strict_json(content)
+    shape = F.schema_of_variant(answer)
+    value = F.when(shape.rlike(rf"^OBJECT<concernScore: {_NUMBER}>$"), F.try_variant_get(answer, "$.concernScore", "double"))
+    score = F.when(value.between(0, 1), value)
+    return score, F.when(score.isNotNull(), None).when(shape.startswith("OBJECT"), "invalid_score").otherwise("invalid_json")
 
 
 def assess(finish: Column | str, content: str, reasoning: Column | str, threshold: float = 0.5, comparator: str = ">") -> dict[str, Column]:
@@ -42,24 +46,24 @@ def assess(finish: Column | str, content: str, reasoning: Column | str, threshol
 
 
 def abstention_kind(finish: Column | str, content: str) -> Column:
-    """What an unusable final answer looks like."""
-    text = F.col(content)
-    parsed = F.try_parse_json(text)
-    score = F.try_variant_get(parsed, "$.concernScore", "double")
-    keys = F.json_object_keys(text)
-    number = F.get_json_object(text, "$.concernScore").rlike(r"^-?[0-9.]+([eE][+-]?[0-9]+)?$") & ~text.rlike(r'"concernScore"\s*:\s*"')
-    return (
-        F.when(F.coalesce(col(finish), F.lit("")) != "stop", "non_stop_finish")
-        .when(text.isNull(), "other")
-        .when(is_blank(text), "empty")
-        .when(parsed.isNull() | text.rlike(r"^\s*\{[^{}]*\}\s*[^\s]"), F.when(F.try_parse_json(F.regexp_extract(text, r"^\s*(\{[^{}]*\})", 1)).isNotNull() & text.rlike(r"^\s*\{[^{}]*\}"), "unparsable_trailing_text").otherwise("unparsable_other"))
-        .when(keys.isNull(), "non_object_json")
-        .when(~F.array_contains(keys, "concernScore"), "wrong_or_missing_key")
-        .when(~F.coalesce(number, F.lit(False)), "non_numeric_score")
-        .when(F.size(keys) > 1, "extra_keys")
-        .when((score < 0) | (score > 1), "out_of_range_score")
-        .otherwise("other")
-    )
+    """What an unusable final answer looks like, told from the schema of its JSON: of several faults the one that keeps a score furthest away."""
+    text, answer = F.col(content), strict_json(content)
+    shape = F.schema_of_variant(answer)
+    fields = F.array_size(F.json_object_keys(content))
+    value = F.try_variant_get(answer, "$.concernScore", "variant")
+    lead = strict_json(F.regexp_extract(text, r"^\s*(\{[^{}]*\})", 1))
+    faults = {
+        "non_stop_finish": ~F.coalesce(col(finish) == "stop", F.lit(False)),
+        "empty": text.isNotNull() & is_blank(text),
+        "unparsable_trailing_text": answer.isNull() & lead.isNotNull(),
+        "unparsable_other": answer.isNull() & text.isNotNull(),
+        "non_object_json": ~shape.startswith("OBJECT"),
+        "wrong_or_missing_key": text.isNotNull() & ~shape.rlike(r"[<, ]concernScore: "),
+        "non_numeric_score": ~F.schema_of_variant(value).rlike(f"^{_NUMBER}$"),
+        "extra_keys": fields > 1,
+        "out_of_range_score": ~value.cast("double").between(0, 1),
+    }
+    return F.coalesce(*[F.when(test, name) for name, test in faults.items()], F.lit("other"))
 
 
 def managed_filter(filters: Column | str) -> dict[str, Column]:
@@ -105,60 +109,10 @@ def function_aggregate(segments: DataFrame, keys: list[str], decide: Callable[[p
     return segments.groupBy(*keys).applyInPandas(lambda pdf: pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), bool(decide(pdf))]], columns=[*keys, "flagged"]), schema)
 
 
-_INVISIBLE = re.compile("[\u200B-\u200F\u202A-\u202E\u2060-\u206F\uFEFF]")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{24,}={0,2}(?![A-Za-z0-9+/=])")
-#: Limits of the preview: views, characters a view, characters in all, and of a Base64 token. Fixed values.
-VIEWS, VIEW_CHARS, ALL_CHARS, TOKEN_CHARS = 8, 8192, 32768, 16384
-
-
-def decoded_views(text: str) -> list[str]:
-    """Bounded decodings of a text, one pass each, none of a decoding: normalised, unescaped, percent-decoded, and readable Base64."""
-    views: list[str] = []
-
-    def add(view: str) -> None:
-        room = ALL_CHARS - sum(map(len, views))
-        if view != text and view.strip() and view not in views and len(views) < VIEWS and room > 0:
-            views.append(view[: min(VIEW_CHARS, room)])
-
-    add(_INVISIBLE.sub("", unicodedata.normalize("NFKC", text)))
-    if re.search(r"\\u[0-9a-fA-F]{4}", text):
-        units = re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), text)
-        add(units.encode("utf-16", "surrogatepass").decode("utf-16", "replace"))
-    if re.search(r"%[0-9a-fA-F]{2}", text) and not re.search(r"%(?![0-9a-fA-F]{2})", text):
-        try:
-            add(unquote_to_bytes(text).decode("utf-8"))
-        except UnicodeDecodeError:
-            pass
-    for token in _TOKEN.findall(text):
-        if len(token) > TOKEN_CHARS or len(token) % 4:
-            continue
-        raw = base64.b64decode(token)
-        if base64.b64encode(raw).decode() != token:
-            continue
-        try:
-            decoded = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if not re.search(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", decoded) and len(decoded.split()) >= 3:
-            add(decoded)
-    return views
-
-
-def decoded_preview(df: DataFrame, text: str = "text", name: str = "preview") -> DataFrame:
-    @F.pandas_udf("string")
-    def preview(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str | None:
-            views = decoded_views(t) if t else []
-            return t + "\n\n[Decoded text previews]\n" + "\n".join(f"[View {i + 1}]\n{v}" for i, v in enumerate(views)) if views else t
-
-        return texts.map(one, na_action="ignore")
-
-    return df.withColumn(name, preview(text))
-
-
 #: Cue patterns, counted per hundred words: fixed values.
 CUES = {
     "you": r"\b(you|your|yours|yourself|yourselves)\b",
+    "ai_address": r"\b(assistant|ai|chatbot|llm|llms|chatgpt|gpt|claude|language model|ai model)\b",
     "override": r"\b(ignore|disregard|override|instruction|instructions|system|prompt|previous|forget)\b",
     "modal": r"\b(must|should|shall|need to|have to|required|important|immediately|urgent)\b",
     "please": r"\bplease\b",
@@ -172,5 +126,5 @@ def lexical_features(df: DataFrame, imperatives: list[str], text: str = "text")
     first = F.filter(sentences, lambda s: F.regexp_extract(s, r"([a-z][a-z']*)", 1).isin(*imperatives))
     n = F.size(words(text))
     share = F.when(F.size(sentences) > 0, F.size(first) / F.size(sentences)).otherwise(0.0)
-    counts = {k: F.when(n > 0, 100.0 * F.regexp_count(low, F.lit(p)) / n).otherwise(0.0) for k, p in CUES.items()}
+    counts = {k: F.when(n > 0, 100.0 * F.regexp_count(low, F.lit(ascii_words(p))) / n).otherwise(0.0) for k, p in CUES.items()}
     return df.withColumns({"imperative_initial": share, **counts})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trivalent.functions.text import col, is_blank, sha, trimmed
+from trivalent.functions.text import SPACE, col, is_blank, sha, trimmed
 
 ORIGINS = {"system": "operator", "assistant": "agent", "user": "external"}
 ACTIONS = {"operator": "observe", "agent": "observe", "external": "abort"}
@@ -40,18 +40,36 @@ def select_turns(turns: Column | str, selection: str) -> Column:
 
 
 def redact(df: DataFrame, registry: DataFrame, text: str = "text", span: str = "text", least: int = 40, batch: int = 1000, name: str = "redacted") -> DataFrame:
-    """Replace every registered span by one space, longest first.
+    """Replace every registered span of `least` characters or more by one space, longest first.
 
-    Spans go in batches of bounded number, each a one-row table that joins every text, so a large registry costs passes, not memory.
+    A span's longest inner word (with white space on both sides within the span) stands as a word in every text that
+    holds the span, so candidates meet by an equi-join on words; of these, spans that a text really holds are replaced.
+    Work grows with candidates, not with spans times texts. Spans without an inner word, rare at that length, go over
+    all texts in batches of bounded number. Each distinct text is redacted once.
     """
-    spans = registry.select(trimmed(span).alias("s")).where(F.length("s") >= least).distinct()
-    ranked = spans.withColumn("nth", F.row_number().over(Window.orderBy(F.desc(F.length("s")), "s")) - 1)
-    batches = ranked.groupBy(F.floor(F.col("nth") / batch).alias("b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "s"))), lambda x: x["s"]).alias("spans_"))
-    out = df.withColumn(name, F.col(text))
-    for b in range(-(-spans.count() // batch)):
-        one = F.broadcast(batches.where(F.col("b") == b).select("spans_"))  # one row of at most `batch` spans
-        out = out.crossJoin(one).withColumn(name, F.aggregate("spans_", F.col(name), lambda acc, s: F.replace(acc, s, F.lit(" ")))).drop("spans_")
-    return out
+    spans = registry.select(trimmed(span).alias("span")).where(F.length("span") >= least).distinct()
+    inner = F.split("span", rf"[{SPACE}]+")
+    anchor = F.array_max(F.transform(F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    anchored = spans.withColumn("word", anchor)
+    texts = df.select(F.col(text).alias("body")).where(F.col("body").isNotNull()).select(sha("body").alias("key"), "body").dropDuplicates(["key"])
+    met = texts.select("key", F.explode(F.array_distinct(F.split("body", rf"[{SPACE}]+"))).alias("word")).join(anchored.where("word IS NOT NULL"), "word").select("key", "span")
+    held = texts.join(met, "key").where(F.contains("body", F.col("span"))).select("key", "body", "span")
+    lists = held.groupBy("key").agg(F.first("body").alias("body"), F.array_sort(F.collect_list(F.struct((-F.length("span")).alias("n"), "span"))).alias("spans"))
+    shorter = lists.select("key", F.aggregate("spans", F.col("body"), lambda acc, s: F.replace(acc, s["span"], F.lit(" "))).alias("body"))
+    out = df.withColumn("key_", sha(text)).join(shorter.select(F.col("key").alias("key_"), F.col("body").alias("body_")), "key_", "left")
+    out = out.withColumn(name, F.coalesce("body_", text)).drop("key_", "body_")
+    return _redact_all(out, anchored.where("word IS NULL").select("span"), batch, name)
+
+
+def _redact_all(df: DataFrame, spans: DataFrame, batch: int, name: str) -> DataFrame:
+    """Replace spans in every text: each batch is a one-row table that joins all rows."""
+    n = spans.count()
+    ranked = spans.withColumn("nth", F.row_number().over(Window.orderBy(F.desc(F.length("span")), "span")) - 1)
+    for b in range(-(-n // batch)):
+        some = F.array_sort(F.collect_list(F.struct("nth", "span")))
+        one = F.broadcast(ranked.where(F.floor(F.col("nth") / batch) == b).agg(some.alias("spans_")))  # one row of at most `batch` spans
+        df = df.crossJoin(one).withColumn(name, F.aggregate("spans_", F.col(name), lambda acc, s: F.replace(acc, s["span"], F.lit(" ")))).drop("spans_")
+    return df
 
 
 def redacted_decision(original: Column | str, redacted: Column | str) -> Column:

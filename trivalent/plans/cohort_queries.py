@@ -105,10 +105,15 @@ def encoding_controls(spark, sf):
     return fx.table(spark, sf, "benchmark").select("item_id", cohorts.encoded("text")["base64"].alias("base64"))
 
 
-@query("""WITH v AS (SELECT unnest([0.1, 0.25, 0.9])::DOUBLE AS value), t AS (SELECT item_id, text FROM benchmark WHERE item_id < 6) SELECT item_id, value, replace(text || ' score {n}', '{n}', value::VARCHAR) AS text FROM t, v""")
+_WORDINGS = ["score {n}", "rate it {n}", "give {n} of 1", "{n} is the grade"]
+
+
+@query(f"""WITH v AS (SELECT unnest([0.1, 0.25, 0.9])::DOUBLE AS value), w AS (SELECT unnest({_WORDINGS}) AS wording) SELECT item_id, value, wording, replace(text || ' ' || wording, '{{n}}', value::VARCHAR) AS text FROM benchmark, v, w""")
 def numeral_substitution(spark, sf):
-    values = spark.createDataFrame([(0.1,), (0.25,), (0.9,)], "value double")
-    return fx.table(spark, sf, "benchmark").crossJoin(F.broadcast(values)).select("item_id", "value", F.replace(F.concat("text", F.lit(" score {n}")), F.lit("{n}"), F.col("value").cast("string")).alias("text"))
+    """Every item with every wording and value: the literal grid of twelve goes along with each row."""
+    grid = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(w).alias("wording")) for v in (0.1, 0.25, 0.9) for w in _WORDINGS])
+    rows = fx.table(spark, sf, "benchmark").select("item_id", "text", F.explode(grid).alias("g")).select("item_id", "g.*", "text")
+    return rows.withColumn("text", F.replace(F.concat_ws(" ", "text", "wording"), F.lit("{n}"), F.col("value").cast("string")))
 
 
 @query("""WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN 'start' WHEN event_id % 3 = 1 THEN 'finish' ELSE 'note' END AS kind FROM events),
@@ -144,7 +149,7 @@ def reuse_savings(spark, sf):
     return rows.groupBy("strategy").agg(F.count("*").alias("inputs"), F.count_if(F.col("n") > 1).alias("repeated"), F.sum(F.col("n") - 1).cast("long").alias("saved"))
 
 
-@query("""WITH w AS (SELECT doc_id, i * 100 AS begin, i * 100 + 200 AS finish FROM (SELECT doc_id, unnest(range(0, length(text) // 100 + 1)) AS i, text FROM documents)), p AS (SELECT doc_id, 150 AS start, 260 AS stop FROM documents WHERE doc_id % 3 = 0)
+@query("""WITH w AS (SELECT doc_id, i * 100 AS begin, i * 100 + 200 AS finish FROM (SELECT doc_id, unnest(range(0, length(text) // 100 + 1)) AS i, text FROM documents)), p AS (SELECT doc_id, 150 AS start, 260 AS stop FROM documents)
 SELECT doc_id, begin, finish FROM w JOIN p USING (doc_id) WHERE begin <= start AND finish >= stop""")
 def span_containment(spark, sf):
     docs = fx.table(spark, sf, "documents")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trivalent.session import shared_dir
+
 
 def read_log(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
     """JSON event files as they arrive."""
@@ -35,8 +37,18 @@ def windowed_counts(events: DataFrame, at: str, key: str, width: str, late: str
     return events.withWatermark(at, late).groupBy(F.window(at, width), key).agg(F.count("*").alias("events"))
 
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all that is there, into a table in memory, for tests and small results."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, mode: str = "append", resume: str | None = None) -> DataFrame:
+    """Run a stream over all that is there and return what it wrote, as Parquet in the shared folder.
+
+    Each call has a folder and a checkpoint of its own; given `resume`, a folder, a later call goes on where the last one ended.
+    Only appending streams have files: another mode's result is that of its last batch.
+    """
+    spark = stream.sparkSession
+    root = resume or shared_dir(spark, "stream")
+    started = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        started = started.format("parquet").option("path", f"{root}/rows").start()
+    else:
+        started = started.outputMode(mode).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/rows")).start()
+    started.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
