@@ -284,6 +284,45 @@ def test_sinks(spark):
     assert sorted((r.k, r.v) for r in files.insert_missing(old, new, ["k"]).collect()) == [(1, "old"), (2, "old"), (3, "new")]
 
 
+def test_csv_checkpoints_and_reports(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,body,label\n1,"two\nlines, ""quoted""",bad\n2,plain,ok\n')
+    rows = files.read_csv(spark, f"file://{tmp_path}/a.csv", "body", F.col("label") == "bad", "id").orderBy("case_id").collect()
+    assert [(r.case_id, r.text, r.positive) for r in rows] == [("1", 'two\nlines, "quoted"', True), ("2", "plain", False)]
+    planned = spark.createDataFrame([(i, "m", None) for i in range(5)], "segment int, model string, prompt string")
+    for part in ((0, 1), (3,)):
+        files.append_run(planned.where(F.col("segment").isin(*part)), f"file://{tmp_path}/run", "r1")
+    done = spark.read.parquet(f"file://{tmp_path}/run")
+    assert sorted(r.segment for r in files.unfinished(planned, done, ["segment"], ["model", "prompt"]).collect()) == [2, 4]
+    with pytest.raises(ValueError):
+        files.unfinished(planned.withColumn("prompt", F.lit("p")), done, ["segment"], ["model", "prompt"])
+    lines = [r.value for r in files.report_lines(spark.createDataFrame([(2, "b|c"), (1, None)], "n int, s string"), ["n"]).collect()]
+    assert lines == ["| n | s |", "| --- | --- |", "| 1 |  |", "| 2 | b\\|c |"]
+
+
+def test_paired_bootstrap_is_that_of_redrawn_cases(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(g, bool(i % 3 == 0), bool(rng.random() < 0.7), bool(rng.random() < 0.5)) for g in ("x", "y") for i in range(60)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "g int, d string, y boolean, a boolean, b boolean")
+    got = statistics.paired_bootstrap(df, ["g"], "d", "y", "a", "b", reps=3000).first()
+    scored = df.select("g", "d", "y", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
+    area = statistics.paired_bootstrap(scored, ["g"], "d", "y", "a", "b", kind="auroc", reps=3000).first()
+
+    def accuracy(part, at):
+        return np.mean([np.mean([r[at] for r in part if r[1]]), np.mean([not r[at] for r in part if not r[1]])])
+
+    def gap(parts):
+        return np.mean([accuracy(p, 2) - accuracy(p, 3) for p in parts])
+
+    parts = [[r for r in rows if r[0] == g] for g in ("x", "y")]
+    sides = [[[r for r in p if r[1] == y] for y in (True, False)] for p in parts]
+    drawn = [gap([[s[i] for s in two for i in rng.integers(0, len(s), len(s))] for two in sides]) for _ in range(1500)]
+    low, high = np.percentile(drawn, [2.5, 97.5])
+    assert got.cases == 120 and abs(got.estimate - gap(parts)) < 1e-12 and abs(got.lower - low) < 0.03 and abs(got.upper - high) < 0.03
+    assert abs(area.estimate - got.estimate) < 1e-12  # of flags the area is the balanced accuracy
+
+
 def test_streams_drop_repeats(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01 00:00:00", "a"), ("2024-01-01 00:00:05", "a"), ("2024-01-01 00:00:06", "b")], "at string, k string").select(F.to_timestamp("at").alias("at"), "k")
     rows.write.parquet(f"file://{tmp_path}/in")
@@ -322,7 +361,7 @@ def test_whole_tables_reach_substitution_containment_and_upsert(spark, tmp_path)
 
 
 #: Queries without SQL, and the test that holds each.
-WITHOUT_SQL = {"cluster_bootstrap", "family_bootstrap_exact", "stratified_logit"}
+WITHOUT_SQL = {"bootstrap_auroc", "bootstrap_balanced_accuracy", "cluster_bootstrap", "family_bootstrap_exact", "stratified_logit"}
 
 
 def test_catalog_against_duckdb(spark):

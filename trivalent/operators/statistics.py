@@ -144,3 +144,77 @@ def stratified_logit(df: DataFrame, strata: str, features: list[str], label: str
     error = np.sqrt(np.diag(np.linalg.inv(curvature)))
     rows = [(n, float(round(b, 6)), float(round(e, 6))) for n, b, e in zip([*(f"{strata}={x}" for x in names), *features], beta, error, strict=True)]
     return df.sparkSession.createDataFrame(rows, "term string, estimate double, std_error double")
+
+
+def out_of_sample(df: DataFrame, score: str, positive: str, groups: list[str], fit: Column, candidates: list[float]) -> DataFrame:
+    """The best threshold of the rows that fit, and its balanced accuracy on the others, beside that of a half."""
+    df = df.select(*groups, score, positive, fit.alias("fit_"))
+    fit = F.col("fit_")
+    best = oracle_threshold(df.where(fit), score, positive, groups, candidates).select(*groups, "threshold")  # a row a group
+    rows = df.where(~fit & F.col(score).isNotNull()).join(best, groups)
+    p, s = F.col(positive), F.col(score)
+
+    def accuracy(t: Column) -> Column:
+        return (ratio(F.count_if(p & (s > t)), F.count_if(p)) + ratio(F.count_if(~p & (s <= t)), F.count_if(~p))) / 2
+
+    return rows.groupBy(*groups, "threshold").agg(F.round(accuracy(F.col("threshold")), 6).alias("at_threshold"), F.round(accuracy(F.lit(0.5)), 6).alias("at_half"))
+
+
+def permutation_test(df: DataFrame, groups: list[str], value: str, chosen: str, most: int = 16) -> DataFrame:
+    """Exact two-sided test of the difference of means: all ways to choose as many values as are chosen; a few values a group, more than `most` are an error."""
+    rows = df.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), F.col(chosen).alias("c")))).alias("x"))
+    n = F.when(F.size("x") <= most, F.size("x")).otherwise(F.raise_error(F.lit(f"more than {most} values in a group")))
+    rows = rows.select(*groups, "x", n.alias("n"), F.size(F.filter("x", lambda e: e["c"])).alias("k"), F.aggregate("x", F.lit(0.0), lambda a, e: a + e["v"]).alias("total"))
+    splits = rows.where((F.col("k") > 0) & (F.col("k") < F.col("n"))).withColumn("mask", F.explode(F.expr("sequence(0, shiftleft(1, n) - 1)"))).where(F.bit_count("mask") == F.col("k"))
+    of_mask = F.aggregate(F.transform("x", lambda e, i: F.when(F.getbit("mask", i) == 1, e["v"]).otherwise(0.0)), F.lit(0.0), lambda a, v: a + v)
+    of_chosen = F.aggregate("x", F.lit(0.0), lambda a, e: a + F.when(e["c"], e["v"]).otherwise(0.0))
+    gap = lambda part: part / F.col("k") - (F.col("total") - part) / (F.col("n") - F.col("k"))
+    each = splits.select(*groups, gap(of_chosen).alias("observed"), gap(of_mask).alias("drawn"))
+    return each.groupBy(*groups).agg(F.round(F.first("observed"), 6).alias("difference"), F.round(F.count_if(F.abs("drawn") >= F.abs("observed") - 1e-12) / F.count("*"), 6).alias("p"), F.count("*").alias("splits"))
+
+
+def paired_bootstrap(df: DataFrame, groups: list[str], dataset: str, positive: str, a: str, b: str, kind: str = "ba", reps: int = 2000, seed: int = 0x5EED) -> DataFrame:
+    """Percentile interval of the mean over datasets of a's balanced accuracy (flags) or AUROC (scores) less b's, cases redrawn within each class, the same for both.
+
+    A redraw of cases is a multinomial draw of how often each distinct (class, a, b) stands, so a group's task holds a
+    row for each distinct combination and not one for each case. For AUROC, round the scores first.
+    """
+    if kind not in ("ba", "auroc"):
+        raise ValueError(f"unknown statistic {kind}")
+    known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(positive).isNotNull())
+    cells = known.groupBy(*groups, F.col(dataset).alias("dataset_"), F.col(positive).alias("y_"), F.col(a).cast("double").alias("a_"), F.col(b).cast("double").alias("b_")).agg(F.count("*").alias("n_"))
+    schema = ", ".join([*(f"{g} {dict(df.dtypes)[g]}" for g in groups), "cases long", "estimate double", "lower double", "upper double"])
+
+    def score(values: np.ndarray, y: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """The statistic for each row of times, how often each cell stands."""
+        p, n = times[:, y], times[:, ~y]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            if kind == "ba":
+                parts = np.stack([(p * values[y]).sum(1) / p.sum(1), (n * (1 - values[~y])).sum(1) / n.sum(1)])
+                return np.nanmean(np.where(np.isfinite(parts), parts, np.nan), axis=0)
+            levels, at = np.unique(values, return_inverse=True)
+            up, down = np.zeros((len(times), len(levels))), np.zeros((len(times), len(levels)))
+            np.add.at(up.T, at[y], p.T)
+            np.add.at(down.T, at[~y], n.T)
+            below = np.cumsum(down, axis=1) - down / 2
+            return (up * below).sum(1) / (up.sum(1) * down.sum(1))
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["dataset_", "y_", "a_", "b_"], kind="stable")
+        rng, found = np.random.default_rng(seed), []
+        for _, part in pdf.groupby("dataset_", sort=True, dropna=False):
+            y, n = part["y_"].to_numpy(bool), part["n_"].to_numpy()
+            if kind == "auroc" and (y.all() or not y.any()):
+                continue
+            times = np.zeros((reps + 1, len(part)))
+            times[0] = n
+            for side in (y, ~y):
+                if side.any():
+                    times[1:, side] = rng.multinomial(n[side].sum(), n[side] / n[side].sum(), reps)
+            found.append(score(part["a_"].to_numpy(), y, times) - score(part["b_"].to_numpy(), y, times))
+        mean = np.mean(found, axis=0) if found else np.full(reps + 1, np.nan)
+        low, high = np.percentile(mean[1:], [2.5, 97.5])
+        row = [*(pdf[g].iloc[0] for g in groups), int(pdf["n_"].sum()), *[float(x) if np.isfinite(x) else None for x in (mean[0], low, high)]]
+        return pd.DataFrame([row], columns=[x.split()[0] for x in schema.split(", ")])
+
+    return cells.groupBy(*groups).applyInPandas(draw, schema)

@@ -184,13 +184,22 @@ def facet_projection(spark, sf):
     return rows.select("doc_id", *[found[c].alias(c) for c in ("attack_family", "attack_template", "source_name", "split", "pair_key")])
 
 
-_PATHS = ["evals/private/sources/a.jsonl", "evals/private/sources/a-provenance.json", "evals/datasets/d.jsonl", "evals/reports/r.md", "evals/runs/x/batch-ledger.jsonl", "evals/runs/x/driver-1.ndjson", "scripts/x.py", "docs/fig.png", "evals/x/plan-2.json", "evals/x/odd.bin"]
-_KINDS = ["source_dataset", "source_provenance", "source_dataset", "report", "batch_ledger", "driver_log", "script", "figure", "plan", "other"]
-
-
-@query("SELECT path, kind FROM (VALUES " + ", ".join(f"('{p}', '{k}')" for p, k in zip(_PATHS, _KINDS, strict=True)) + ") AS t(path, kind)")
+#: Paths and the kinds that they are, told by reading them.
+_ARTIFACTS = [
+    ("evals/private/sources/a.jsonl", "source_dataset"), ("evals/private/sources/a-provenance.json", "source_provenance"), ("evals/datasets/d.jsonl", "source_dataset"), ("evals/reports/r.md", "report"),
+    ("evals/reports/runs/r.md", "other"), ("evals/runs/x/batch-ledger.jsonl", "batch_ledger"), ("evals/runs/x/driver-1.ndjson", "driver_log"), ("scripts/x.py", "script"), ("docs/fig.png", "figure"),
+    ("evals/x/plan-2.json", "plan"), ("evals/x/odd.bin", "other"), ("evals/x/migrated-1/observations.jsonl", "legacy_event_log"), ("evals/assistant-2026-09/b.jsonl", "legacy_event_log"),
+    ("evals/x/model-endpoints-3/e.json", "endpoint_snapshot"), ("evals/lmstudio/inventory-2.json", "lmstudio_inventory"), ("evals/x/key-budget.json", "key_snapshot"),
+    ("evals/snapshots/a-0123456789ab.json", "analysis_snapshot"), ("evals/runs/x/run.jsonl", "checkpoint"),
+]
+_HEAD = '{"type":"metadata","value":{"runId":"r","schemaVersion":"security-eval-run/v1"}}'
+
+
+@query(f"SELECT page_id, CASE page_id % {len(_ARTIFACTS)} " + " ".join(f"WHEN {i} THEN '{k}'" for i, (_, k) in enumerate(_ARTIFACTS)) + " END AS kind FROM pages")
 def artifact_kinds(spark, sf):
-    return spark.createDataFrame([(p,) for p in _PATHS], "path string").select("path", files.artifact_kind("path").alias("kind"))
+    nth = (F.col("page_id") % len(_ARTIFACTS) + 1).cast("int")
+    rows = fx.table(spark, sf, "pages").select("page_id", F.element_at(F.array(*[F.lit(p) for p, _ in _ARTIFACTS]), nth).alias("path"))
+    return rows.select("page_id", files.artifact_kind("path", F.when(F.col("path").endswith("run.jsonl"), _HEAD)).alias("kind"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE 'new' END AS o_orderstatus FROM orders""")

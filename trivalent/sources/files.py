@@ -115,23 +115,75 @@ def unfence(text: Column) -> Column:
     return F.try_parse_json(F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*|\s*```$", ""))
 
 
-#: Kinds of artifacts by path, in order of precedence: fixed values.
+#: Kinds of artifacts by their path, in order of precedence; `checkpoint` needs a first line that is a run's metadata. Fixed values.
 KINDS = (
-    (r"^evals/private/sources/.*-provenance\.json$", "source_provenance"), (r"^evals/private/sources/", "source_dataset"), (r"^evals/datasets/.*\.jsonl$", "source_dataset"),
-    (r"^evals/private/upstream/", "upstream_snapshot"), (r"^(evals/reports/.*/runs/|evals/reports/runs/|.*/runs/.*\.md$)", "other"), (r"^evals/reports/|\.md$", "report"), (r"/research-literature-", "literature"),
-    (r"/migrated-.*/observations\.jsonl$", "legacy_event_log"), (r"(^|/)batch-ledger\.jsonl$", "batch_ledger"), (r"(^|/)armor-budget[^/]*\.jsonl$", "budget_ledger"), (r"(^|/)driver[^/]*\.ndjson$", "driver_log"),
-    (r"\.log$", "console_log"), (r"\.(ts|py|sh|jinja)$", "script"), (r"\.(png|svg|pdf)$", "figure"), (r"(^|/)(artifact-inventory|inventory-result)\.json$", "file_inventory"),
-    (r"(^|/)research-coverage-ledger\.json$", "coverage_ledger"), (r"(^|/)[0-9a-f]{64}\.json$", "analysis_snapshot"), (r"(^|/)[^/]*plan[^/]*$", "plan"), (r"(^|/)[^/]*summary[^/]*$", "summary"),
-    (r"(^|/)[^/]*comparison[^/]*$", "comparison"), (r"(^|/)[^/]*audit[^/]*$", "audit"), (r"(^|/)[^/]*diagnostic[^/]*$", "diagnostic"),
-)
+    ("source_provenance", r"^evals/private/sources/(.*/)?[^/]*-provenance\.json$"),
+    ("source_dataset", r"^evals/private/sources/|^evals/datasets/.*\.jsonl$"),
+    ("upstream_snapshot", r"^evals/private/upstream/"),
+    ("other", r"^evals/reports/.*/runs/|^evals/reports/runs/|/runs/.*\.md$"),
+    ("report", r"^evals/reports/|\.md$"),
+    ("literature", r"/research-literature-"),
+    ("checkpoint", r"\.jsonl$"),
+    ("legacy_event_log", r"/migrated-(.*/)?observations\.jsonl$|/assistant-2026-09/.*\.jsonl$"),
+    ("batch_ledger", r"(^|/)batch-ledger\.jsonl$"),
+    ("budget_ledger", r"(^|/)armor-budget[^/]*\.jsonl$"),
+    ("driver_log", r"(^|/)driver[^/]*\.ndjson$"),
+    ("console_log", r"\.log$"),
+    ("script", r"\.(ts|py|sh|jinja)$"),
+    ("figure", r"\.(png|svg|pdf)$"),
+    ("file_inventory", r"(^|/)(artifact-inventory|inventory-result)\.json$"),
+    ("coverage_ledger", r"(^|/)research-coverage-ledger\.json$"),
+    ("endpoint_snapshot", r"/model-endpoints-|(^|/)openrouter-models-[^/]*$"),
+    ("lmstudio_inventory", r"lmstudio.*/inventory[^/]*\.json$|(^|/)inventory[^/]*lmstudio[^/]*\.json$"),
+    ("key_snapshot", r"(^|/)[^/]*budget[^/]*\.json$"),
+    ("analysis_snapshot", r"(^|/)[0-9a-f]{64}\.json$|snapshots(.*/)?[^/]*[0-9a-f]{12,}\.json$"),
+    ("plan", r"(^|/)[^/]*plan[^/]*$"),
+    ("summary", r"(^|/)[^/]*summary[^/]*$"),
+    ("comparison", r"(^|/)[^/]*comparison[^/]*$"),
+    ("audit", r"(^|/)[^/]*audit[^/]*$"),
+    ("diagnostic", r"(^|/)[^/]*diagnostic[^/]*$"),
+)
+#: The schema of runs whose metadata opens a checkpoint: a fixed value.
+RUN_SCHEMA = "security-eval-run/v1"
+
+
+def artifact_kind(path: Column | str, first_line: Column | str | None = None) -> Column:
+    """The first kind that a path, and for checkpoints its first line, fits."""
+    path = F.col(path) if isinstance(path, str) else path
+    line = F.lit(None).cast("string") if first_line is None else F.col(first_line) if isinstance(first_line, str) else first_line
+    head = F.try_parse_json(line)
+    read = lambda at: F.coalesce(F.try_variant_get(head, at, "string"), F.lit(""))
+    opens = (read("$.type") == "metadata") & (read("$.value.schemaVersion") == RUN_SCHEMA) & (read("$.value.runId") != "")
+    fits = [F.when(path.rlike(pattern) & (opens if kind == "checkpoint" else F.lit(True)), kind) for kind, pattern in KINDS]
+    return F.coalesce(*fits, F.lit("other"))
 
 
-def artifact_kind(path: Column | str) -> Column:
-    path = F.col(path) if isinstance(path, str) else path
-    kind = F.when(path.rlike(KINDS[0][0]), KINDS[0][1])
-    for pattern, name in KINDS[1:]:
-        kind = kind.when(path.rlike(pattern), name)
-    return kind.otherwise("other")
+def read_csv(spark: SparkSession, path: str, text: str, positive: Column, case_id: str | None = None) -> DataFrame:
+    """case_id, text and positive of CSV files with a header; fields may hold line ends and doubled quotes. Without an id column the id is the hash of the text."""
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    return rows.select((F.col(case_id) if case_id else sha(F.col(text))).alias("case_id"), F.col(text).alias("text"), positive.alias("positive"))
+
+
+def append_run(rows: DataFrame, folder: str, run_id: str) -> None:
+    """Add the rows of a run to a checkpoint folder, partitioned by run; what is there stays."""
+    rows.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(folder)
+
+
+def unfinished(planned: DataFrame, done: DataFrame, keys: list[str], identity: list[str]) -> DataFrame:
+    """Planned segments that a run has not finished. A run resumes under exactly its own metadata: another value of an identity field, nulls compared too, is an error."""
+    other = done.select(*identity).distinct().withColumn("n_", F.lit(1)).join(planned.select(*identity).distinct().withColumn("m_", F.lit(1)), on=[done[c].eqNullSafe(planned[c]) for c in identity], how="left_anti")
+    if other.limit(1).count():
+        raise ValueError("the checkpoint is of a run with other metadata")
+    return planned.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def report_lines(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows as lines of a Markdown table, in order, below its head: a table of one column, value, to write as text. For reports, whose rows are few."""
+    cells = [F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in df.columns]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    body = df.select(F.lit(2).alias("part"), F.row_number().over(Window.orderBy(*order)).alias("nth"), line.alias("value"))
+    head = df.sparkSession.createDataFrame([(0, 0, f"| {' | '.join(df.columns)} |"), (1, 0, f"|{' --- |' * len(df.columns)}")], "part int, nth int, value string")
+    return head.unionByName(body).orderBy("part", "nth").select("value")
 
 
 def file_sha(path: str) -> str:
