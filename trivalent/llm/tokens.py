@@ -40,6 +40,8 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.by_piece = word_level(self.tokenizer)
+        self.ending = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ending[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -52,34 +54,42 @@ class PieceEncoder:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _learn(self, pieces: list[bytes]) -> None:
-        """Lower-case Latin words, with or without marks after them, are one pre-token and one of marks, which normalising leaves alone: the model takes them many at once."""
-        rest, easy = [], []
-        for piece in pieces:
-            text = piece.decode("utf-8")
+        """Lower-case Latin words, with or without marks after them, are one pre-token and one of marks, which normalising leaves alone: the model takes them many at once, each word once.
+        Where one ends in its ids, a piece that ends a word says."""
+        rest, bare, marked = [], {}, []
+        known = self.known
+        for piece, text in zip(pieces, b"\n".join(pieces).decode("utf-8").split("\n"), strict=True) if pieces else ():
             word = text.rstrip(_MARKS)
-            if word.isalpha() and word.islower():
-                if word.isascii():
-                    letters = word
-                elif max(word) < "\u0250" and word == word.lower() and unicodedata.is_normalized("NFC", word):
-                    letters = "".join([_ALPHABET[b] for b in word.encode()])
-                else:
-                    rest.append(piece)
-                    continue
-                marks = text[len(word) :]
-                if marks not in self.marks:
-                    self.marks[marks] = self._whole([marks])[0]
-                easy.append((piece, letters, self.marks[marks]))
+            if word.isascii() and word.isalpha() and word.islower():
+                letters = word
+            elif word.isalpha() and word.islower() and max(word) < "\u0250" and word == word.lower() and unicodedata.is_normalized("NFC", word):
+                letters = "".join([_ALPHABET[b] for b in word.encode()])
             else:
                 rest.append(piece)
-        for i in range(0, len(easy), 10_000):
-            some = easy[i : i + 10_000]
-            found = self.plain.encode(" ".join([letters for _, letters, _ in some]), add_special_tokens=False)
-            at = (np.searchsorted(np.array(found.word_ids), np.arange(len(some) + 1)) * self.dtype.itemsize).tolist()
-            ids = np.array(found.ids, self.dtype).tobytes()
-            self.known.update((piece, ids[a:b] + marks) for (piece, _, marks), a, b in zip(some, at, at[1:], strict=False))
+                continue
+            if len(word) == len(text):
+                bare[piece] = letters
+                continue
+            marks = text[len(word) :]
+            if marks not in self.marks:
+                self.marks[marks] = self._whole([marks])[0]
+            stem = piece[: len(piece) - len(marks)]  # marks are ASCII
+            if stem not in known:
+                bare[stem] = letters
+            marked.append((piece, stem, self.marks[marks]))
+        words, spelled = list(bare), list(bare.values())
+        for i in range(0, len(words), 10_000):
+            some = words[i : i + 10_000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(spelled[i : i + 10_000])], add_special_tokens=False)[0].ids, self.dtype)
+            ends = ((np.flatnonzero(self.ending[ids]) + 1) * self.dtype.itemsize).tolist()
+            raw = ids.tobytes()
+            known.update((word, raw[a:b]) for word, a, b in zip(some, [0, *ends], ends, strict=False))
+            if len(ends) != len(some):
+                raise ValueError("a word's last piece does not end it")
+        known.update([(piece, known[stem] + marks) for piece, stem, marks in marked])
         for i in range(0, len(rest), 10_000):
             some = rest[i : i + 10_000]
-            self.known.update(zip(some, self._whole([p.decode("utf-8") for p in some]), strict=True))
+            known.update(zip(some, self._whole([p.decode("utf-8") for p in some]), strict=True))
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, as bytes of self.dtype."""
