@@ -353,7 +353,8 @@ def test_whole_tables_reach_substitution_containment_and_upsert(spark, tmp_path)
     run = lambda name: sorted(tuple(r) for r in catalog.QUERIES[name](spark, f"file://{tmp_path}").collect())
     write = lambda data, schema, name: spark.createDataFrame(data, schema).write.parquet(f"file://{tmp_path}/{name}.parquet")
     write([(i, f"t{i}") for i in range(4, 9)], "item_id long, text string", "benchmark")
-    assert run("numeral_substitution") == [(i, v, f"t{i} score {v}") for i in range(4, 9) for v in (0.1, 0.25, 0.9)]
+    wordings = ("score {n}", "rate it {n}", "give {n} of 1", "{n} is the grade")
+    assert run("numeral_substitution") == sorted((i, v, w, f"t{i} " + w.replace("{n}", str(v))) for i in range(4, 9) for v in (0.1, 0.25, 0.9) for w in wordings)
     write([(i, "x" * n) for i, n in enumerate([350, 350, 350, 40, 199])], "doc_id long, text string", "documents")
     assert run("span_containment") == [(i, 100, 300) for i in (0, 1, 2, 4)]
     write([(i, "F") for i in range(7)], "o_orderkey long, o_orderstatus string", "orders")
