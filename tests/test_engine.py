@@ -323,6 +323,61 @@ def test_paired_bootstrap_is_that_of_redrawn_cases(spark):
     assert abs(area.estimate - got.estimate) < 1e-12  # of flags the area is the balanced accuracy
 
 
+def test_cluster_bootstrap_over_shares_is_that_of_redrawn_clusters(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    clusters = [(None if g == 1 else "g", f"c{i}", int(rng.integers(-3, 4)), int(rng.integers(1, 5))) for g in (0, 1) for i in range(120)]
+    df = spark.createDataFrame(clusters, "g string, f string, v int, w int")
+    monkeypatch.setattr(statistics, "SHARE_CLUSTERS", 10)  # twelve shares a group
+    got = {r.g: r for r in statistics.cluster_bootstrap(df, ["g"], "f", "v", "w", reps=2000).collect()}
+    assert len(got) == 2
+    for g, row in got.items():
+        v, w = (np.array([c[i] for c in clusters if c[0] == g]) for i in (2, 3))
+        pick = rng.integers(0, 120, (4000, 120))
+        low, high = np.percentile(v[pick].sum(1) / w[pick].sum(1), [2.5, 97.5])
+        assert row.clusters == 120 and abs(row.estimate - v.sum() / w.sum()) < 1e-12
+        assert abs(row.lower - low) < 0.03 and abs(row.upper - high) < 0.03
+
+
+def test_two_sided_p(spark):
+    rows = spark.createDataFrame([(z,) for z in (0.0, -0.3, 1.96, -4.5, 8.0, 60.0)] + [(None,)], "z double")
+    for r in rows.select("z", statistics.two_sided("z").alias("p")).collect():
+        assert r.p is None if r.z is None else abs(r.p - math.erfc(abs(r.z) / math.sqrt(2))) < 1e-9
+
+
+def test_contrast_and_cross_validation_agree_with_plain_fits(spark):
+    import hashlib
+
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rows = [(s, int(rng.integers(0, 12)), float(rng.random()), float(rng.integers(0, 2)), int(rng.random() < 0.5) if s != "c" else 1) for s in ("a", "b", "c") for _ in range(50)]
+    df = spark.createDataFrame(rows, "s string, k int, x double, arm double, y int")
+
+    def slopes(part, pick):
+        names = sorted({r[0] for r in part})
+        x = np.array([[float(r[0] == n) for n in names] + pick(r) for r in part])
+        y, beta, ridge = np.array([r[4] for r in part]), np.zeros(len(names) + 2), np.array([0.1] * len(names) + [0.01] * 2)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-x @ beta))
+            beta = beta + np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(ridge), x.T @ (y - p) - ridge * beta)
+        return beta[len(names) :]
+
+    both = [r for r in rows if r[0] != "c"]  # the third stratum has one label only
+    assert abs(statistics.log_odds_ratio(df, "s", "arm", ["x"], "y") - slopes(both, lambda r: [r[3], r[2]])[0]) < 1e-6
+    assert statistics.log_odds_ratio(df.where("s = 'c'"), "s", "arm", ["x"], "y") is None
+    fold = lambda r: int(hashlib.sha256(f"{r[0]}|{r[1]}".encode()).hexdigest()[:8], 16) % 5
+    fits = [slopes([r for r in rows if fold(r) != k], lambda r: [r[2], r[3]]) for k in range(5)]
+    want = sorted((r[0], r[1], fold(r), round(float(fits[fold(r)] @ [r[2], r[3]]), 6)) for r in rows)
+    got = statistics.cross_validated(df, "s", "k", ["x", "arm"], "y")
+    assert sorted((r.s, r.k, r.fold, round(r.out_of_fold, 6)) for r in got.collect()) == want
+    pairs = [(p, n) for p in got.collect() for n in got.collect() if p.s == n.s and p.y == 1 and n.y == 0]
+    share = sum(1.0 if p.out_of_fold > n.out_of_fold else 0.5 if p.out_of_fold == n.out_of_fold else 0.0 for p, n in pairs) / len(pairs)
+    found = statistics.within_strata_auroc(got.withColumn("pos", F.col("y") == 1), "out_of_fold", "pos", "s").first()
+    assert found.pairs == len(pairs) and abs(found.auroc - share) < 1e-6
+
+
 def test_streams_drop_repeats(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01 00:00:00", "a"), ("2024-01-01 00:00:05", "a"), ("2024-01-01 00:00:06", "b")], "at string, k string").select(F.to_timestamp("at").alias("at"), "k")
     rows.write.parquet(f"file://{tmp_path}/in")
@@ -362,7 +417,7 @@ def test_whole_tables_reach_substitution_containment_and_upsert(spark, tmp_path)
 
 
 #: Queries without SQL, and the test that holds each.
-WITHOUT_SQL = {"bootstrap_auroc", "bootstrap_balanced_accuracy", "cluster_bootstrap", "family_bootstrap_exact", "stratified_logit"}
+WITHOUT_SQL = {"bootstrap_auroc", "bootstrap_balanced_accuracy", "cluster_bootstrap", "contrast_log_odds", "cross_validated_auroc", "wilcoxon_p", "family_bootstrap_exact", "stratified_logit"}
 
 
 def test_catalog_against_duckdb(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trivalent.functions.stats import ratio
-from trivalent.functions.text import sha
+from trivalent.functions.stats import auroc, ratio
+from trivalent.functions.text import col, sha
+from trivalent.session import shared_dir
 
 
 def hash_rank(seed: str, *parts: str) -> Column:
@@ -54,28 +56,56 @@ def oracle_threshold(df: DataFrame, score: str, positive: str, groups: list[str]
     return sums.select(*groups, best["threshold"].alias("threshold"), F.round(best["ba"], 6).alias("balanced_accuracy"))
 
 
+#: Shares that a group's clusters are dealt over at most, and the clusters that make a share.
+SHARES, SHARE_CLUSTERS = 200, 2000
+
+
 def cluster_bootstrap(df: DataFrame, groups: list[str], cluster: str, value: str, weight: str, reps: int = 4000, seed: int = 0x5EED) -> DataFrame:
-    """Percentile interval of sum(value) / sum(weight), clusters drawn with replacement; a row for each group.
+    """Percentile interval of sum(value) / sum(weight), clusters drawn with replacement; a row for each group, its ends the 2.5 and 97.5 % order statistics.
 
-    Clusters are summed first, so a task holds one row a cluster, and draws in blocks.
+    Clusters are summed first and dealt over shares by hash. How many of a replicate's draws fall into each share is one
+    multinomial draw, the same in every task since it has the group's own seed; within its share a task draws how often each
+    cluster stands. So a large group's draws are spread over up to SHARES tasks, and replicates meet as sums.
     """
-    sums = df.groupBy(*groups, cluster).agg(F.sum(value).cast("double").alias("v"), F.sum(weight).cast("double").alias("w"))
-    schema = ", ".join([*(f"{g} {dict(df.dtypes)[g]}" for g in groups), "clusters long", "estimate double", "lower double", "upper double"])
+    types = dict(df.dtypes)
+    sums = df.groupBy(*groups, F.col(cluster).alias("cluster_")).agg(F.sum(value).cast("double").alias("v"), F.sum(weight).cast("double").alias("w"))
+    sums = sums.withColumn("bin_", F.pmod(F.xxhash64("cluster_"), F.lit(SHARES)).cast("int"))
+    bins = sums.groupBy(*groups, "bin_").agg(F.count("*").alias("n_"))
+    group = Window.partitionBy(*groups)  # at most SHARES rows a group
+    shares = F.least(F.lit(SHARES), F.ceil(F.sum("n_").over(group) / SHARE_CLUSTERS)).cast("int")
+    bins = bins.withColumn("share_", F.pmod(F.col("bin_"), shares)).withColumn("sizes_", F.sort_array(F.collect_list(F.struct("share_", "n_")).over(group)))
+    same = [F.col(f"x.{g}").eqNullSafe(F.col(f"y.{g}")) for g in [*groups, "bin_"]]
+    placed = sums.alias("x").join(bins.alias("y"), same).select("x.*", "y.share_", "y.sizes_", F.xxhash64(F.lit(seed), *[F.col(f"x.{g}").cast("string") for g in groups]).alias("key_"))
+    schema = ", ".join([*(f"{g} {types[g]}" for g in groups), "n_ long", "vs array<double>", "ws array<double>"])
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(cluster)
+        share, key = int(pdf["share_"].iloc[0]), int(pdf["key_"].iloc[0]) % (1 << 63)
+        sizes = np.zeros(share + 1 + max(x["share_"] for x in pdf["sizes_"].iloc[0]), np.int64)
+        for x in pdf["sizes_"].iloc[0]:
+            sizes[x["share_"]] += x["n_"]
+        n = int(sizes.sum())
+        drawn = np.random.default_rng(key).multinomial(n, sizes / n, reps)[:, share]
+        pdf = pdf.sort_values("cluster_", kind="stable")
         v, w = pdf["v"].to_numpy(), pdf["w"].to_numpy()
-        rng, found = np.random.default_rng(seed), []
-        for _ in range(0, reps, 250):
-            pick = rng.integers(0, len(v), (250, len(v)))
-            total = w[pick].sum(1)
-            found.append(np.divide(v[pick].sum(1), total, out=np.full(250, np.nan), where=total > 0))
-        values = np.concatenate(found)[:reps]
-        values = values[~np.isnan(values)]
-        low, high = np.quantile(values, [0.025, 0.975]) if len(values) else (None, None)
-        return pd.DataFrame([[*(pdf[g].iloc[0] for g in groups), len(v), v.sum() / w.sum() if w.sum() else None, low, high]], columns=[x.split()[0] for x in schema.split(", ")])
+        rng = np.random.default_rng([key, share + 1])
+        vs, ws, left = np.zeros(reps), np.zeros(reps), drawn.copy()
+        for i in range(0, len(v), 4096):  # the draws of one slice of clusters after the other
+            part = slice(i, i + 4096)
+            size = len(v[part])
+            here = rng.binomial(left, size / (len(v) - i))
+            left -= here
+            for r in range(0, reps, 250):
+                times = rng.multinomial(here[r : r + 250], np.full(size, 1 / size))
+                vs[r : r + 250] += times @ v[part]
+                ws[r : r + 250] += times @ w[part]
+        row = [*(pdf[g].iloc[0] for g in groups), len(v), np.append(v.sum(), vs), np.append(w.sum(), ws)]  # the first is that of the clusters as they are
+        return pd.DataFrame([row], columns=[x.split()[0] for x in schema.split(", ")])
 
-    return sums.groupBy(*groups).applyInPandas(draw, schema)
+    parts = placed.groupBy(*groups, "share_").applyInPandas(draw, schema)
+    each = parts.select(*groups, "n_", F.posexplode(F.arrays_zip("vs", "ws")).alias("at", "z")).groupBy(*groups, "at").agg(F.sum("n_").alias("n_"), ratio(F.sum("z.vs"), F.sum("z.ws")).alias("x"))
+    found = each.groupBy(*groups).agg(F.max("n_").alias("clusters"), F.max(F.when(F.col("at") == 0, F.col("x"))).alias("estimate"), F.sort_array(F.collect_list(F.when(F.col("at") > 0, F.col("x")))).alias("x"))  # reps values
+    place = lambda share: F.get("x", F.least(F.size("x") - 1, F.round(F.size("x") * share).cast("int")))
+    return found.select(*groups, "clusters", "estimate", place(0.025).alias("lower"), place(0.97475).alias("upper"))
 
 
 def family_bootstrap(df: DataFrame, groups: list[str], family: str, value: str) -> DataFrame:
@@ -98,18 +128,29 @@ def family_bootstrap(df: DataFrame, groups: list[str], family: str, value: str)
 
 
 def wilcoxon(df: DataFrame, groups: list[str], difference: str) -> DataFrame:
-    """Signed-rank test by the normal approximation with ties: w_plus, n and z; zero differences are left out."""
+    """Signed-rank test by the normal approximation with ties: w_plus, n, z and the two-sided p; zero differences are left out."""
     rows = df.where(F.col(difference) != 0).groupBy(*groups, F.abs(difference).alias("d")).agg(F.count("*").alias("t"), F.count_if(F.col(difference) > 0).alias("up"))
     before = Window.partitionBy(*groups).orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
     rank = F.coalesce(F.sum("t").over(before), F.lit(0)) + (F.col("t") + 1) / 2
     sums = rows.withColumn("r", rank).groupBy(*groups).agg(F.sum("t").alias("n"), F.sum(F.col("up") * F.col("r")).alias("w_plus"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     n = F.col("n").cast("double")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
-    return sums.select(*groups, "n", "w_plus", F.round((F.col("w_plus") - n * (n + 1) / 4) / F.nullif(spread, F.lit(0.0)), 6).alias("z"))
+    rows = sums.select(*groups, "n", "w_plus", ((F.col("w_plus") - n * (n + 1) / 4) / F.nullif(spread, F.lit(0.0))).alias("z"))
+    return rows.withColumn("p", F.round(two_sided("z"), 6)).withColumn("z", F.round("z", 6))
 
 
-def stratified_logit(df: DataFrame, strata: str, features: list[str], label: str, ridge: float = 1e-3, steps: int = 25) -> DataFrame:
-    """Logistic regression with an intercept for each stratum and shared slopes.
+def two_sided(z: Column | str) -> Column:
+    """The two-sided p of a standard normal z: the sum of the normal density over 4,000 steps of Simpson's rule from |z| to 40; null of null."""
+    size = F.abs(col(z))
+    from_, steps = F.least(size, F.lit(40.0)), 4000
+    width = F.least(F.lit(10.0), F.lit(40.0) - from_) / steps
+    at = lambda i: F.exp(-F.pow(from_ + width * i, 2) / 2)
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), lambda a, i: a + at(i) * F.when((i == 0) | (i == steps), 1).when(i % 2 == 1, 4).otherwise(2))
+    return F.when(size.isNotNull(), F.least(F.lit(1.0), total * width / 3 * 2 / math.sqrt(2 * math.pi)))
+
+
+def _fit(df: DataFrame, strata: str, features: list[str], label: str, ridges: tuple[float, float], steps: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """Names of the strata, coefficients (theirs, then the features'), and the curvature; ridges are the strata's and the features'.
 
     Each Newton step sums gradients and curvature in the tasks; only a matrix of (strata + features) squared reaches the driver.
     """
@@ -118,6 +159,8 @@ def stratified_logit(df: DataFrame, strata: str, features: list[str], label: str
         raise ValueError("more than 1000 strata")
     width = len(names) + len(features)
     beta = np.zeros(width)
+    ridge = np.repeat(np.array(ridges), [len(names), len(features)])
+    curvature = np.diag(ridge)
 
     def newton(beta: np.ndarray):
         def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,7 +176,7 @@ def stratified_logit(df: DataFrame, strata: str, features: list[str], label: str
         out = np.zeros(width + width * width)
         for r in rows:
             out[r["at"]] = r["v"]
-        return out[:width] - ridge * beta, out[width:].reshape(width, width) + ridge * np.eye(width)
+        return out[:width] - ridge * beta, out[width:].reshape(width, width) + np.diag(ridge)
 
     for _ in range(steps):
         gradient, curvature = newton(beta)
@@ -141,11 +184,63 @@ def stratified_logit(df: DataFrame, strata: str, features: list[str], label: str
         beta = beta + move
         if np.abs(move).max() < 1e-8:
             break
+    return names, beta, curvature
+
+
+def stratified_logit(df: DataFrame, strata: str, features: list[str], label: str, ridge: float = 1e-3, steps: int = 25) -> DataFrame:
+    """Logistic regression with an intercept for each stratum and shared slopes: estimates and standard errors."""
+    names, beta, curvature = _fit(df, strata, features, label, (ridge, ridge), steps)
     error = np.sqrt(np.diag(np.linalg.inv(curvature)))
     rows = [(n, float(round(b, 6)), float(round(e, 6))) for n, b, e in zip([*(f"{strata}={x}" for x in names), *features], beta, error, strict=True)]
     return df.sparkSession.createDataFrame(rows, "term string, estimate double, std_error double")
 
 
+#: The ridges of strata and of slopes, and the most Newton steps, of the contrast and the cross-validation.
+RIDGES, STEPS = (0.1, 0.01), 50
+
+
+def log_odds_ratio(df: DataFrame, strata: str, contrast: str, covariates: list[str], label: str) -> float | None:
+    """The contrast's coefficient beside an intercept a stratum and the covariates, from the strata that have both labels; None without any."""
+    both = df.groupBy(strata).agg(F.count_distinct(label).alias("n_")).where("n_ = 2").select(F.col(strata).alias("kept_"))
+    rows = _stored(df.join(both, F.col(strata).eqNullSafe(F.col("kept_")), "left_semi").select(strata, contrast, *covariates, label))
+    names, beta, _ = _fit(rows, strata, [contrast, *covariates], label, RIDGES, STEPS)
+    return float(beta[len(names)]) if names else None
+
+
+def cross_validated(df: DataFrame, strata: str, cluster: str, features: list[str], label: str, folds: int = 5) -> DataFrame:
+    """Every row with its fold, by the hash of stratum and cluster, and out_of_fold: features times the slopes that the other folds give."""
+    fold = F.conv(F.left(sha(F.concat_ws("|", F.col(strata).cast("string"), F.col(cluster).cast("string"))), F.lit(8)), 16, 10).cast("long") % folds
+    rows = _stored(df.withColumn("fold", fold))
+    slopes = []
+    for k in range(folds):
+        names, beta, _ = _fit(rows.where(F.col("fold") != k), strata, features, label, RIDGES, STEPS)
+        slopes.append(beta[len(names) :].tolist())
+    score = lambda b: sum((F.col(x) * v for x, v in zip(features, b, strict=True)), F.lit(0.0))
+    return rows.withColumn("out_of_fold", F.coalesce(*[F.when(F.col("fold") == k, score(b)) for k, b in enumerate(slopes)]))
+
+
+def within_strata_auroc(df: DataFrame, score: str, positive: str, strata: str) -> DataFrame:
+    """The share of ordered pairs of a positive and a negative of the same stratum, over all strata."""
+    each = auroc(df, score, positive, [strata])
+    pairs = F.col("positives") * F.col("negatives")
+    return each.agg(F.sum(pairs).alias("pairs"), F.round(ratio(F.sum(F.when(pairs > 0, F.col("wins"))), F.sum(pairs)), 6).alias("auroc"))
+
+
+def length_bins(df: DataFrame, length: str, within: list[str], least: int = 20) -> DataFrame:
+    """bin: how many of its stratum's three quartiles a row's length exceeds; null in strata of fewer than least rows."""
+    quarts = df.groupBy(*within).agg(F.percentile(length, [0.25, 0.5, 0.75]).alias("q_"), F.count("*").alias("n_")).withColumnsRenamed({w: f"{w}_" for w in within})
+    joined = df.join(quarts, [F.col(w).eqNullSafe(F.col(f"{w}_")) for w in within], "left")
+    over = F.when(F.col("n_") >= least, F.size(F.filter("q_", lambda q: F.col(length) > q)))
+    return joined.withColumn("bin", over).drop("q_", "n_", *[f"{w}_" for w in within])
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder: the fits pass over it many times."""
+    path = shared_dir(df.sparkSession, "fit")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def out_of_sample(df: DataFrame, score: str, positive: str, groups: list[str], fit: Column, candidates: list[float]) -> DataFrame:
     """The best threshold of the rows that fit, and its balanced accuracy on the others, beside that of a half."""
     df = df.select(*groups, score, positive, fit.alias("fit_"))

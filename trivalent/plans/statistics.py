@@ -128,6 +128,12 @@ rk AS (SELECT test, d, rank() OVER (PARTITION BY test ORDER BY abs(d)) + (count(
 sm AS (SELECT test, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, sum(t * t - 1) AS ties FROM rk GROUP BY test)
 SELECT test, n, w_plus, round((w_plus - n * (n + 1) / 4.0) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties / 48.0::DOUBLE), 0), 6) AS z FROM sm""")
 def wilcoxon(spark, sf):
+    pairs = metrics.pair(case_rows(spark, sf), "engine", 1, 2, ["case_id", "test"], ["tokens"])
+    return statistics.wilcoxon(pairs.withColumn("d", F.col("a_tokens") - F.col("b_tokens") + F.col("case_id") % 7 - 3), ["test"], "d").drop("p")
+
+
+@query()
+def wilcoxon_p(spark, sf):
     pairs = metrics.pair(case_rows(spark, sf), "engine", 1, 2, ["case_id", "test"], ["tokens"])
     return statistics.wilcoxon(pairs.withColumn("d", F.col("a_tokens") - F.col("b_tokens") + F.col("case_id") % 7 - 3), ["test"], "d")
 
@@ -165,3 +171,28 @@ def family_bootstrap_exact(spark, sf):
 def stratified_logit(spark, sf):
     rows = case_rows(spark, sf).where("engine = 1 AND score IS NOT NULL")
     return statistics.stratified_logit(rows.select("test", "score", (F.col("tokens") / 1000).alias("tokens"), F.col("positive").cast("int").alias("y")), "test", ["score", "tokens"], "y")
+
+
+def _fitted(spark, sf):
+    rows = case_rows(spark, sf).where("engine = 1 AND score IS NOT NULL")
+    return rows.select("test", "case_id", (F.col("case_id") % 40).alias("cluster"), "score", F.log2(F.col("tokens") + 1).alias("size"), (F.col("case_id") % 2).cast("double").alias("arm"), "positive", F.col("positive").cast("int").alias("y"))
+
+
+@query()
+def contrast_log_odds(spark, sf):
+    """The log odds ratio of the odd cases against the even ones."""
+    found = statistics.log_odds_ratio(_fitted(spark, sf), "test", "arm", ["size"], "y")
+    return spark.createDataFrame([(None if found is None else round(found, 6),)], "log_odds_ratio double")
+
+
+@query()
+def cross_validated_auroc(spark, sf):
+    rows = statistics.cross_validated(_fitted(spark, sf), "test", "cluster", ["score", "size"], "y")
+    return statistics.within_strata_auroc(rows, "out_of_fold", "positive", "test")
+
+
+@query(rf"""WITH {fx.CASES}, {fx.WORDS}, n AS (SELECT case_id, lang, positive, len(w) AS n FROM cw), q AS (SELECT lang, positive, quantile_cont(n, 0.25) AS q1, quantile_cont(n, 0.5) AS q2, quantile_cont(n, 0.75) AS q3, count(*) AS cases FROM n GROUP BY ALL)
+SELECT case_id, CASE WHEN cases >= 20 THEN (n > q1)::INT + (n > q2)::INT + (n > q3)::INT END AS bin FROM n JOIN q USING (lang, positive)""")
+def length_bins(spark, sf):
+    rows = fx.cases(spark, sf).select("case_id", "lang", "positive", F.size(words("text")).alias("n"))
+    return statistics.length_bins(rows, "n", ["lang", "positive"]).select("case_id", "bin")
