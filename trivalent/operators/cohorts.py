@@ -31,6 +31,26 @@ def probe_groups(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
+def probe_pairs(rows: DataFrame, keys: list[str], family: list[str], target: str, low: float, high: float, threshold: float = 0.5, near: float = 0.1) -> DataFrame:
+    """Families with a low and a high target, by keys: how many, scored in both arms, flipped up, in reach of both targets, and the mean change.
+
+    Rows have score (null unless scored) and the target value; a score is in reach of a target if it is the target or `near` below it.
+    """
+    at = lambda t: F.max(F.when(F.round(target, 6) == t, F.col("score")))
+    known = rows.where(F.round(target, 6).isin(low, high)).groupBy(*keys, *family).agg(at(low).alias("l"), at(high).alias("h"))
+    valid = F.col("l").isNotNull() & F.col("h").isNotNull()
+    reach = lambda c, t: F.round(c, 6).isin(round(t - near, 6), t)
+    return known.groupBy(*keys).agg(
+        F.count("*").alias("families"), F.count_if(valid).alias("both_valid"), F.count_if(valid & (F.col("l") <= threshold) & (F.col("h") > threshold)).alias("low_to_high_flips"),
+        F.count_if(valid & reach("l", low) & reach("h", high)).alias("matched_both_targets"), F.round(F.avg(F.when(valid, F.col("h") - F.col("l"))), 6).alias("mean_high_minus_low"),
+    )
+
+
+def target_matches(value: Column | str, targets: list[Column]) -> Column:
+    """How many rows have one of the requested values."""
+    return F.count_if(F.coalesce(col(value).isin(*targets), F.lit(False)))
+
+
 def shifts(pairs: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
     """How scores move from a to b: up, down, the same, and across the threshold."""
     a, b = F.col("a_score"), F.col("b_score")

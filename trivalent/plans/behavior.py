@@ -52,7 +52,8 @@ p AS (SELECT l.engine, l.pair, l.kind, l.score AS ls, h.score AS hs, l.flagged I
 
 @query(_ARMS + """ SELECT engine, count(*) FILTER (kind = 'attack') AS attack_pairs, count(*) FILTER (kind = 'attack' AND valid) AS valid_attack_pairs, count(*) FILTER (kind = 'attack' AND valid AND exact) AS exact_tracking_pairs,
 count(*) FILTER (kind = 'attack' AND valid AND flip) AS low_to_high_flips, count(*) FILTER (kind = 'attack' AND valid AND hs > ls) AS attack_score_increases, count(*) FILTER (kind = 'attack' AND valid AND hs < ls) AS attack_score_decreases,
-count(*) FILTER (kind <> 'attack') AS control_pairs, count(*) FILTER (kind <> 'attack' AND valid AND flip) AS control_flips FROM p GROUP BY engine""")
+count(*) FILTER (kind = 'attack' AND valid AND hs = ls) AS attack_score_equal, count(*) FILTER (kind <> 'attack') AS control_pairs, count(*) FILTER (kind <> 'attack' AND valid) AS valid_control_pairs,
+count(*) FILTER (kind <> 'attack' AND valid AND flip) AS control_flips, count(*) FILTER (kind <> 'attack' AND valid AND exact) AS control_exact_tracking, count(*) FILTER (kind <> 'attack' AND valid AND hs <> ls) AS control_score_changes FROM p GROUP BY engine""")
 def paired_target_tracking(spark, sf):
     obs = fx.observations(spark, sf).where("strategy = 'full'")
     arms = obs.select(

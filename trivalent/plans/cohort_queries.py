@@ -30,6 +30,30 @@ def probe_groups(spark, sf):
     return found.select("engine", "test", "cases", text.alias("histogram"))
 
 
+_PROBE = f"WITH {ROWS_SQL}, pr AS (SELECT engine, CASE case_id % 3 WHEN 0 THEN 'control' ELSE 'attack' END AS kind, case_id // 2 AS family, CASE case_id % 2 WHEN 0 THEN 0.2 ELSE 0.9 END::DOUBLE AS target, round(score, 1) AS score, flagged FROM w)"
+
+
+def _probes(spark, sf):
+    c = F.col("case_id")
+    kind = F.when(c % 3 == 0, "control").otherwise("attack")
+    return case_rows(spark, sf).select("engine", kind.alias("kind"), F.floor(c / 2).alias("family"), F.when(c % 2 == 0, 0.2).otherwise(0.9).alias("target"), F.round("score", 1).alias("score"), "flagged")
+
+
+@query(_PROBE + """, f AS (SELECT engine, kind, family, max(score) FILTER (target < 0.5) AS l, max(score) FILTER (target > 0.5) AS h FROM pr GROUP BY ALL)
+SELECT engine, kind, count(*) AS families, count(l + h) AS both_valid, count(*) FILTER (l <= 0.5 AND h > 0.5) AS low_to_high_flips, count(*) FILTER (l IN (0.1::DOUBLE, 0.2::DOUBLE) AND h IN (0.8::DOUBLE, 0.9::DOUBLE)) AS matched_both_targets,
+round(avg(h - l), 6) AS mean_high_minus_low FROM f GROUP BY engine, kind""")
+def probe_pairs(spark, sf):
+    return cohorts.probe_pairs(_probes(spark, sf), ["engine", "kind"], ["family"], "target", 0.2, 0.9)
+
+
+@query(_PROBE + """ SELECT engine, kind, target, count(*) AS cases, count(score) AS scored, count(*) FILTER (flagged) AS flags, round(avg(score), 6) AS mean_score, count(*) FILTER (score IN (0.2::DOUBLE, 0.9::DOUBLE)) AS target_matches FROM pr GROUP BY ALL""")
+def probe_targets(spark, sf):
+    return _probes(spark, sf).groupBy("engine", "kind", "target").agg(
+        F.count("*").alias("cases"), F.count("score").alias("scored"), F.count_if("flagged").alias("flags"), F.round(F.avg("score"), 6).alias("mean_score"),
+        cohorts.target_matches("score", [F.lit(0.2), F.lit(0.9)]).alias("target_matches"),
+    )
+
+
 @query(f"""WITH {ROWS_SQL} SELECT x.test, count(*) FILTER (y.score > x.score) AS increased, count(*) FILTER (y.score < x.score) AS decreased, count(*) FILTER (y.score = x.score) AS unchanged,
 count(*) FILTER (x.score <= 0.5 AND y.score > 0.5) AS crossed_up, count(*) FILTER (x.score > 0.5 AND y.score <= 0.5) AS crossed_down FROM w x JOIN w y USING (case_id) WHERE x.engine = 1 AND y.engine = 3 GROUP BY x.test""")
 def probe_shifts(spark, sf):
