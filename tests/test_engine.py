@@ -279,6 +279,9 @@ def test_checkpoints_tolerate_an_unfinished_tail_only(spark, tmp_path):
 def test_sinks(spark):
     df = spark.createDataFrame([(1, "b", None), (2, "a", 3)], "z int, a string, m int")
     assert [r.value for r in files.canonical_lines(df).collect()] == ['{"a":"b","m":null,"z":1}', '{"a":"a","m":3,"z":2}']
+    nested = df.select(F.struct(F.col("z").alias("y"), F.array(F.struct(F.col("a").alias("q"), F.col("m").alias("b"))).alias("c")).alias("v"), F.create_map(F.lit("k2"), "a", F.lit("k1"), "a").alias("k"))
+    assert nested.transform(files.canonical_lines).first().value == '{"k":{"k1":"b","k2":"b"},"v":{"c":[{"b":null,"q":"b"}],"y":1}}'
+    assert df.select(files.storable(F.expr("cast(x'6100ff62' as string)")).alias("x")).first().x == "a\ufffdb"
     old, new = spark.createDataFrame([(1, "old", 1), (2, "old", 1)], "k int, v string, t int"), spark.createDataFrame([(2, "new", 2), (3, "new", 2)], "k int, v string, t int")
     assert sorted((r.k, r.v) for r in files.upsert(old, new, ["k"], "t").collect()) == [(1, "old"), (2, "new"), (3, "new")]
     assert sorted((r.k, r.v) for r in files.insert_missing(old, new, ["k"]).collect()) == [(1, "old"), (2, "old"), (3, "new")]

@@ -236,6 +236,24 @@ def agreement(wide: DataFrame, pairs: list[tuple[str, str]], fields: list[str],
     return wide.groupBy(*groups).agg(F.count("*").alias("cases"), F.array(*each).alias("each")).select(*groups, "cases", F.inline("each"))
 
 
+def engine_catalog(engines: DataFrame, deployments: DataFrame, models: DataFrame) -> DataFrame:
+    """Every engine with its deployment and model, null where it has none."""
+    return engines.join(deployments, "deployment_id", "left").join(models, "model_id", "left")
+
+
+def reuse_chain(derived: DataFrame, observations: DataFrame, runs: DataFrame, segments: DataFrame) -> DataFrame:
+    """Derived observations with their run and segment, and where the source is on record its run and whether its input is the same.
+
+    derived: observation, source, method. observations: observation, run_id, segment. runs: run_id, run. segments: segment, text_sha256.
+    """
+    placed = observations.join(runs, "run_id").join(segments, "segment")
+    own = placed.select("observation", "run", "segment", "text_sha256")
+    kept = observations.join(runs, "run_id", "left").join(segments, "segment", "left")
+    source = kept.select(F.col("observation").alias("source"), F.col("run").alias("source_run"), F.col("segment").alias("source_segment"), F.col("text_sha256").alias("source_sha256"))
+    found = derived.join(own, "observation").join(source, "source", "left")
+    return found.withColumn("exact_input_match", F.col("text_sha256") == F.col("source_sha256")).drop("text_sha256", "source_sha256")
+
+
 def evidence(links: DataFrame, runs: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Evidence links with the runs that they mean: the one named, or each run with an artifact under the link's path prefix."""
     under = artifacts.join(runs.select("run", "run_id"), "run").select("path", F.col("run").alias("at_run"), F.col("run_id").alias("at_id"))

@@ -327,3 +327,25 @@ def bootstrap_auroc(spark, sf):
     rows = _pairs(spark, sf).withColumns({n: F.round(n, 2) for n in ("a_max_score", "b_max_score")})
     found = statistics.paired_bootstrap(rows, ["engine"], "lang", "positive", "b_max_score", "a_max_score", kind="auroc")
     return found.select("engine", "cases", *[F.round(c, 6).alias(c) for c in ("estimate", "lower", "upper")])
+
+
+@query("""SELECT o_orderkey AS engine, c_custkey AS deployment_id, n_nationkey AS model_id, c_mktsegment AS backend, n_name AS model FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 5 <> 0
+LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey % 3 <> 0""")
+def engine_catalog(spark, sf):
+    t = lambda name: fx.table(spark, sf, name)
+    deployments = t("customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("deployment_id"), F.col("c_nationkey").alias("model_id"), F.col("c_mktsegment").alias("backend"))
+    models = t("nation").where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("model_id"), F.col("n_name").alias("model"))
+    found = assembly.engine_catalog(t("orders").select(F.col("o_orderkey").alias("engine"), F.col("o_custkey").alias("deployment_id")), deployments, models)
+    return found.select("engine", F.when(F.col("backend").isNotNull(), F.col("deployment_id")).alias("deployment_id"), F.when(F.col("model").isNotNull(), F.col("model_id")).alias("model_id"), "backend", "model")
+
+
+@query("""WITH o AS (SELECT event_id AS id, user_id, event_id % 50 AS sha FROM events) SELECT d.id AS observation, s.id AS source, 'run-' || d.user_id AS run, CASE WHEN s.id IS NOT NULL THEN 'run-' || s.user_id END AS source_run, d.sha = s.sha AS exact_input_match
+FROM o d LEFT JOIN o s ON s.id = d.id - CASE WHEN d.id % 4 = 1 THEN 50 ELSE 7 END WHERE d.id % 2 = 1""")
+def reuse_chain(spark, sf):
+    e = fx.table(spark, sf, "events")
+    k = F.col("event_id")
+    derived = e.where("event_id % 2 = 1").select(k.alias("observation"), (k - F.when(k % 4 == 1, 50).otherwise(7)).alias("source"))
+    observations = e.select(k.alias("observation"), F.col("user_id").alias("run_id"), k.alias("segment"))
+    runs = e.select(F.col("user_id").alias("run_id"), F.concat(F.lit("run-"), "user_id").alias("run")).distinct()
+    found = assembly.reuse_chain(derived, observations, runs, e.select(k.alias("segment"), (k % 50).alias("text_sha256")))
+    return found.select("observation", F.when(F.col("source_run").isNotNull(), F.col("source")).alias("source"), "run", "source_run", "exact_input_match")

@@ -129,6 +129,11 @@ def encoding_controls(spark, sf):
     return fx.table(spark, sf, "benchmark").select("item_id", cohorts.encoded("text")["base64"].alias("base64"))
 
 
+@query(r"""SELECT item_id, array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN regexp_full_match(c, '[A-Za-z]') THEN '\u00' || lower(hex(c)) ELSE c END), '') AS escaped FROM benchmark""")
+def encoding_escapes(spark, sf):
+    return fx.table(spark, sf, "benchmark").select("item_id", cohorts.encoded("text")["escaped"].alias("escaped"))
+
+
 _WORDINGS = ["score {n}", "rate it {n}", "give {n} of 1", "{n} is the grade"]
 
 

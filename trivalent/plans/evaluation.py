@@ -160,6 +160,13 @@ def near_miss_pairs(spark, sf):
     return pairs.groupBy("test").agg(F.count("*").alias("near_misses"), F.count_if(F.col("b_score") < 0.25).alias("low"), F.count_if(F.col("b_score") >= 0.25).alias("close"))
 
 
+@query(f"""WITH {ROWS_SQL}, n AS (SELECT x.test, y.score AS s FROM w x JOIN w y USING (case_id) WHERE x.engine = 1 AND y.engine = 2 AND x.flagged AND NOT y.flagged)
+SELECT test, count(*) AS near_misses, {_c('s >= 0 AND s < 0.1')} AS bin_0, {_c('s >= 0.1 AND s < 0.2')} AS bin_1, {_c('s >= 0.2 AND s < 0.3')} AS bin_2, {_c('s >= 0.3 AND s < 0.4')} AS bin_3, {_c('s >= 0.4 AND s <= 0.5')} AS bin_4 FROM n GROUP BY test""")
+def near_miss_histogram(spark, sf):
+    pairs = metrics.pair(case_rows(spark, sf), "engine", 1, 2, ["case_id", "test"], ["flagged", "score"]).where("a_flagged AND NOT b_flagged")
+    return pairs.groupBy("test").agg(F.count("*").alias("near_misses"), *metrics.bands("b_score", [0.0, 0.1, 0.2, 0.3, 0.4, 0.5]))
+
+
 @query(PAIRS_SQL + f""", g AS (SELECT engine, source, sum(b::INT - a::INT) AS net FROM p WHERE {_D} GROUP BY engine, source)
 SELECT engine, {_c('net > 0')} AS wins, {_c('net < 0')} AS losses, {_c('net = 0')} AS ties, sum(net)::BIGINT AS net FROM g GROUP BY engine""")
 def family_net_delta(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trivalent.functions import stats
-from trivalent.functions.text import words
+from trivalent.functions.text import sha, words
 from trivalent.operators import metrics, statistics
 from trivalent.plans import fixtures as fx
 from trivalent.plans.evaluation import CELLS_SQL, PAIRS_SQL, ROWS_SQL, _pairs, case_rows
@@ -112,15 +112,15 @@ def round_robin_subset(spark, sf):
 @query(r"""WITH n AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS body, sha256('seed-3' || chr(0) || doc_id) AS h FROM documents),
 a AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY body ORDER BY h, doc_id) = 1) SELECT doc_id FROM a QUALIFY row_number() OVER (PARTITION BY left(body, 120) ORDER BY h, doc_id) = 1""")
 def near_dedup_prefix(spark, sf):
+    """Texts of one body have one head, so the first row of each head is also the first of its body."""
     docs = fx.table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"))
-    docs = docs.select("doc_id", F.array_join(words("t"), " ").alias("body")).withColumn("h", statistics.hash_rank("seed-3", "doc_id"))
-    once = statistics.keep_first(docs, ["body"], ["h", "doc_id"]).withColumn("head", F.substring("body", 1, 120))
-    return statistics.keep_first(once, ["head"], ["h", "doc_id"]).select("doc_id")
+    docs = docs.select("doc_id", F.substring(F.array_join(words("t"), " "), 1, 120).alias("head"), statistics.hash_rank("seed-3", "doc_id").alias("h"))
+    return docs.groupBy("head").agg(F.min_by("doc_id", F.struct("h", "doc_id")).alias("doc_id")).select("doc_id")
 
 
 @query("""SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text""")
 def unique_text(spark, sf):
-    return fx.table(spark, sf, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
+    return fx.table(spark, sf, "documents").groupBy(sha("text")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
 @query(f"""WITH {ROWS_SQL}, d AS (SELECT x.test, x.tokens - y.tokens + (x.case_id % 7) - 3 AS d FROM w x JOIN w y USING (case_id) WHERE x.engine = 1 AND y.engine = 2), z AS (SELECT * FROM d WHERE d <> 0),

@@ -6,6 +6,7 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trivalent.functions.text import sha
 from trivalent.operators.behavior import latest
@@ -86,8 +87,22 @@ def inventory(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def canonical_lines(df: DataFrame) -> DataFrame:
-    """Compact JSON with fields in name order, one line a row."""
-    return df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value"))
+    """Compact JSON with fields and keys in name order at every depth, one line a row."""
+    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    return df.select(F.to_json(F.struct(*[_by_name(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields]), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def _by_name(value: Column, kind: T.DataType) -> Column:
+    """The value with the fields of structs and the keys of maps in name order, all the way down."""
+    if isinstance(kind, T.StructType):
+        inner = [_by_name(value.getField(f.name), f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(value.isNotNull(), F.struct(*inner))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _by_name(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), _by_name(e["value"], kind.valueType).alias("value")))
+        return F.map_from_entries(F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1)))
+    return value
 
 
 def upsert(target: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -106,8 +121,8 @@ def not_imported(files: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def storable(text: Column) -> Column:
-    """The text without NUL characters."""
-    return F.replace(text, F.lit("\0"), F.lit(""))
+    """The text without NUL characters, bytes that are no UTF-8 replaced."""
+    return F.replace(F.make_valid_utf8(text), F.lit("\0"), F.lit(""))
 
 
 def unfence(text: Column) -> Column:
