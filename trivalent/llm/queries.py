@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivalent.llm import chat_windows, golay_simhash, language_id, license_join, mil_quality, quality_rules, sentencepiece_gumbel, separator_scan, sstable, suffix_decontam
+from trivalent.llm import chat_windows, contextual_pii, golay_simhash, importance_resampling, language_id, license_join, mil_quality, quality_rules, sentencepiece_gumbel, separator_scan, sstable, suffix_decontam, whitening
 from trivalent.llm.common import table
 
 
@@ -107,6 +107,19 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.digests(chat_windows.format_windows(turns.unionByName(added)))
 
 
+def op11_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contextual_pii.digests(contextual_pii.find(table(spark, sf_dir, "documents")))
+
+
+def op12_tiled_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_trie_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_rank_order_language": op1_rank_order_language,
     "op2_gumbel_sentencepiece": op2_gumbel_sentencepiece,
@@ -118,6 +131,9 @@ QUERIES = {
     "op8_license_join": op8_license_join,
     "op9_simhash_golay": op9_simhash_golay,
     "op10_chat_windows": op10_chat_windows,
+    "op11_contextual_pii": op11_contextual_pii,
+    "op12_tiled_whitening": op12_tiled_whitening,
+    "op13_trie_resampling": op13_trie_resampling,
     "quality_ledger_ablation": quality_ledger_ablation,
 }
 
@@ -127,4 +143,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_suffix_decontam": suffix_decontam.SQL,
     "op8_license_join": license_join.sql(),
     "op10_chat_windows": chat_windows.SQL,
+    "op13_trie_resampling": importance_resampling.SQL,
 }
