@@ -117,7 +117,7 @@ def test_contextual_pii_matches_brute_force(spark):
 
 
 def test_contextual_pii_digests_and_very_long_texts(spark):
-    long = "a" * 10_000 + " " + "1 " * 20_000 + "9" * 100_000 + " x@y.z " + " ".join(f"k{i}@m.de" for i in range(3000))
+    long = "a" * 10_000 + " " + "1 " * 20_000 + "9" * 5_000 + " x@y.z " + " ".join(f"k{i}@m.de" for i in range(3000))
     docs = spark.createDataFrame([(1, long), (2, "5.6.7.8 +123456789")], "doc_id long, text string")
     one, two = sorted(cp.digests(cp.find(docs)).collect())
     assert (one.n_email, one.n_ip, one.n_card, one.n_phone) == (3001, 0, 0, 0)
