@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trivalent.functions.text import col, is_blank
+from trivalent.operators.scoring import INJECTION_FILTER, managed_filter
 from trivalent.operators.verdict import outcome
 
 #: Error kinds that are abstentions; any other is a hard error. Fixed values.
 ABSTENTIONS = ("length_abstention", "output_abstention")
-INJECTION_FILTER = "pi_and_jailbreak"
 
 
 def assemble(expected: DataFrame, observations: DataFrame, errors: DataFrame, keys: list[str]) -> DataFrame:
@@ -188,6 +188,17 @@ def filter_payload(entry: Column | str) -> Column:
     return F.coalesce(*[F.when(is_object(p), read(p)) for p in paths])
 
 
+def managed_answer(body: Column | str) -> dict[str, Column]:
+    """The verdict over the JSON of a managed filter's answer, and the confidence of its injection filter; what is no such answer is inconclusive."""
+    kind = "sanitizationResult struct<invocationResult:string,filterMatchState:string,filterResults:map<string,string>>"
+    answer = F.from_json(col(body), kind)["sanitizationResult"]
+    entries = F.transform(F.map_entries(answer["filterResults"]), lambda e: F.struct(e["key"].alias("name"), filter_payload(e["value"]).alias("p")))
+    filters = F.transform(entries, lambda e: F.struct(e["name"].alias("name"), e["p"]["executionState"].alias("state"), e["p"]["matchState"].alias("match")))
+    found = managed_filter(filters, answer["filterMatchState"], answer["invocationResult"])
+    sure = F.filter(entries, lambda e: e["name"] == INJECTION_FILTER)
+    return {**found, "matched": F.array_sort(found["matched"]), "confidence": F.when(~found["inconclusive"], F.get(sure, 0)["p"]["confidenceLevel"])}
+
+
 def output_anomaly(score: Column, finish: Column, content: Column, one_field: Column) -> Column:
     """What is wrong with a final answer, or null: score is null where the answer has no number."""
     inside = F.coalesce(score.between(0, 1), F.lit(False))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trivalent.functions.text import ascii_words, col, is_blank, words
 
+
 def strict_json(text: Column | str) -> Column:
     """The variant of a text that is one JSON value and nothing else, or null. The parser lets text after a value pass, so the value must stand between brackets of both kinds."""
     t = col(text)
@@ -66,17 +67,30 @@ def abstention_kind(finish: Column | str, content: str) -> Column:
     return F.coalesce(*[F.when(test, name) for name, test in faults.items()], F.lit("other"))
 
 
-def managed_filter(filters: Column | str) -> dict[str, Column]:
-    """Verdict over an array of (name, state, match): an incomplete filter fails closed."""
-    f = col(filters)
-    incomplete = F.exists(f, lambda x: F.coalesce(x["state"], F.lit("")) != "EXECUTION_SUCCESS")
-    matched = F.filter(f, lambda x: x["match"])
-    injected = F.exists(matched, lambda x: x["name"] == "pi_and_jailbreak")
-    return {
-        "inconclusive": incomplete, "flagged": F.when(~incomplete, injected), "score": F.when(~incomplete, F.when(injected, 1.0).otherwise(0.0)),
-        "matched": F.transform(matched, lambda x: x["name"]),
-        "content_blocked": (F.size(matched) > 0) & (~injected | F.exists(matched, lambda x: x["name"] != "pi_and_jailbreak")),
-    }
+#: What a managed filter's answer must say to be a verdict: fixed values.
+INJECTION_FILTER = "pi_and_jailbreak"
+INVOKED, EXECUTED, MATCH, NO_MATCH = "SUCCESS", "EXECUTION_SUCCESS", "MATCH_FOUND", "NO_MATCH_FOUND"
+
+
+def managed_filter(filters: Column | str, overall: Column | str, invocation: Column | str) -> dict[str, Column]:
+    """Verdict over an array of (name, state, match), the match state of all, and the result of the call. It fails closed.
+
+    Unless the call succeeded, every filter ran and said whether it matched, the injection filter is among them, and so
+    did the whole, the answer is inconclusive: flagged, blocked, score and label are null then, never a pass. blocked is
+    true where anything matched; content that is blocked by no injection is CONTENT_BLOCKED, and where only the whole
+    says so the filter is unknown.
+    """
+    f = F.coalesce(col(filters), F.array().cast("array<struct<name:string,state:string,match:string>>"))
+    told = lambda match: F.coalesce(match.isin(MATCH, NO_MATCH), F.lit(False))
+    whole = F.forall(f, lambda x: F.coalesce(x["state"] == EXECUTED, F.lit(False)) & told(x["match"]))
+    screened = F.exists(f, lambda x: F.coalesce(x["name"] == INJECTION_FILTER, F.lit(False)))
+    known = F.coalesce(col(invocation) == INVOKED, F.lit(False)) & told(col(overall)) & (F.size(f) > 0) & whole & screened
+    matched = F.transform(F.filter(f, lambda x: x["match"] == MATCH), lambda x: x["name"])
+    injected, blocked = F.array_contains(matched, INJECTION_FILTER), (F.size(matched) > 0) | (col(overall) == MATCH)
+    said = F.when(injected, "MALICIOUS").when(blocked, "CONTENT_BLOCKED").otherwise("BENIGN")
+    named = F.when(blocked & (F.size(matched) == 0), F.array(F.lit("unknown"))).otherwise(matched)
+    sure = {"flagged": injected, "blocked": blocked, "score": F.when(injected, 1.0).otherwise(0.0), "label": said, "matched": named}
+    return {"inconclusive": ~known, **{n: F.when(known, c) for n, c in sure.items()}}
 
 
 def char_allowance(text: Column | str) -> Column:

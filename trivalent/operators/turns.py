@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trivalent.functions.text import SPACE, col, is_blank, sha, trimmed
@@ -40,12 +40,13 @@ def select_turns(turns: Column | str, selection: str) -> Column:
 
 
 def redact(df: DataFrame, registry: DataFrame, text: str = "text", span: str = "text", least: int = 40, batch: int = 1000, name: str = "redacted") -> DataFrame:
-    """Replace every registered span of `least` characters or more by one space, longest first.
+    """Replace every registered span of `least` characters or more by one space, the longest first whatever it is made of, spans of equal length in their order.
 
     A span's longest inner word (with white space on both sides within the span) stands as a word in every text that
     holds the span, so candidates meet by an equi-join on words; of these, spans that a text really holds are replaced.
-    Work grows with candidates, not with spans times texts. Spans without an inner word, rare at that length, go over
-    all texts in batches of bounded number. Each distinct text is redacted once.
+    Work grows with candidates, not with spans times texts. Spans without an inner word, rare at that length, are
+    looked for in all texts, in batches of bounded number. What both ways find is replaced in one pass over each distinct
+    text. A span that only comes about where a longer one has gone, across the blank left by it, is not looked for.
     """
     spans = registry.select(trimmed(span).alias("span")).where(F.length("span") >= least).distinct()
     inner = F.split("span", rf"[{SPACE}]+")
@@ -54,22 +55,24 @@ def redact(df: DataFrame, registry: DataFrame, text: str = "text", span: str = "
     texts = df.select(F.col(text).alias("body")).where(F.col("body").isNotNull()).select(sha("body").alias("key"), "body").dropDuplicates(["key"])
     met = texts.select("key", F.explode(F.array_distinct(F.split("body", rf"[{SPACE}]+"))).alias("word")).join(anchored.where("word IS NOT NULL"), "word").select("key", "span")
     held = texts.join(met, "key").where(F.contains("body", F.col("span"))).select("key", "body", "span")
+    for some in _batches(anchored.where("word IS NULL").select("span"), batch):
+        held = held.unionByName(texts.crossJoin(some).select("key", "body", F.explode(F.filter("spans_", lambda s: F.contains(F.col("body"), s))).alias("span")))
     lists = held.groupBy("key").agg(F.first("body").alias("body"), F.array_sort(F.collect_list(F.struct((-F.length("span")).alias("n"), "span"))).alias("spans"))
     shorter = lists.select("key", F.aggregate("spans", F.col("body"), lambda acc, s: F.replace(acc, s["span"], F.lit(" "))).alias("body"))
     out = df.withColumn("key_", sha(text)).join(shorter.select(F.col("key").alias("key_"), F.col("body").alias("body_")), "key_", "left")
-    out = out.withColumn(name, F.coalesce("body_", text)).drop("key_", "body_")
-    return _redact_all(out, anchored.where("word IS NULL").select("span"), batch, name)
-
-
-def _redact_all(df: DataFrame, spans: DataFrame, batch: int, name: str) -> DataFrame:
-    """Replace spans in every text: each batch is a one-row table that joins all rows."""
-    n = spans.count()
-    ranked = spans.withColumn("nth", F.row_number().over(Window.orderBy(F.desc(F.length("span")), "span")) - 1)
-    for b in range(-(-n // batch)):
-        some = F.array_sort(F.collect_list(F.struct("nth", "span")))
-        one = F.broadcast(ranked.where(F.floor(F.col("nth") / batch) == b).agg(some.alias("spans_")))  # one row of at most `batch` spans
-        df = df.crossJoin(one).withColumn(name, F.aggregate("spans_", F.col(name), lambda acc, s: F.replace(acc, s["span"], F.lit(" ")))).drop("spans_")
-    return df
+    return out.withColumn(name, F.coalesce("body_", text)).drop("key_", "body_")
+
+
+def _batches(spans: DataFrame, batch: int) -> list[DataFrame]:
+    """The spans as tables of one row, an array of about `batch`, dealt by hash."""
+    parts = -(-spans.count() // batch)
+    dealt = spans.withColumn("part_", F.pmod(F.xxhash64("span"), F.lit(max(parts, 1))))
+    return [F.broadcast(dealt.where(F.col("part_") == b).agg(F.collect_list("span").alias("spans_"))) for b in range(parts)]
+
+
+def has_unauthored(redacted: Column | str) -> Column:
+    """Whether anything but white space is left of a redacted text."""
+    return ~is_blank(redacted)
 
 
 def redacted_decision(original: Column | str, redacted: Column | str) -> Column:

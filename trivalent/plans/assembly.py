@@ -200,15 +200,6 @@ def output_anomalies(spark, sf):
     return rows.select("event_id", assembly.output_anomaly(F.col("score"), F.col("finish"), F.col("content"), F.col("one")).alias("anomaly"))
 
 
-@query("SELECT s_suppkey AS engine, n_name AS deployment, r_name AS model FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND s_suppkey % 7 <> 0 LEFT JOIN region ON n_regionkey = r_regionkey")
-def engine_catalog(spark, sf):
-    """Engines with their deployments and models; some have none."""
-    engines = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("engine"), F.when(F.col("s_suppkey") % 7 != 0, F.col("s_nationkey")).alias("n_nationkey"))
-    nation, region = fx.table(spark, sf, "nation"), fx.table(spark, sf, "region")
-    joined = engines.join(nation, "n_nationkey", "left").join(region, nation.n_regionkey == region.r_regionkey, "left")
-    return joined.select("engine", F.col("n_name").alias("deployment"), F.col("r_name").alias("model"))
-
-
 @query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN 'own' END, c_mktsegment) AS link FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 3 <> 0")
 def relinked_orders(spark, sf):
     rows = fx.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderkey") % 2 == 0, "own").alias("link"))

@@ -271,5 +271,5 @@ def lexical_features(spark, sf):
 @query("SELECT event_type, user_id FROM events GROUP BY ALL")
 def stream_request_dedup(spark, sf):
     events = streams.read_table(spark, f"{sf}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id")
-    once = streams.first_of(events, ["event_type", "user_id"], "ts", "3650 days").select("event_type", "user_id")
+    once = streams.first_ever(events, ["event_type", "user_id"]).select("event_type", "user_id")
     return streams.drain(once, "append")

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from trivalent.functions.text import sha
 from trivalent.operators.behavior import latest
+from trivalent.sources import lines
 
 TURN = "array<struct<id:string,role:string,origin:string,text:string>>"
 CANONICAL = f"id string, label string, turns {TURN}, facets map<string,string>, text_sha256 string"
@@ -17,8 +18,8 @@ CANONICAL = f"id string, label string, turns {TURN}, facets map<string,string>,
 
 def pinned(spark: SparkSession, path: str, sha256: str) -> str:
     """The path, if the file's content has this hash."""
-    found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()
-    if found is None or found[0] != sha256:
+    found = lines.file_hashes(spark.createDataFrame([(path,)], "path string")).first()
+    if found.sha256 != sha256:
         raise ValueError(f"{path} does not have the hash that is expected")
     return path
 
@@ -66,14 +67,13 @@ def invalid_cases(cases: DataFrame) -> DataFrame:
     return cases.withColumn("seen_", seen).withColumn("problem", problem).where("problem IS NOT NULL").select("case_id", "problem")
 
 
-def read_events(spark: SparkSession, path: str, skip_bad: bool = False) -> DataFrame:
-    """JSON events of checkpoint files, a line each: file, line, type and event (a variant).
+def read_events(spark: SparkSession, path: str, skip_bad: bool = False, size: int = lines.RANGE) -> DataFrame:
+    """JSON events of checkpoint files, a line each: file, line, type and event (a variant). A file is read by a task for each `size` bytes.
 
     An unfinished last line, without its line end, is left out. A complete line that isn't JSON fails the read, or with skip_bad is left out too.
     """
-    lines = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", "utf-8").alias("t"))
-    each = lines.select("file", F.posexplode(F.slice(F.split("t", "\n", -1), 1, F.greatest(F.size(F.split("t", "\n", -1)) - 1, F.lit(0)))).alias("at", "text")).where(F.trim("text") != "")
-    parsed = each.select("file", (F.col("at") + 1).alias("line"), "text", F.try_parse_json("text").alias("event"))
+    each = lines.read_lines(spark, path, size).where(F.col("ended") & (F.trim("text") != ""))
+    parsed = each.select("file", "line", "text", F.try_parse_json("text").alias("event"))
     if skip_bad:
         parsed = parsed.where("event IS NOT NULL")
     else:
@@ -82,8 +82,9 @@ def read_events(spark: SparkSession, path: str, skip_bad: bool = False) -> DataF
 
 
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """path, bytes and sha256 of every file below a folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """path, bytes and sha256 of every file below a folder; files are hashed piece by piece, a task for each."""
+    found = lines.listed(folder)
+    return lines.file_hashes(spark.createDataFrame([(f,) for f in found], "path string").repartition(max(1, len(found)), "path"))
 
 
 def canonical_lines(df: DataFrame) -> DataFrame:
@@ -169,10 +170,27 @@ def artifact_kind(path: Column | str, first_line: Column | str | None = None) ->
     head = F.try_parse_json(line)
     read = lambda at: F.coalesce(F.try_variant_get(head, at, "string"), F.lit(""))
     opens = (read("$.type") == "metadata") & (read("$.value.schemaVersion") == RUN_SCHEMA) & (read("$.value.runId") != "")
+    # extensions are told whatever their case, folders and names are not
+    extension = F.regexp_extract(path, EXTENSION, 1)
+    path = F.concat(F.left(path, F.length(path) - F.length(extension)), F.lower(extension))
     fits = [F.when(path.rlike(pattern) & (opens if kind == "checkpoint" else F.lit(True)), kind) for kind, pattern in KINDS]
     return F.coalesce(*fits, F.lit("other"))
 
 
+#: A name's extension; a name that begins with its only dot has none.
+EXTENSION = r"[^/]\.([^./]*)$"
+#: Content types by extension; anything else is octets. Fixed values.
+CONTENT_TYPES = {
+    "json": "application/json", "jsonl": "application/x-ndjson", "ndjson": "application/x-ndjson", "md": "text/markdown", "txt": "text/plain", "log": "text/plain", "csv": "text/csv",
+    "png": "image/png", "svg": "image/svg+xml", "pdf": "application/pdf", "ts": "text/plain", "py": "text/plain", "sh": "text/plain", "jinja": "text/plain",
+}
+
+
+def content_type(path: Column | str) -> Column:
+    extension = F.lower(F.regexp_extract(F.col(path) if isinstance(path, str) else path, EXTENSION, 1))
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in CONTENT_TYPES.items() for x in kv])[extension], F.lit("application/octet-stream"))
+
+
 def read_csv(spark: SparkSession, path: str, text: str, positive: Column, case_id: str | None = None) -> DataFrame:
     """case_id, text and positive of CSV files with a header; fields may hold line ends and doubled quotes. Without an id column the id is the hash of the text."""
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
