@@ -8,12 +8,13 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trivalent.functions import stats
 from trivalent.functions.text import lcg, seed_for, words
-from trivalent.operators import behavior, metrics, preview, scoring, segment, statistics, turns, verdict
+from trivalent.operators import assembly, behavior, metrics, preview, resampling, scoring, segment, statistics, turns, verdict
 from trivalent.sources import files
 from trivalent.streaming import events as streams
 
@@ -159,7 +160,7 @@ def test_auroc_is_the_share_of_ordered_pairs(spark):
 
 def test_resampling(spark):
     df = spark.createDataFrame([("g", f"f{i}", v) for i, v in enumerate([2, -1, 0, 3])], "g string, f string, v long")
-    r = statistics.family_bootstrap(df, ["g"], "f", "v").first()
+    r = resampling.family_bootstrap(df, ["g"], "f", "v").first()
     totals = sorted(sum(t) for t in itertools.product([2, -1, 0, 3], repeat=4))
     assert math.isclose(r["mean"], 4.0) and math.isclose(r.p_not_above_zero, sum(t <= 0 for t in totals) / 256)
     assert r.lower == totals[math.ceil(0.025 * 256) - 1]
@@ -171,6 +172,29 @@ def test_resampling(spark):
     assert abs(sum(y - q for (_, _, y), q in zip(rows, p))) < 0.05
 
 
+def test_many_strata_are_fitted_without_a_matrix_of_them(spark):
+    rng = random.Random(6)
+    rows = [(i % 3000, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(24000)]
+    rows = [(s, x, z, int(rng.random() < 1 / (1 + math.exp(-(0.8 * x - 0.5 * z + (s % 7 - 3) / 3))))) for s, x, z in rows]
+    found = {r.term: r for r in statistics.stratified_logit(spark.createDataFrame(rows, "s int, x double, z double, y int"), "s", ["x", "z"], "y", ridge=0.5).collect()}
+    assert len(found) == 3002
+    alpha, b = np.zeros(3000), np.zeros(2)
+    s, x, y = np.array([r[0] for r in rows]), np.array([r[1:3] for r in rows]), np.array([r[3] for r in rows])
+    for _ in range(40):  # plain Newton, the diagonal block eliminated by hand
+        p = 1 / (1 + np.exp(-(alpha[s] + x @ b)))
+        w = p * (1 - p)
+        ga, haa = np.bincount(s, y - p, 3000) - 0.5 * alpha, np.bincount(s, w, 3000) + 0.5
+        hab = np.stack([np.bincount(s, w * x[:, i], 3000) for i in (0, 1)], 1)
+        schur = x.T @ (x * w[:, None]) + 0.5 * np.eye(2) - (hab / haa[:, None]).T @ hab
+        move = np.linalg.solve(schur, x.T @ (y - p) - 0.5 * b - hab.T @ (ga / haa))
+        alpha, b = alpha + (ga - hab @ move) / haa, b + move
+    assert np.allclose([found["x"].estimate, found["z"].estimate], b, atol=2e-6) and np.allclose([found[f"s={i}"].estimate for i in range(3000)], alpha, atol=2e-6)
+    cover = np.linalg.inv(schur)
+    assert np.allclose([found["x"].std_error, found["z"].std_error], np.sqrt(np.diag(cover)), atol=2e-6)
+    whole = 1 / haa + np.einsum("si,ij,sj->s", hab / haa[:, None], cover, hab / haa[:, None])
+    assert np.allclose([found[f"s={i}"].std_error for i in range(3000)], np.sqrt(whole), atol=2e-6)
+
+
 def test_single_class_cells(spark):
     rows = spark.createDataFrame([("t", 1, True, "scored", True, 1.0), ("t", 1, True, "scored", False, 1.0), ("t", 1, True, "other", None, None)], "test string, engine int, positive boolean, status string, flagged boolean, tokens double")
     r = metrics.cell_summary(rows, ["test", "engine"]).first()
@@ -388,6 +412,61 @@ def test_streams_drop_repeats(spark, tmp_path):
     assert sorted(r.k for r in streams.drain(stream, resume=f"file://{tmp_path}/out").collect()) == ["a", "b"]
 
 
+def test_derivations_refuse_what_is_ambiguous(spark):
+    kind = "k string, seg string, b int, e int, score double"
+    target = spark.createDataFrame([("x", "t1", 0, 4, None), ("x", "t2", 4, 8, None), ("y", "t3", None, None, None), ("z", "t4", 0, 4, None), ("w", "t5", 0, 4, None), (None, "t6", 0, 4, None), ("v", "t7", 0, 4, None), ("v", "t8", 0, 4, None)], kind)
+    source = spark.createDataFrame([("x", "s1", 0, 4, 0.1), ("x", "s2", 4, 8, 0.2), ("y", "s3", 8, 12, 0.3), ("z", "s4", 0, 5, 0.4), ("w", "s5", 0, 4, 0.5), ("w", "s6", None, None, 0.6), (None, "s7", None, 3, 0.7), ("v", "s8", 0, 4, 0.8)], kind)
+    found = assembly.derive(target, source, ["k"], "seg", "b", "e")
+    want = {"t1": ("s1", "derived"), "t2": ("s2", "derived"), "t3": ("s3", "derived"), "t4": (None, "missing"), "t5": (None, "ambiguous"), "t6": ("s7", "derived"), "t7": (None, "ambiguous"), "t8": (None, "ambiguous")}
+    assert {r.seg: (r.source, r.status) for r in found.collect()} == want
+    run = assembly.derived_run(found.where("status = 'derived'"), source.withColumn("run", F.lit("old")), "seg", {"run": F.lit("new")}).collect()
+    assert sorted((r.seg, r.source_segment, r.run, r.score) for r in run) == [("t1", "s1", "new", 0.1), ("t2", "s2", "new", 0.2), ("t3", "s3", "new", 0.3), ("t6", "s7", "new", 0.7)]
+    with pytest.raises(Exception, match="is ambiguous|is missing"):
+        assembly.derived_run(found, source, "seg", {}).collect()
+
+
+def test_prefixes_meet_without_a_nested_loop(spark):
+    paths = spark.createDataFrame([("a/b/c",), ("a/bc",), ("é/x",), ("",), (None,)], "path string")
+    joined = assembly.prefix_join(paths, "path", spark.createDataFrame([("a/b",), ("a/b",), ("é",), ("",), ("a/b/c/d",), (None,)], "p string"), "p")
+    assert sorted((r.path, r.p) for r in joined.collect()) == sorted([("a/b/c", "a/b"), ("a/bc", "a/b"), ("é/x", "é"), *[(x, "") for x in ("a/b/c", "a/bc", "é/x", "")]])
+    many = spark.range(100000).selectExpr("concat('run/', id) AS path")
+    plan = assembly.prefix_join(many, "path", many.selectExpr("left(path, 6) AS p"), "p")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("NestedLoop") == 1 and "lengths_" in plan.split("NestedLoop")[1][:400]  # the one row of lengths
+
+
+def test_redaction_is_longest_first_over_all_spans(spark):
+    a, b, c, d = "aa" * 12, "bb", "C" * 40, "D" * 60
+    texts = [f"{a} {b} {c} {d}", f"x {c} {d} y", f"{a} {b} {c}", "none"]
+    spans = [f"{a} {b} {c}", f"{c} {d}", "Z" * 50]
+    for batch in (1, 1000):
+        found = [r.redacted for r in turns.redact(docs(spark, texts), spark.createDataFrame([(s,) for s in spans], "text string"), batch=batch).orderBy("case_id").collect()]
+        plain = []
+        for t in texts:
+            for s in sorted(spans, key=len, reverse=True):
+                t = t.replace(s, " ")
+            plain.append(t)
+        assert found == plain and found[0] == f"{a} {b}  "
+    left = spark.createDataFrame([(" \n",), ("x",), (None,)], "t string").select(turns.has_unauthored("t").alias("v")).collect()
+    assert [r.v for r in left] == [False, True, False]
+
+
+def test_managed_filters_fail_closed(spark):
+    ok = ("pi_and_jailbreak", "EXECUTION_SUCCESS", "NO_MATCH_FOUND")
+    rows = [
+        ([ok], "NO_MATCH_FOUND", "SUCCESS", (False, False, 0.0, "BENIGN", [])),
+        ([("pi_and_jailbreak", "EXECUTION_SUCCESS", "MATCH_FOUND"), ("rai", "EXECUTION_SUCCESS", "NO_MATCH_FOUND")], "MATCH_FOUND", "SUCCESS", (True, True, 1.0, "MALICIOUS", ["pi_and_jailbreak"])),
+        ([ok, ("rai", "EXECUTION_SUCCESS", "MATCH_FOUND")], "MATCH_FOUND", "SUCCESS", (False, True, 0.0, "CONTENT_BLOCKED", ["rai"])),
+        ([ok], "MATCH_FOUND", "SUCCESS", (False, True, 0.0, "CONTENT_BLOCKED", ["unknown"])),
+        ([], "NO_MATCH_FOUND", "SUCCESS", None), (None, "NO_MATCH_FOUND", "SUCCESS", None), ([ok], "NO_MATCH_FOUND", "PARTIAL", None), ([ok], "NO_MATCH_FOUND", None, None), ([ok], None, "SUCCESS", None), ([ok], "ODD", "SUCCESS", None),
+        ([("rai", "EXECUTION_SUCCESS", "NO_MATCH_FOUND")], "NO_MATCH_FOUND", "SUCCESS", None), ([ok, ("rai", "EXECUTION_SKIPPED", "NO_MATCH_FOUND")], "NO_MATCH_FOUND", "SUCCESS", None),
+        ([ok, ("rai", None, "NO_MATCH_FOUND")], "NO_MATCH_FOUND", "SUCCESS", None), ([ok, ("rai", "EXECUTION_SUCCESS", "MATCH_STATE_UNSPECIFIED")], "NO_MATCH_FOUND", "SUCCESS", None), ([ok, ("rai", "EXECUTION_SUCCESS", None)], "NO_MATCH_FOUND", "SUCCESS", None),
+    ]
+    df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "i int, f array<struct<name:string,state:string,match:string>>, overall string, called string")
+    found = df.select("i", *[c.alias(n) for n, c in scoring.managed_filter("f", "overall", "called").items()]).orderBy("i").collect()
+    for r, (*_, want) in zip(found, rows, strict=True):
+        assert r.inconclusive == (want is None) and (r.flagged, r.blocked, r.score, r.label, r.matched) == (want or (None,) * 5)
+
+
 # ---- Catalog
 
 
@@ -420,7 +499,7 @@ def test_whole_tables_reach_substitution_containment_and_upsert(spark, tmp_path)
 
 
 #: Queries without SQL, and the test that holds each.
-WITHOUT_SQL = {"bootstrap_auroc", "bootstrap_balanced_accuracy", "cluster_bootstrap", "contrast_log_odds", "cross_validated_auroc", "wilcoxon_p", "family_bootstrap_exact", "stratified_logit"}
+WITHOUT_SQL = {"family_bootstrap_joint", "shared_redraws_ba", "shared_redraws_auroc", "nested_bootstrap_means", "bootstrap_auroc", "bootstrap_balanced_accuracy", "cluster_bootstrap", "contrast_log_odds", "cross_validated_auroc", "wilcoxon_p", "family_bootstrap_exact", "stratified_logit"}
 
 
 def test_catalog_against_duckdb(spark):

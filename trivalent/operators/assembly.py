@@ -111,6 +111,49 @@ def pair_up(target: DataFrame, source: DataFrame, keys: list[str], order: str) -
     return target.withColumn("nth_", nth).join(given, [*keys, "nth_"], "left").drop("nth_")
 
 
+def derive(target: DataFrame, source: DataFrame, keys: list[str], segment: str, begin: str, end: str) -> DataFrame:
+    """How each target segment is had from a source: (target's segment, source, status), a source only where it is the one match of a segment that is its one match.
+
+    Segments match if the keys are equal, nulls too, and the offsets (begin, end), unless either side has none. status is
+    derived; missing, without any match; or ambiguous, where target or source has several, which is told and never decided by order.
+    Matches are counted from groups of equal keys and offsets, not by listing pairs, so a text that repeats costs a row a segment.
+    """
+    def placed(rows: DataFrame, name: str) -> DataFrame:
+        free = F.col(begin).isNull() | F.col(end).isNull()
+        place = F.when(free, None).otherwise(F.struct(F.col(begin).cast("long").alias("b"), F.col(end).cast("long").alias("e")))
+        return rows.select(F.struct(*[F.col(k) for k in keys]).alias("key_"), place.alias("place_"), F.col(segment).alias(name))
+
+    def tallied(rows: DataFrame, name: str, prefix: str) -> tuple[DataFrame, DataFrame]:
+        """Of each key and place, how many there are and the least; and of the key, how many have a place, none, and the least of either."""
+        each = rows.groupBy("key_", "place_").agg(F.count("*").alias("n"), F.min(name).alias("one"))
+        whole = rows.groupBy("key_").agg(F.count("*").alias("all"), F.count_if(F.col("place_").isNull()).alias("free"), F.min(F.when(F.col("place_").isNull(), F.col(name))).alias("free_one"), F.min(name).alias("any_one"))
+        return each.select(F.col("key_").alias("k"), F.col("place_").alias("p"), F.col("n").alias(f"{prefix}n"), F.col("one").alias(f"{prefix}one")), whole.select(F.col("key_").alias("wk"), *[F.col(c).alias(f"{prefix}{c}") for c in ("all", "free", "free_one", "any_one")])
+
+    def matched(rows: DataFrame, others: DataFrame, name: str, other: str) -> DataFrame:
+        """Each row with the number of its matches on the other side, and the match where it is one."""
+        each, whole = tallied(others, other, "o_")
+        rows = rows.join(whole, F.col("key_").eqNullSafe(F.col("wk")), "left").join(each, F.col("key_").eqNullSafe(F.col("k")) & F.col("place_").eqNullSafe(F.col("p")) & F.col("place_").isNotNull(), "left")
+        some = lambda c: F.coalesce(c, F.lit(0))
+        n = F.when(F.col("place_").isNull(), some("o_all")).otherwise(some("o_n") + some("o_free"))
+        one = F.when(F.col("place_").isNull(), F.col("o_any_one")).otherwise(F.coalesce("o_one", "o_free_one"))
+        return rows.select(name, n.alias(f"{name}_matches"), F.when(n == 1, one).alias(f"{name}_match"))
+
+    t, s = placed(target, "t_"), placed(source, "s_")
+    ours, theirs = matched(t, s, "t_", "s_"), matched(s, t, "s_", "t_")
+    both = ours.join(theirs.select("s_", "s__matches"), ours["t__match"] == theirs["s_"], "left")
+    status = F.when(F.col("t__matches") == 0, "missing").when((F.col("t__matches") == 1) & (F.col("s__matches") == 1), "derived").otherwise("ambiguous")
+    return both.select(F.col("t_").alias(segment), F.when(status == "derived", F.col("t__match")).alias("source"), status.alias("status"))
+
+
+def derived_run(derivation: DataFrame, observations: DataFrame, segment: str, identity: dict[str, Column]) -> DataFrame:
+    """The observations of a run that asks nothing: each source's, under the run's identity and the target's segment. A segment that isn't derived is an error, as no run may be in part."""
+    whole = F.when(F.col("status") == "derived", F.col("source")).otherwise(F.raise_error(F.concat(F.lit("segment "), F.col(segment).cast("string"), F.lit(" is "), F.col("status"))))
+    placed = derivation.select(F.col(segment).alias("target_"), whole.alias("source_"))
+    found = placed.join(observations, placed["source_"] == observations[segment])
+    kept = found.drop(segment).withColumnsRenamed({"target_": segment, "source_": "source_segment"})
+    return rebind(kept.select(*observations.columns, "source_segment"), identity)
+
+
 def rebind(observations: DataFrame, identity: dict[str, Column]) -> DataFrame:
     """Observations under another identity: these fields change, nothing else."""
     if unknown := set(identity) - set(observations.columns):
@@ -265,10 +308,18 @@ def reuse_chain(derived: DataFrame, observations: DataFrame, runs: DataFrame, se
     return found.withColumn("exact_input_match", F.col("text_sha256") == F.col("source_sha256")).drop("text_sha256", "source_sha256")
 
 
+def prefix_join(paths: DataFrame, path: str, prefixes: DataFrame, prefix: str) -> DataFrame:
+    """Every path with each prefix that it begins with, by an equi-join: a path's beginnings of the lengths that prefixes have. Equal prefixes are one row."""
+    once = prefixes.select(F.col(prefix).alias("prefix_")).where(F.col("prefix_").isNotNull()).distinct()
+    lengths = F.broadcast(once.agg(F.collect_set(F.length("prefix_")).alias("lengths_")))  # one row, a number for each length
+    fit = F.filter("lengths_", lambda n: n <= F.length(path))
+    begun = paths.crossJoin(lengths).withColumn("prefix_", F.explode(F.transform(fit, lambda n: F.left(F.col(path), n)))).drop("lengths_")
+    return begun.join(once, "prefix_").withColumnRenamed("prefix_", prefix)
+
+
 def evidence(links: DataFrame, runs: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Evidence links with the runs that they mean: the one named, or each run with an artifact under the link's path prefix."""
     under = artifacts.join(runs.select("run", "run_id"), "run").select("path", F.col("run").alias("at_run"), F.col("run_id").alias("at_id"))
-    prefixes = links.where("path_prefix IS NOT NULL").select("path_prefix").distinct()
-    met = prefixes.join(under, F.startswith(F.col("path"), F.col("path_prefix"))).select("path_prefix", "at_run", "at_id").distinct()
+    met = prefix_join(under, "path", links, "path_prefix").select("path_prefix", "at_run", "at_id").distinct()
     named = links.join(runs.select("run", "run_id"), "run", "left").join(met, "path_prefix", "left")
     return named.withColumns({"run": F.coalesce("run", "at_run"), "run_id": F.coalesce("run_id", "at_id")}).drop("at_run", "at_id")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -108,25 +108,6 @@ def cluster_bootstrap(df: DataFrame, groups: list[str], cluster: str, value: str
     return found.select(*groups, "clusters", "estimate", place(0.025).alias("lower"), place(0.97475).alias("upper"))
 
 
-def family_bootstrap(df: DataFrame, groups: list[str], family: str, value: str) -> DataFrame:
-    """The exact bootstrap distribution of the sum of `families` drawn family values (whole numbers), by convolution: its mean and 95% interval."""
-    sums = df.groupBy(*groups, family).agg(F.sum(value).cast("long").alias("v"))
-    schema = ", ".join([*(f"{g} {dict(df.dtypes)[g]}" for g in groups), "families long", "mean double", "lower long", "upper long", "p_not_above_zero double"])
-
-    def convolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf["v"].to_numpy()
-        low = int(v.min())
-        one = np.bincount(v - low) / len(v)
-        dist, n = np.ones(1), len(v)
-        for _ in range(n):
-            dist = np.convolve(dist, one)
-        totals, cum = np.arange(len(dist)) + n * low, np.cumsum(dist)
-        at = lambda q: int(totals[min(np.searchsorted(cum, q - 1e-12), len(totals) - 1)])
-        return pd.DataFrame([[*(pdf[g].iloc[0] for g in groups), n, float((totals * dist).sum()), at(0.025), at(0.975), float(dist[totals <= 0].sum())]], columns=[x.split()[0] for x in schema.split(", ")])
-
-    return sums.groupBy(*groups).applyInPandas(convolve, schema)
-
-
 def wilcoxon(df: DataFrame, groups: list[str], difference: str) -> DataFrame:
     """Signed-rank test by the normal approximation with ties: w_plus, n, z and the two-sided p; zero differences are left out."""
     rows = df.where(F.col(difference) != 0).groupBy(*groups, F.abs(difference).alias("d")).agg(F.count("*").alias("t"), F.count_if(F.col(difference) > 0).alias("up"))
@@ -149,50 +130,66 @@ def two_sided(z: Column | str) -> Column:
     return F.when(size.isNotNull(), F.least(F.lit(1.0), total * width / 3 * 2 / math.sqrt(2 * math.pi)))
 
 
-def _fit(df: DataFrame, strata: str, features: list[str], label: str, ridges: tuple[float, float], steps: int) -> tuple[list, np.ndarray, np.ndarray]:
-    """Names of the strata, coefficients (theirs, then the features'), and the curvature; ridges are the strata's and the features'.
+@dataclass(frozen=True)
+class Fit:
+    """A fitted model: a table of the strata (stratum_, alpha, haa, hab), the slopes, and the inverse of their curvature with the strata eliminated."""
+
+    strata: DataFrame
+    slopes: np.ndarray
+    inverse: np.ndarray
 
-    Each Newton step sums gradients and curvature in the tasks; only a matrix of (strata + features) squared reaches the driver.
-    """
-    names = sorted(r[0] for r in df.select(strata).distinct().limit(1001).collect())
-    if len(names) > 1000:
-        raise ValueError("more than 1000 strata")
-    width = len(names) + len(features)
-    beta = np.zeros(width)
-    ridge = np.repeat(np.array(ridges), [len(names), len(features)])
-    curvature = np.diag(ridge)
-
-    def newton(beta: np.ndarray):
-        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(width + width * width)
-            for pdf in batches:
-                x = np.hstack([pdf[strata].to_numpy()[:, None] == np.array(names, dtype=object)[None, :], pdf[features].to_numpy(float)]).astype(float)
-                p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-                total[:width] += x.T @ (pdf[label].to_numpy(float) - p)
-                total[width:] += (x.T @ (x * (p * (1 - p))[:, None])).ravel()
-            yield pd.DataFrame({"at": np.arange(len(total)), "v": total})
-
-        rows = df.select(strata, *features, label).mapInPandas(sums, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
-        out = np.zeros(width + width * width)
-        for r in rows:
-            out[r["at"]] = r["v"]
-        return out[:width] - ridge * beta, out[width:].reshape(width, width) + np.diag(ridge)
 
+def _fit(df: DataFrame, strata: str, features: list[str], label: str, ridges: tuple[float, float], steps: int) -> Fit:
+    """Logistic regression with an intercept for each stratum and shared slopes; ridges are the strata's and the slopes'.
+
+    Newton's steps with the intercepts eliminated: a row of sums for each stratum, its intercept among them, stays a table, and
+    what reaches the driver is its Schur complement, a matrix of slopes squared. So strata may be as many as they like.
+    """
+    k, (ridge_a, ridge_b) = len(features), ridges
+    rows = df.select(F.col(strata).alias("stratum_"), *[F.col(f).cast("double").alias(f"x{i}_") for i, f in enumerate(features)], F.col(label).cast("double").alias("y_"))
+    x = [F.col(f"x{i}_") for i in range(k)]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    b = np.zeros(k)
+    table = rows.select("stratum_").distinct().withColumn("alpha", F.lit(0.0))
     for _ in range(steps):
-        gradient, curvature = newton(beta)
-        move = np.linalg.solve(curvature, gradient)
-        beta = beta + move
-        if np.abs(move).max() < 1e-8:
+        known = table.select(F.col("stratum_").alias("s_"), "alpha")
+        eta = F.col("alpha") + sum((c * float(v) for c, v in zip(x, b, strict=True)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), eta))))
+        placed = rows.join(known, F.col("stratum_").eqNullSafe(F.col("s_"))).withColumn("p_", p).withColumn("r_", F.col("y_") - F.col("p_")).withColumn("w_", F.col("p_") * (1 - F.col("p_")))
+        r, w = F.col("r_"), F.col("w_")
+        sums = placed.groupBy("stratum_").agg(
+            F.first("alpha").alias("alpha"), F.sum(r).alias("ga"), F.sum(w).alias("haa"), *[F.sum(r * c).alias(f"gb{i}") for i, c in enumerate(x)], *[F.sum(w * c).alias(f"h{i}") for i, c in enumerate(x)],
+            *[F.sum(w * x[i] * x[j]).alias(f"h{i}_{j}") for i, j in pairs],
+        )
+        sums = _stored(sums.withColumns({"ga": F.col("ga") - ridge_a * F.col("alpha"), "haa": F.col("haa") + ridge_a}))
+        h = [F.col(f"h{i}") for i in range(k)]
+        total = sums.agg(*[F.sum(F.col(f"gb{i}") - h[i] * F.col("ga") / F.col("haa")).alias(f"g{i}") for i in range(k)], *[F.sum(F.col(f"h{i}_{j}") - h[i] * h[j] / F.col("haa")).alias(f"s{i}_{j}") for i, j in pairs], F.max(F.abs(F.col("ga") / F.col("haa"))).alias("a"), *[F.max(F.abs(c / F.col("haa"))).alias(f"a{i}") for i, c in enumerate(h)]).first()
+        gradient = np.array([total[f"g{i}"] or 0.0 for i in range(k)]) - ridge_b * b
+        curvature = ridge_b * np.eye(k)
+        for i, j in pairs:
+            curvature[i, j] += total[f"s{i}_{j}"] or 0.0
+            curvature[j, i] = curvature[i, j]
+        move = np.linalg.solve(curvature, gradient) if k else np.zeros(0)
+        shift = (F.col("ga") - sum((h[i] * float(m) for i, m in enumerate(move)), F.lit(0.0))) / F.col("haa")
+        table = sums.select("stratum_", (F.col("alpha") + shift).alias("alpha"), "haa", F.array(*h).cast("array<double>").alias("hab"))
+        b = b + move
+        # no intercept moves by more than this
+        most = (total["a"] or 0.0) + sum((total[f"a{i}"] or 0.0) * abs(m) for i, m in enumerate(move))
+        if max(most, np.abs(move).max() if k else 0.0) < 1e-8:
             break
-    return names, beta, curvature
+    return Fit(table, b, np.linalg.inv(curvature) if k else np.zeros((0, 0)))
 
 
 def stratified_logit(df: DataFrame, strata: str, features: list[str], label: str, ridge: float = 1e-3, steps: int = 25) -> DataFrame:
     """Logistic regression with an intercept for each stratum and shared slopes: estimates and standard errors."""
-    names, beta, curvature = _fit(df, strata, features, label, (ridge, ridge), steps)
-    error = np.sqrt(np.diag(np.linalg.inv(curvature)))
-    rows = [(n, float(round(b, 6)), float(round(e, 6))) for n, b, e in zip([*(f"{strata}={x}" for x in names), *features], beta, error, strict=True)]
-    return df.sparkSession.createDataFrame(rows, "term string, estimate double, std_error double")
+    fit = _fit(df, strata, features, label, (ridge, ridge), steps)
+    rows = [(f, float(round(b, 6)), float(round(e, 6))) for f, b, e in zip(features, fit.slopes, np.sqrt(np.diag(fit.inverse)), strict=True)]
+    slopes = df.sparkSession.createDataFrame(rows, "term string, estimate double, std_error double")
+    # the variance of an intercept: its own, and through the slopes
+    part = [F.col("hab")[i] / F.col("haa") for i in range(len(features))]
+    variance = 1 / F.col("haa") + sum((part[i] * part[j] * float(fit.inverse[i, j]) for i in range(len(part)) for j in range(len(part))), F.lit(0.0))
+    named = F.concat(F.lit(f"{strata}="), F.coalesce(F.col("stratum_").cast("string"), F.lit("None")))
+    return fit.strata.select(named.alias("term"), F.round("alpha", 6).alias("estimate"), F.round(F.sqrt(variance), 6).alias("std_error")).unionByName(slopes)
 
 
 #: The ridges of strata and of slopes, and the most Newton steps, of the contrast and the cross-validation.
@@ -203,8 +200,9 @@ def log_odds_ratio(df: DataFrame, strata: str, contrast: str, covariates: list[s
     """The contrast's coefficient beside an intercept a stratum and the covariates, from the strata that have both labels; None without any."""
     both = df.groupBy(strata).agg(F.count_distinct(label).alias("n_")).where("n_ = 2").select(F.col(strata).alias("kept_"))
     rows = _stored(df.join(both, F.col(strata).eqNullSafe(F.col("kept_")), "left_semi").select(strata, contrast, *covariates, label))
-    names, beta, _ = _fit(rows, strata, [contrast, *covariates], label, RIDGES, STEPS)
-    return float(beta[len(names)]) if names else None
+    if rows.limit(1).count() == 0:
+        return None
+    return float(_fit(rows, strata, [contrast, *covariates], label, RIDGES, STEPS).slopes[0])
 
 
 def cross_validated(df: DataFrame, strata: str, cluster: str, features: list[str], label: str, folds: int = 5) -> DataFrame:
@@ -213,8 +211,7 @@ def cross_validated(df: DataFrame, strata: str, cluster: str, features: list[str
     rows = _stored(df.withColumn("fold", fold))
     slopes = []
     for k in range(folds):
-        names, beta, _ = _fit(rows.where(F.col("fold") != k), strata, features, label, RIDGES, STEPS)
-        slopes.append(beta[len(names) :].tolist())
+        slopes.append(_fit(rows.where(F.col("fold") != k), strata, features, label, RIDGES, STEPS).slopes.tolist())
     score = lambda b: sum((F.col(x) * v for x, v in zip(features, b, strict=True)), F.lit(0.0))
     return rows.withColumn("out_of_fold", F.coalesce(*[F.when(F.col("fold") == k, score(b)) for k, b in enumerate(slopes)]))
 

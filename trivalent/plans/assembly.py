@@ -340,3 +340,21 @@ def reuse_chain(spark, sf):
     runs = e.select(F.col("user_id").alias("run_id"), F.concat(F.lit("run-"), "user_id").alias("run")).distinct()
     found = assembly.reuse_chain(derived, observations, runs, e.select(k.alias("segment"), (k % 50).alias("text_sha256")))
     return found.select("observation", F.when(F.col("source_run").isNotNull(), F.col("source")).alias("source"), "run", "source_run", "exact_input_match")
+
+
+def _pieces(spark, sf, stride):
+    rows = segment.identify(segment.sliding(fx.cases(spark, sf), 4, stride)).withColumn("idx", F.col("idx").cast("long"))
+    return rows.select("case_id", "idx", "text_sha256", "start_word", "end_word")
+
+
+@query(f"""WITH {fx.CASES}, {fx.WORDS}, p AS (SELECT case_id, stride, i // stride AS idx, sha256(array_to_string(w[i + 1:i + 4], ' ')) AS h, i AS b, least(i + 4, len(w)) AS e FROM (SELECT *, unnest(range(0, len(w), stride)) AS i FROM cw, (VALUES (4::BIGINT), (2::BIGINT)) AS st(stride))),
+t AS (SELECT case_id, idx, h, CASE WHEN idx % 7 <> 0 THEN b END AS b, CASE WHEN idx % 7 <> 0 THEN e END AS e FROM p WHERE stride = 4), s AS (SELECT case_id, idx, h, CASE WHEN idx % 5 <> 0 THEN b END AS b, CASE WHEN idx % 5 <> 0 THEN e END AS e FROM p WHERE stride = 2 AND idx % 11 <> 6),
+m AS (SELECT t.case_id, t.idx, s.idx AS sx FROM t JOIN s ON t.case_id = s.case_id AND t.h = s.h AND (t.b IS NULL OR s.b IS NULL OR (t.b = s.b AND t.e = s.e))),
+d AS (SELECT *, count(*) OVER (PARTITION BY case_id, idx) AS n, count(*) OVER (PARTITION BY case_id, sx) AS k FROM m)
+SELECT t.case_id, t.idx, any_value(CASE WHEN n = 1 AND k = 1 THEN sx END) AS source, CASE WHEN count(sx) = 0 THEN 'missing' WHEN max(n) = 1 AND max(k) = 1 THEN 'derived' ELSE 'ambiguous' END AS status FROM t LEFT JOIN d USING (case_id, idx) GROUP BY t.case_id, t.idx""")
+def segment_derivation(spark, sf):
+    """Windows without overlap derived from overlapping ones: some have no offsets, some sources are missing, and some texts repeat."""
+    offsets = lambda rows, n: rows.withColumns({c: F.when(F.col("idx") % n != 0, F.col(c)) for c in ("start_word", "end_word")}).withColumn("segment", F.struct("case_id", "idx"))
+    target, source = offsets(_pieces(spark, sf, 4), 7), offsets(_pieces(spark, sf, 2).where("idx % 11 <> 6"), 5)
+    found = assembly.derive(target, source, ["case_id", "text_sha256"], "segment", "start_word", "end_word")
+    return found.select("segment.case_id", "segment.idx", F.col("source.idx").alias("source"), "status")

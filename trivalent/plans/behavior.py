@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trivalent.operators import behavior, preview, scoring, segment
+from trivalent.operators import assembly, behavior, preview, scoring, segment
 from trivalent.plans import fixtures as fx
 from trivalent.plans.registry import query
 from trivalent.sources import files
@@ -222,7 +222,15 @@ def import_ledger(spark, sf):
 def prefix_join(spark, sf):
     prefixes = spark.createDataFrame([("c",), ("p",), ("vi",), ("s",)], "prefix string")
     by_type = fx.table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("events"))
-    return by_type.join(F.broadcast(prefixes), F.expr("startswith(event_type, prefix)")).select("prefix", "event_type", "events")
+    return assembly.prefix_join(by_type, "event_type", prefixes, "prefix").select("prefix", "event_type", "events")
+
+
+@query("""WITH p AS (SELECT DISTINCT left(url, 12 + page_id % 30) AS prefix FROM pages WHERE page_id % 3 = 0) SELECT prefix, count(*) AS pages, count(DISTINCT url) AS urls FROM pages JOIN p ON starts_with(url, prefix) GROUP BY prefix""")
+def url_prefixes(spark, sf):
+    """Pages below beginnings of every length that a third of the pages' addresses have."""
+    pages = fx.table(spark, sf, "pages").select("page_id", "url")
+    prefixes = pages.where("page_id % 3 = 0").select(F.left("url", (12 + F.col("page_id") % 30).cast("int")).alias("prefix"))
+    return assembly.prefix_join(pages, "url", prefixes, "prefix").groupBy("prefix").agg(F.count("*").alias("pages"), F.count_distinct("url").alias("urls"))
 
 
 _SAID = "coalesce(lang, '??') || ' says of case ' || doc_id || ' whatever ' || coalesce(source, '??') || ' wants'"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trivalent.functions import stats
 from trivalent.functions.text import sha, words
-from trivalent.operators import metrics, statistics
+from trivalent.operators import metrics, resampling, statistics
 from trivalent.plans import fixtures as fx
 from trivalent.plans.evaluation import CELLS_SQL, PAIRS_SQL, ROWS_SQL, _pairs, case_rows
 from trivalent.plans.registry import query
@@ -164,7 +164,7 @@ def cluster_bootstrap(spark, sf):
 @query()
 def family_bootstrap_exact(spark, sf):
     rows = _pairs(spark, sf).where("a_flagged IS NOT NULL AND b_flagged IS NOT NULL")
-    return statistics.family_bootstrap(rows.select("engine", "source", (F.col("b_flagged").cast("int") - F.col("a_flagged").cast("int")).alias("v")), ["engine"], "source", "v")
+    return resampling.family_bootstrap(rows.select("engine", "source", (F.col("b_flagged").cast("int") - F.col("a_flagged").cast("int")).alias("v")), ["engine"], "source", "v")
 
 
 @query()
@@ -196,3 +196,48 @@ SELECT case_id, CASE WHEN cases >= 20 THEN (n > q1)::INT + (n > q2)::INT + (n >
 def length_bins(spark, sf):
     rows = fx.cases(spark, sf).select("case_id", "lang", "positive", F.size(words("text")).alias("n"))
     return statistics.length_bins(rows, "n", ["lang", "positive"]).select("case_id", "bin")
+
+
+def _deltas(spark, sf):
+    rows = _pairs(spark, sf).where("a_flagged IS NOT NULL AND b_flagged IS NOT NULL")
+    return rows.select("engine", "source", (F.col("b_flagged").cast("int") - F.col("a_flagged").cast("int")).alias("v"), F.col("positive").cast("int").alias("m"))
+
+
+@query()
+def family_bootstrap_joint(spark, sf):
+    """Families' net deltas over their positive cases, the denominator as it is and drawn with the families."""
+    return resampling.family_bootstrap(_deltas(spark, sf), ["engine"], "source", "v", "m")
+
+
+def _rounded(found, columns):
+    return found.select(*[F.round(c, 6).alias(c) if kind == "double" else c for c, kind in found.dtypes if c in columns])
+
+
+_REDRAWN = ["lang", "model", "cases", "place", "estimate", "lower", "upper", "top_share", "margin", "margin_lower", "margin_upper", "range", "range_lower", "range_upper", "sd", "sd_lower", "sd_upper"]
+
+
+@query()
+def shared_redraws_ba(spark, sf):
+    """All three engines by the same redraws, over the sources of each language."""
+    rows = case_rows(spark, sf).join(fx.cases(spark, sf).select("case_id", "source"), "case_id").withColumn("flag", F.col("flagged").cast("int"))
+    return _rounded(resampling.shared_redraws(rows.withColumnRenamed("test", "lang"), ["lang"], "source", "case_id", "positive", "engine", "flag", [1, 2, 3]).withColumnRenamed("engine", "model"), _REDRAWN)
+
+
+@query()
+def shared_redraws_auroc(spark, sf):
+    rows = case_rows(spark, sf).join(fx.cases(spark, sf).select("case_id", "source"), "case_id").withColumn("score", F.round("score", 2))
+    return _rounded(resampling.shared_redraws(rows.withColumnRenamed("test", "lang"), ["lang"], "source", "case_id", "positive", "engine", "score", [1, 2, 3], "auroc", reps=500), _REDRAWN)
+
+
+@query()
+def nested_bootstrap_means(spark, sf):
+    """The share of flagged cases, sources redrawn within their language."""
+    rows = case_rows(spark, sf).where("flagged IS NOT NULL").select("engine", "test", F.concat(F.lit("c"), F.col("case_id") % 40).alias("cluster"), F.col("flagged").cast("int").alias("v"), F.lit(1).alias("w"))
+    return _rounded(resampling.nested_bootstrap(rows, ["engine"], "test", "cluster", "v", "w"), ["engine", "estimate", "lower", "upper"])
+
+
+@query("""WITH k AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL ORDER BY sha256('seed-4' || chr(0) || 't' || chr(0) || source), source LIMIT 7) SELECT doc_id, source FROM documents SEMI JOIN k USING (source)""")
+def whole_group_subset(spark, sf):
+    """All documents of seven sources, those of the least hash."""
+    docs = fx.table(spark, sf, "documents").select("doc_id", "source")
+    return resampling.whole_groups(docs, "source", 7, lambda key: sha(F.concat_ws("\0", F.lit("seed-4"), F.lit("t"), key)))
