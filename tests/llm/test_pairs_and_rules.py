@@ -268,3 +268,25 @@ def test_ablation(spark):
         bit = qr.BIT[r.rule]
         assert (r.n_failed, r.n_only, r.n_kept) == (sum(bool(m & bit) for m in masks), sum(m == bit for m in masks), sum(m == 0 for m in masks))
         assert r.n_kept_without == r.n_kept + r.n_only
+
+
+def test_license_sql_names_nested_notices_as_the_operator_does(spark):
+    import duckdb
+
+    from trivalent.llm import queries
+
+    rng = random.Random(12)
+    texts = [t for _, t in lj.TEMPLATES]
+    nested = [(t, u) for t, a in enumerate(texts) for u, b in enumerate(texts) if set(a.split()) < set(b.split())]
+    data = [t for pair in nested for t in (texts[pair[0]], texts[pair[1]], f"{texts[pair[0]]} {texts[pair[1]]}", f"{texts[pair[1]]} {text(rng, 30)} {texts[pair[0]]}")]
+    for t in texts:  # a word changed, a word gone, words mixed in
+        w = t.split()
+        data += [" ".join([*w[:3], "other", *w[4:]]), " ".join(w[1:]), f"{text(rng, 60)} {t} {text(rng, 60)} {t}"]
+    docs = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    got = sorted((r.doc_id, ",".join(r.labels), ",".join(r.base_labels), len(r.matches), round(r.score, 9)) for r in lj.license_scan(docs).collect())
+    db = duckdb.connect()
+    frame = docs.toPandas()
+    db.register("documents", frame)
+    want = db.sql(f"SELECT doc_id, labels, base_labels, n_matches, round(score, 9) FROM ({lj.sql()})").fetchall()
+    assert got == sorted(want) and len(nested) > 0
+    assert queries.ORACLE_SQL["op8_license_join"] == lj.sql()

@@ -216,3 +216,30 @@ def test_no_turns_and_one_window(spark):
     small = spark.createDataFrame([(1, 2, "assistant", "b"), (1, 1, "user", "a")], df.schema)
     w = cw.format_windows(small).collect()
     assert len(w) == 1 and w[0].n_repeated == 0 and [w[0].text[s.start : s.start + s.length] for s in w[0].loss] == ["b"]
+
+
+@pytest.mark.parametrize("run", [3, 1024])
+def test_spans_are_cut_greedily(spark, run, monkeypatch):
+    monkeypatch.setattr(cw, "RUN", run)
+    rng = random.Random(run)
+    sizes = {c: [rng.randrange(1, 30) for _ in range(rng.randrange(1, 25))] for c in range(12)}
+    rows = [(c, i, "system" if c % 3 == 0 and i == 0 else rng.choice(["user", "assistant"]), "w " * n) for c, some in sizes.items() for i, n in enumerate(some)]
+    budget, history = 70, 15
+    found = {(r.conv_id, r.window): r for r in cw.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget, history).collect()}
+    for c, some in sizes.items():
+        opens = c % 3 == 0
+        tokens = [n + cw.HEAD_TOKENS for n in some]
+        system = tokens[0] if opens else 0
+        room, spans, used = max(1, budget - history - system), [0], 0
+        for i, n in enumerate(tokens):
+            body = 0 if opens and i == 0 else n
+            if i and (i % run == 0 or (used and used + body > room + (history if len(spans) == 1 else 0))):
+                spans.append(0)
+                used = 0
+            used += body
+            spans[-1] += 1
+        windows = [found[c, k] for k in range(max(k for d, k in found if d == c) + 1)]
+        if opens and len(tokens) > 1 and spans[0] == 1:  # a system turn alone goes with what follows
+            spans[:2] = [sum(spans[:2])]
+        assert [w.n_turns - w.n_repeated for w in windows] == spans
+        assert all(w.n_tokens <= budget or w.n_turns - w.n_repeated <= 2 for w in windows)

@@ -3,10 +3,11 @@ r"""Chat formatting in budgeted windows, in DataFrame functions only.
 A turn is written `### <role>\n<text>\n</turn>\n`, the role percent-encoded and the text with a backslash
 before each backslash, `#` and `<`; so neither a turn's head nor its end can stand inside a text, and removing
 the backslashes restores it. A conversation whose turns don't fit one window is cut into spans at turn borders, by prefix sums
-and no loop: what the budget leaves beside the history and the opening system turn is the room of a cell; turns whose
-tokens, by their prefix sum, lie within one cell are a span, and a turn that lies across a border of cells is a span of
-its own. So a span of several turns always fits its room. Each window holds the opening system turn again, then the
-last turns of the span before it as far as they fit the history budget and what its own span leaves, then its own span.
+of the turns' tokens that begin anew where a turn would exceed its span's room: what the budget leaves beside the opening
+system turn, and, but in the first span, the history. So spans are as full as turns allow. A sum runs over at most `RUN`
+turns of a conversation and begins anew with the next, so the sizes that a turn is placed by are bounded in number. Each
+window holds the opening system turn again, then the last turns of the span before it as far as they fit the history
+budget and what its own span leaves, then its own span.
 Loss lies on the texts of assistant turns in the window of their own span; repeated ones are masked. A turn is never
 cut: a window exceeds its budget only where a single turn (with the system turn) does, and says so.
 
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 END = "\n</turn>\n"
 BUDGET, HISTORY = 512, 128
+#: Turns of a conversation over which spans are cut together.
+RUN = 1024
 #: What counts as a token here: a run of letters, a digit, or a run of other signs.
 TOKEN = r"[\p{L}\p{M}]+|\p{N}|[^\s\p{L}\p{M}\p{N}]+"
 HEAD_TOKENS = 4
@@ -52,9 +55,18 @@ def _placed(turns: DataFrame, budget: int, history: int) -> DataFrame:
     body = F.when(F.col("opens"), F.lit(0).cast("long")).otherwise(F.col("tokens"))
     nth = nth.withColumn("body", body).withColumn("system", F.coalesce(F.max(F.when(F.col("opens"), F.col("tokens"))).over(whole), F.lit(0).cast("long")))
     nth = nth.withColumn("prefix", F.coalesce(F.sum("body").over(before), F.lit(0).cast("long")))
-    cell = lambda at: F.floor(at / F.greatest(F.lit(budget - history) - F.col("system"), F.lit(1)))
-    crosses = (F.col("body") > 0) & (cell(F.col("prefix") + F.col("body") - 1) != cell(F.col("prefix")))
-    nth = nth.withColumn("span", 2 * cell(F.col("prefix")) + crosses.cast("long"))
+    # the sizes of the turns of a run up to this one; sums restart where the next would exceed the room
+    run = Window.partitionBy("conv_id", "run").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    nth = nth.withColumn("run", F.floor((F.col("nth") - 1) / RUN)).withColumn("sizes", F.collect_list("body").over(run))
+    least = F.greatest(F.lit(budget - history) - F.col("system"), F.lit(1))
+    first = F.when(F.col("run") == 0, F.lit(history)).otherwise(0)
+    zero = F.lit(0).cast("long")
+
+    def put(a: Column, size: Column) -> Column:
+        more = (a["used"] > 0) & (a["used"] + size > least + F.when(a["span"] == 0, first).otherwise(0))
+        return F.struct(F.when(more, size).otherwise(a["used"] + size).alias("used"), (a["span"] + more.cast("long")).alias("span"))
+
+    nth = nth.withColumn("span", F.col("run") * 2 * RUN + F.aggregate("sizes", F.struct(zero.alias("used"), zero.alias("span")), put, lambda a: a["span"])).drop("sizes")
     nth = nth.withColumn("span", F.when(F.col("opens"), F.coalesce(F.lead("span").over(order), F.lit(0).cast("long"))).otherwise(F.col("span")))
     nth = nth.withColumn("window", F.sum(F.when(F.col("span") != F.lag("span", 1).over(order), 1).otherwise(0)).over(upto).cast("long"))
     each = Window.partitionBy("conv_id", "window")
@@ -117,17 +129,20 @@ def digests(windows: DataFrame) -> DataFrame:
     )
 
 
-#: The same digests in DuckDB SQL, from the turns; formatted_chars repeats the windows' rules.
+#: The same digests in DuckDB SQL, from the turns; formatted_chars repeats the windows' rules, spans are cut turn by turn.
 SQL = rf"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth,
   len(regexp_extract_all(text, '[\p{{L}}\p{{M}}]+|\p{{N}}|[^\s\p{{L}}\p{{M}}\p{{N}}]+')) + {HEAD_TOKENS} AS tokens FROM t),
 b AS (SELECT *, nth = 1 AND role = 'system' AS opens, CASE WHEN nth = 1 AND role = 'system' THEN 0 ELSE tokens END AS body FROM n),
 y AS (SELECT *, coalesce(max(CASE WHEN opens THEN tokens END) OVER (PARTITION BY conv_id), 0) AS sys FROM b),
-p AS (SELECT *, (sum(body) OVER (PARTITION BY conv_id ORDER BY nth) - body)::BIGINT AS prefix, greatest({BUDGET - HISTORY} - sys, 1) AS room FROM y),
-k AS (SELECT *, 2 * (prefix // room) + (body > 0 AND (prefix + body - 1) // room <> prefix // room)::INT AS spot FROM p),
-s AS (SELECT *, CASE WHEN opens THEN coalesce(lead(spot) OVER (PARTITION BY conv_id ORDER BY nth), 0) ELSE spot END AS span FROM k),
+p AS MATERIALIZED (SELECT *, (sum(body) OVER (PARTITION BY conv_id ORDER BY nth) - body)::BIGINT AS prefix, greatest({BUDGET - HISTORY} - sys, 1) AS room FROM y),
+g AS (SELECT conv_id, nth, body::BIGINT AS used, 0 AS span FROM p WHERE nth = 1
+  UNION ALL SELECT p.conv_id, p.nth, CASE WHEN fresh THEN p.body ELSE g.used + p.body END, g.span + fresh::INT
+  FROM g JOIN p ON p.conv_id IS NOT DISTINCT FROM g.conv_id AND p.nth = g.nth + 1, LATERAL (SELECT g.nth % {RUN} = 0 OR (g.used > 0 AND g.used + p.body > p.room + CASE WHEN g.span = 0 THEN {HISTORY} ELSE 0 END) AS fresh)),
+w0 AS (SELECT p.*, g.span AS spot FROM p JOIN g ON p.conv_id IS NOT DISTINCT FROM g.conv_id AND p.nth = g.nth),
+s AS (SELECT *, CASE WHEN opens THEN coalesce(lead(spot) OVER (PARTITION BY conv_id ORDER BY nth), 0) ELSE spot END AS span FROM w0),
 w AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY span) - 1 AS win, max(prefix + body) OVER (PARTITION BY conv_id, span) AS fin,
   sum(body) OVER (PARTITION BY conv_id, span) AS own FROM s),
 x AS (SELECT *, lead(own) OVER (PARTITION BY conv_id ORDER BY nth) AS lo, lead(win) OVER (PARTITION BY conv_id ORDER BY nth) AS lw FROM w),

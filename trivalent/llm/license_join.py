@@ -231,24 +231,46 @@ def license_scan(
     return mapped(docs, lambda texts: scan(texts, known, phrases, width), FIELDS, id_col, text_col)
 
 
+def _nested(templates, threshold: float) -> list[str]:
+    """SQL rows of each pair of templates (t, u), u with all of t's words and more: what the rule of naming asks of a block."""
+    spelled = [text.split() for _, text in templates]
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    rows = []
+    for t, a in enumerate(spelled):
+        for u, b in enumerate(spelled):
+            if set(a) < set(b):
+                more, own = sorted(set(b) - set(a)), sorted(set(a))
+                inside = sum(b[i : i + len(a)] == a for i in range(len(b) - len(a) + 1))
+                rows.append(f"({t}, {u}, {quoted(more)}, {[b.count(w) for w in more]}, {quoted(own)}, {[b.count(w) for w in own]}, {quoted(a)}, {quoted(b)}, {inside}, {math.ceil(threshold * len(own) - 1e-9)})")
+    return rows or ["(-1, -1, ['x'], [1], ['x'], [1], ['x'], ['x'], 0, 1)"]
+
+
 def sql(templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, width: int = BLOCK_WORDS) -> str:
-    """The query's rows in DuckDB SQL, by comparing every block to every template."""
+    """The query's rows in DuckDB SQL, by comparing every block to every template, and every block with nested templates to their wordings."""
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     sets = [sorted(set(text.split())) for _, text in templates]
     values = ", ".join(f"({t}, '{label}', {quoted(s)})" for t, ((label, _), s) in enumerate(zip(templates, sets, strict=True)))
-    above = [(t, u) for t, s in enumerate(sets) for u, other in enumerate(sets) if set(s) < set(other)] or [(-1, -1)]
     words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     half = width // 2
+    times = lambda words: f"list_transform({words}, lambda x: len(list_filter(bw, lambda y: y = x)))"
+    runs = lambda wording: f"len(list_filter(range(1, len(bw) - len({wording}) + 2), lambda o: bw[o:o + len({wording}) - 1] = {wording}))"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
 ph AS (SELECT * FROM (VALUES {", ".join(f"('{label}', {quoted(p.split())})" for p, label in phrases)}) AS t(label, p)),
 pl AS (SELECT rid, label, o FROM (SELECT rid, w, unnest(range(0, len(w))) AS o FROM d), ph WHERE w[o + 1] = p[1] AND w[o + 1:o + len(p)] = p),
 b AS (SELECT rid, count(*) AS n_base, min(o) AS first_word, max(o) AS last_word, list(DISTINCT label) AS base FROM pl GROUP BY rid),
 t AS (SELECT * FROM (VALUES {values}) AS t(t, label, s)),
-bl AS (SELECT rid, i, list_distinct(w[i * {half} + 1:i * {half} + {width}]) AS own FROM (SELECT rid, w, unnest(range(0, greatest(1, ceil(len(w) / {half}.0)::BIGINT - 1))) AS i FROM d)),
-m AS (SELECT rid, i, t, label, len(list_intersect(own, s)) / len(s)::DOUBLE AS containment FROM bl, t WHERE len(list_intersect(own, s)) >= ceil({threshold}::DOUBLE * len(s) - 1e-9)),
-ab AS (SELECT * FROM (VALUES {", ".join(str(x) for x in above)}) AS a(t, u)),
-l AS (SELECT m.rid, list(DISTINCT m.label) AS labels FROM m WHERE NOT EXISTS (SELECT 1 FROM ab JOIN m x ON x.t = ab.u WHERE ab.t = m.t AND x.rid = m.rid AND x.i = m.i) GROUP BY m.rid),
+bl AS (SELECT rid, i, w[i * {half} + 1:i * {half} + {width}] AS bw FROM (SELECT rid, w, unnest(range(0, greatest(1, ceil(len(w) / {half}.0)::BIGINT - 1))) AS i FROM d)),
+bs AS (SELECT rid, i, list_distinct(bw) AS own FROM bl),
+m AS MATERIALIZED (SELECT rid, i, t, label, len(list_intersect(own, s)) / len(s)::DOUBLE AS containment FROM bs, t WHERE len(list_intersect(own, s)) >= ceil({threshold}::DOUBLE * len(s) - 1e-9)),
+ab AS (SELECT * FROM (VALUES {", ".join(_nested(templates, threshold))}) AS a(t, u, more, more_times, own, own_times, t_wording, u_wording, inside, need)),
+ne AS (SELECT x.rid, x.i, ab.*, bw FROM ab JOIN m x ON x.t = ab.t JOIN m y ON y.t = ab.u AND y.rid = x.rid AND y.i = x.i JOIN bl ON bl.rid = x.rid AND bl.i = x.i),
+nc AS (SELECT *, {times("more")} AS more_n, {times("own")} AS own_n, {runs("t_wording")} AS t_runs, {runs("u_wording")} AS u_runs FROM ne),
+nd AS (SELECT *, list_sum(more_n) = 0 AS none_there, list_min(more_n) > 0 AS all_there, greatest(1, list_min(list_transform(more_n, lambda x, j: x // more_times[j]))) AS places FROM nc),
+na AS (SELECT *, t_runs > u_runs * inside OR len(list_filter(list_transform(own_n, lambda x, j: x > places * own_times[j]), lambda x: x)) >= need AS apart FROM nd),
+gu AS (SELECT DISTINCT rid, i, u FROM na WHERE none_there),
+gt AS (SELECT DISTINCT rid, i, t FROM na WHERE all_there AND NOT apart AND NOT EXISTS (SELECT 1 FROM gu WHERE gu.rid = na.rid AND gu.i = na.i AND gu.u = na.u)),
+l AS (SELECT m.rid, list(DISTINCT m.label) AS labels FROM m WHERE NOT EXISTS (SELECT 1 FROM gu WHERE gu.rid = m.rid AND gu.i = m.i AND gu.u = m.t) AND NOT EXISTS (SELECT 1 FROM gt WHERE gt.rid = m.rid AND gt.i = m.i AND gt.t = m.t) GROUP BY m.rid),
 s AS (SELECT rid, max(containment) AS best, count(*) AS n_matches FROM m GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(labels, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score,
