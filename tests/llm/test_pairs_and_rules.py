@@ -144,8 +144,8 @@ def plain_matches(docs, items, size=13):
     return out
 
 
-@pytest.mark.parametrize("broadcast_bytes", [sd.BROADCAST_BYTES, 0])
-def test_matches_against_brute_force(spark, broadcast_bytes):
+@pytest.mark.parametrize(("broadcast_bytes", "held_bytes"), [(sd.BROADCAST_BYTES, sd.HELD_BYTES), (0, sd.HELD_BYTES), (0, 0)])
+def test_matches_against_brute_force(spark, broadcast_bytes, held_bytes):
     rng = random.Random(4)
     items = [(i, text(rng, rng.randint(14, 40))) for i in range(12)] + [(50, "short item"), (51, "one"), (52, ""), (53, None), (None, text(rng, 20)), (3, text(rng, 15))]
     docs = []
@@ -159,7 +159,7 @@ def test_matches_against_brute_force(spark, broadcast_bytes):
             parts.append("Short ITEM!")
         docs.append((i, (" " + rng.choice(["", "\n", " - "])).join(parts)))
     docs += [(500, None), (501, ""), (502, "--- ..."), (7, docs[7][1]), (503, "one"), (504, items[0][1])]
-    found = sd.matches(rows(spark, docs), rows(spark, items, "item_id long, text string"), broadcast_bytes=broadcast_bytes).collect()
+    found = sd.matches(rows(spark, docs), rows(spark, items, "item_id long, text string"), broadcast_bytes=broadcast_bytes, held_bytes=held_bytes).collect()
     assert sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in found) == sorted(plain_matches(docs, items))
     whole = next(r for r in found if r.doc_id == 504)
     assert (whole.longest_words, whole.longest_at) == (len(items[0][1].split()), 0)
@@ -290,3 +290,14 @@ def test_license_sql_names_nested_notices_as_the_operator_does(spark):
     want = db.sql(f"SELECT doc_id, labels, base_labels, n_matches, round(score, 9) FROM ({lj.sql()})").fetchall()
     assert got == sorted(want) and len(nested) > 0
     assert queries.ORACLE_SQL["op8_license_join"] == lj.sql()
+
+
+def test_of_equal_longest_matches_the_first_counts_whatever_the_blocks(spark, monkeypatch):
+    one, two = " ".join(f"a{i}" for i in range(16)), " ".join(f"b{i}" for i in range(16))
+    texts = pa.array([f"{one} x {two}", f"{two} x {one}"])
+    for items in ([one, two], [two, one]):
+        monkeypatch.setattr(sd, "PACK_BYTES", 20)  # a block for each item
+        blocks = list(sd.pack(["1", "2"], pa.array(items)))
+        assert len(blocks) == 2
+        found = sd.scan(texts, lambda: iter(blocks))
+        assert found[3].to_pylist() == [16, 16] and found[4].to_pylist() == [0, 0]

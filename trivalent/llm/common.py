@@ -157,10 +157,11 @@ def mapped(docs: DataFrame, each, fields: str, id_col: str | None = None, text_c
 class HashIndex:
     """Places, from 1, of 64-bit hashes in a fixed set; 0 for hashes outside it. One look-up in a table of top bits."""
 
-    def __init__(self, hashes: np.ndarray) -> None:
+    def __init__(self, hashes: np.ndarray, spare: int = 5) -> None:
+        """spare: bits of the table beyond those of the number of hashes; fewer take less memory and more searches."""
         self.order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[self.order]
-        bits = max(10, int(len(hashes)).bit_length() + 5)
+        bits = max(10, int(len(hashes)).bit_length() + spare)
         self.shift = np.uint64(64 - bits)
         slots = (self.hashes >> self.shift).astype(np.int64)
         self.table = np.zeros(1 << bits, np.int32)

@@ -1,15 +1,16 @@
 """Benchmark decontamination with suffix arrays of the training shards.
 
-A shard is a slice of a partition, a few MB of whole documents. Its words are ranked in the benchmark's
-vocabulary; a word outside it ends every match, so suffixes shorter than the shortest window they could
-match are left out of the array without losing a match. The remaining suffixes are sorted (to the depth of
-a window), every test suffix is binary-searched for its first and last place, and all places between are
-occurrences. Consecutive occurrences along one diagonal of (document word, item word) join to the longest
-verbatim match and its place. Words in any occurrence are hit; documents with enough of them go.
-
-The packed benchmark goes to the executors as a broadcast while it is below `broadcast_bytes`; beyond that,
-each task reads it block by block from the shared folder, once for every `SHARDS` shards of documents. The result is
-the same.
+A shard is a slice of a partition, a few MB of whole documents. Its words are ranked in the benchmark's vocabulary; a
+word outside it ends every match. Suffixes with whose first words no window begins are left out of the array, and windows
+with whose first words no suffix does need no search, which loses no match and makes the work follow the matches, not
+the benchmark's size. The remaining suffixes are sorted (to the depth of a window), every test suffix that is left is
+binary-searched for its first and last place, and all places between are occurrences. Consecutive occurrences along one
+diagonal of (document word, item word) join to the longest verbatim match and its place (of equal ones the first).
+Words in any occurrence are hit; documents with enough of them go.
+
+The packed benchmark, about 16 bytes a word, goes to the executors as a broadcast while it is below `broadcast_bytes`, and
+is read from the shared folder beyond that. A worker keeps it, up to `held_bytes`; a benchmark beyond that is read block by
+block, once for every `SHARDS` shards of documents. The result is the same.
 
 Defined cases: a null, empty or wordless text has no words and is never contaminated; a wordless item
 never occurs; items of one id count once; a null item_id marks words but isn't listed; a very long text is a shard of
@@ -22,6 +23,7 @@ from __future__ import annotations
 import pickle
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,14 @@ from trivalent.llm.common import HashIndex, mapped, ranges, spans, stored, text_
 WINDOW = 13
 #: Packed benchmark bytes up to which it is broadcast.
 BROADCAST_BYTES = 24 << 20
-PACK_BYTES = 1 << 20
-#: Shards that a task holds at once: it reads a benchmark that isn't broadcast once for so many.
-SHARDS = 32
+#: Bytes of benchmark text in a block, and of blocks that a worker keeps.
+PACK_BYTES = 8 << 20
+HELD_BYTES = 512 << 20
+#: Words of a head, and windows searched at once.
+HEAD = 4
+SEARCHED = 1 << 16
+#: Shards that a task holds at once: it reads a benchmark that isn't kept once for so many.
+SHARDS = 96
 FIELDS = "n_words long, n_hit long, items array<string>, longest_words long, longest_at long"
 
 
@@ -49,8 +56,47 @@ def _keys(ranks: np.ndarray, at: np.ndarray, ends: np.ndarray, depth: int, fill:
     return np.ascontiguousarray(values).view(f"S{4 * depth}")[:, 0]
 
 
-def pack(ids: list[str | None], texts: pa.Array, window: int = WINDOW) -> Iterator[dict]:
-    """Blocks of the benchmark: the vocabulary, and the distinct windows as sorted search keys with their items."""
+def _heads(ranks: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+    """One number for the first words of each suffix: equal beginnings have equal ones."""
+    found = np.zeros(len(at), np.uint64)
+    for k in range(words):
+        found = (found ^ ranks[at + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        found ^= found >> np.uint64(29)
+    return found
+
+
+@dataclass
+class Block:
+    """A part of the benchmark: its words' hashes, each word's rank among them, the items' borders, and every window's start by head.
+
+    A window's head is of its first HEAD words, or of all if it has fewer; by_head holds, for each number of words, the
+    heads in order and the starts beside them. That is 16 bytes a word, and no window's key is held.
+    """
+
+    ids: list[str | None]
+    hashes: np.ndarray
+    ranks: np.ndarray
+    border: np.ndarray
+    by_head: dict[int, tuple[np.ndarray, np.ndarray]]
+    window: int
+
+    def __post_init__(self) -> None:
+        self.vocabulary = HashIndex(self.hashes, spare=2)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "vocabulary"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
+
+    @property
+    def size(self) -> int:
+        return sum(x.nbytes for x in (self.hashes, self.ranks, self.border, self.vocabulary.table, *(a for pair in self.by_head.values() for a in pair)))
+
+
+def pack(ids: list[str | None], texts: pa.Array, window: int = WINDOW) -> Iterator[Block]:
+    """The benchmark in blocks."""
     for a, b, raw, at in text_slices(texts, PACK_BYTES):
         _, _, border, hashes = words_of(raw, at)
         if not len(hashes):
@@ -61,42 +107,52 @@ def pack(ids: list[str | None], texts: pa.Array, window: int = WINDOW) -> Iterat
         wide = np.minimum(n, window)
         windows = np.where(n > 0, n - wide + 1, 0)
         starts = ranges(border[:-1], windows)
-        item = np.repeat(np.arange(b - a), windows)
-        length = wide[item]
-        low = _keys(ranks, starts, starts + length, window)
-        high = _keys(ranks, starts, starts + length, window, 0xFFFFFFFF)
-        _, first, of = np.unique(low, return_index=True, return_inverse=True)
-        order = np.argsort(of, kind="stable")
-        short = np.zeros(len(vocabulary) + 1, bool)
-        short[ranks[starts[length < window]]] = True
-        yield {
-            "ids": ids[a:b], "vocabulary": HashIndex(vocabulary), "low": low[first], "high": high[first],
-            "length": length[first], "of_item": item[order], "of_offset": (starts - border[item])[order],
-            "of_border": np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(first)))]), "short": short, "least": int(length.min()), "window": window,
-        }
-
-
-def suffix_array(block: dict, ranks: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and places of all suffixes of the shard that some test suffix could match."""
+        head = np.repeat(np.minimum(wide, HEAD), windows)
+        by_head = {}
+        for words in np.unique(head).tolist():
+            own = starts[head == words]
+            heads = _heads(ranks, own, words)
+            order = np.argsort(heads, kind="stable")
+            by_head[words] = (heads[order], own[order].astype(np.int32))
+        yield Block(ids[a:b], vocabulary, ranks, border.astype(np.int32), by_head, window)
+
+
+def suffix_array(block: Block, ranks: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys and places of all suffixes of the shard that some test suffix could match, and the starts of those test suffixes.
+
+    A suffix is left out if no window begins with its first words, and a window if no suffix of the shard does; neither loses a match.
+    """
     starts, ends, _ = spans(ranks > 0, border)
-    window, least = block["window"], block["least"]
-    long = ends - starts >= least
-    starts, ends = starts[long], ends[long]
-    count = ends - starts - least + 1
-    at, until = ranges(starts, count), np.repeat(ends, count)
-    if least < window:
-        fit = (until - at >= window) | block["short"][ranks[at]]
-        at, until = at[fit], until[fit]
-    keys = _keys(ranks, at, until, window)
+    at = ranges(starts, ends - starts)
+    until = np.repeat(ends, ends - starts)
+    kept, wanted = np.zeros(len(at), bool), []
+    for words, (heads, places) in block.by_head.items():
+        fit = np.flatnonzero(until - at >= words)
+        own = _heads(ranks, at[fit], words)
+        low = np.searchsorted(heads, own, "left")
+        there = heads[np.minimum(low, len(heads) - 1)] == own
+        kept[fit[there]] = True
+        first = np.unique(low[there])
+        n = np.searchsorted(heads, heads[first], "right") - first
+        wanted.append(places[ranges(first, n)])
+    at, until = at[kept], until[kept]
+    keys = _keys(ranks, at, until, block.window)
     order = np.argsort(keys, kind="stable")
-    return keys[order], at[order]
+    return keys[order], at[order], np.concatenate(wanted) if wanted else np.zeros(0, np.int32)
 
 
-def occurrences(block: dict, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, window) of every occurrence of every window in the shard."""
-    low = np.searchsorted(keys, block["low"], "left")
-    n = np.searchsorted(keys, block["high"], "right") - low
-    return places[ranges(low, n)], np.repeat(np.arange(len(n)), n)
+def occurrences(block: Block, keys: np.ndarray, places: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, length, item, offset) of every occurrence of these windows in the shard, by binary search."""
+    out = []
+    for i in range(0, len(starts), SEARCHED):
+        own = starts[i : i + SEARCHED].astype(np.int64)
+        item = np.searchsorted(block.border, own, "right") - 1
+        end = np.minimum(own + block.window, block.border[item + 1])
+        low = np.searchsorted(keys, _keys(block.ranks, own, end, block.window), "left")
+        n = np.searchsorted(keys, _keys(block.ranks, own, end, block.window, 0xFFFFFFFF), "right") - low
+        of = np.repeat(np.arange(len(own)), n)
+        out.append((places[ranges(low, n)], (end - own)[of], item[of], (own - block.border[item])[of]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
 
 
 def _longest(doc: np.ndarray, item: np.ndarray, offset: np.ndarray, place: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +170,7 @@ def _longest(doc: np.ndarray, item: np.ndarray, offset: np.ndarray, place: np.nd
     return doc[one], words[one], place[one]
 
 
-def scan(texts: pa.Array, blocks: Callable[[], Iterator[dict]]) -> list[pa.Array]:
+def scan(texts: pa.Array, blocks: Callable[[], Iterator[Block]]) -> list[pa.Array]:
     """For each text: words, words hit, the items that occur, and the longest match with its first word."""
     out: tuple[list, ...] = ([], [], [], [], [])
     shards: list[Shard] = []
@@ -151,76 +207,80 @@ class Shard:
         self.items: list[set[str]] = [set() for _ in range(n)]
         self.most, self.where = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
-    def search(self, block: dict) -> None:
-        place, window = occurrences(block, *suffix_array(block, block["vocabulary"](self.hashes), self.border))
+    def search(self, block: Block) -> None:
+        place, length, item, offset = occurrences(block, *suffix_array(block, block.vocabulary(self.hashes), self.border))
         if not len(place):
             return
-        length = block["length"][window]
         np.add.at(self.marks, place, 1)
         np.add.at(self.marks, place + length, -1)
         doc = np.searchsorted(self.border, place, "right") - 1
-        n = np.diff(block["of_border"])[window]
-        of = ranges(block["of_border"][window], n)
-        item, offset = block["of_item"][of], block["of_offset"][of]
-        doc, place, length = np.repeat(doc, n), np.repeat(place, n), np.repeat(length, n)
         for d, i in np.unique(np.stack([doc, item], 1), axis=0).tolist():
-            if block["ids"][i] is not None:
-                self.items[d].add(block["ids"][i])
+            if block.ids[i] is not None:
+                self.items[d].add(block.ids[i])
         doc, n, place = _longest(doc, item, offset, place, length)
-        more = n > self.most[doc]
-        self.most[doc[more]], self.where[doc[more]] = n[more], (place - self.border[doc])[more]
+        place = place - self.border[doc]
+        more = (n > self.most[doc]) | ((n == self.most[doc]) & (place < self.where[doc]))  # of equal ones the first place, whatever the order of blocks
+        self.most[doc[more]], self.where[doc[more]] = n[more], place[more]
 
     def found(self) -> tuple:
         hit = np.concatenate([[0], np.cumsum(np.cumsum(self.marks[:-1]) > 0)])
         return np.diff(self.border), np.diff(hit[self.border]), [sorted(x) for x in self.items], self.most, self.where
 
 
-_LOADED: dict[str, list[dict]] = {}
+_LOADED: dict[str, list[Block]] = {}
 
 
-def _source(benchmark: DataFrame, item_col: str, text_col: str, window: int, broadcast_bytes: int) -> Callable[[], Iterator[dict]]:
-    """A function for the executors that gives the benchmark's blocks."""
+def _source(benchmark: DataFrame, item_col: str, text_col: str, window: int, broadcast_bytes: int, held_bytes: int) -> Callable[[], Iterator[Block]]:
+    """A function for the executors that gives the benchmark's blocks; a worker keeps those that it has read, up to held_bytes."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = [pickle.dumps(x) for x in pack(batch.column(0).to_pylist(), batch.column(1), window)]
-            yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), pa.array([len(x) for x in blobs], pa.int64())], names=["block", "size"])
+            blocks = list(pack(batch.column(0).to_pylist(), batch.column(1), window))
+            blobs = [pickle.dumps(x) for x in blocks]
+            columns = [pa.array(blobs, pa.binary()), pa.array([len(x) for x in blobs], pa.int64()), pa.array([x.size for x in blocks], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "size", "held"])
 
     chosen = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = stored(chosen.mapInArrow(packed, "block binary, size long"), "benchmark")
-    size = blocks.agg(F.sum("size")).first()[0] or 0
+    blocks = stored(chosen.mapInArrow(packed, "block binary, size long, held long"), "benchmark")
+    size, held = (x or 0 for x in blocks.agg(F.sum("size"), F.sum("held")).first())
+    name = uuid.uuid4().hex
     if size <= broadcast_bytes:
-        name = uuid.uuid4().hex
         sent = benchmark.sparkSession.sparkContext.broadcast([bytes(r.block) for r in blocks.select("block").collect()])
 
-        def from_broadcast() -> Iterator[dict]:
-            if name not in _LOADED:
-                _LOADED.clear()
-                _LOADED[name] = [pickle.loads(x) for x in sent.value]
-            return iter(_LOADED[name])
+        def read() -> Iterator[Block]:
+            return map(pickle.loads, sent.value)
+
+    else:
+        files = blocks.inputFiles()
+
+        def read() -> Iterator[Block]:
+            import pyarrow.fs
+            import pyarrow.parquet as pq
 
-        return from_broadcast
-    files = blocks.inputFiles()
+            for uri in files:
+                system, path = pyarrow.fs.FileSystem.from_uri(uri)
+                with system.open_input_file(path) as file:
+                    for batch in pq.ParquetFile(file).iter_batches(batch_size=1, columns=["block"]):
+                        yield pickle.loads(batch.column(0)[0].as_py())
 
-    def from_files() -> Iterator[dict]:
-        import pyarrow.fs
-        import pyarrow.parquet as pq
+    if held > held_bytes:
+        return read
 
-        for uri in files:
-            system, path = pyarrow.fs.FileSystem.from_uri(uri)
-            with system.open_input_file(path) as file:
-                for batch in pq.ParquetFile(file).iter_batches(batch_size=1, columns=["block"]):
-                    yield pickle.loads(batch.column(0)[0].as_py())
+    def kept() -> Iterator[Block]:
+        if name not in _LOADED:
+            _LOADED.clear()
+            _LOADED[name] = list(read())
+        return iter(_LOADED[name])
 
-    return from_files
+    return kept
 
 
 def matches(
     docs: DataFrame, benchmark: DataFrame, id_col: str | None = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES,
+    item_text_col: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES, held_bytes: int = HELD_BYTES,
 ) -> DataFrame:
     """For each document n_words, n_hit, items, longest_words and longest_at; without id_col beside the whole row."""
-    blocks = _source(benchmark, item_col, item_text_col, window, broadcast_bytes)
+    blocks = _source(benchmark, item_col, item_text_col, window, broadcast_bytes, held_bytes)
     return mapped(docs, lambda texts: scan(texts, blocks), FIELDS, id_col, text_col)
 
 
