@@ -90,6 +90,51 @@ def recipes(engines: list[str]) -> list[tuple[str, list[str], int]]:
     return [*pairs, (f"{len(engines) // 2 + 1}-of-{len(engines)}", engines, len(engines) // 2 + 1)]
 
 
+def pair_recipes(anchor: str, small: list[str], templates: list[str]) -> list[tuple[str, list[str], int]]:
+    """(name, members, votes): the anchor with each small detector and each of those with each template, by or and and; and two of anchor and small ones."""
+    pairs = [(anchor, s) for s in small] + [(s, t) for s in small for t in templates]
+    each = [(f"{a}-{word}-{b}", [a, b], least) for a, b in pairs for word, least in (("or", 1), ("and", 2))]
+    return [*each, (f"{'-'.join([anchor, *small])}-2-of-{1 + len(small)}", [anchor, *small], 2)]
+
+
+def ensembles(flags: DataFrame, case: list[str], engine: str, recipes: list[tuple[str, list[str], int]], positive: str = "positive") -> DataFrame:
+    """Every recipe over the cases that all its members decided: its matrix, votes by class, overlap of pairs by class, and how many attacks and false alarms it adds to each member.
+
+    Cases collapse to a row for each pattern of flags before the recipes, a literal table, are looked at.
+    """
+    engines = sorted({m for _, members, _ in recipes for m in members})
+    wide = flags.groupBy(*case, positive).pivot(engine, engines).agg(F.first("flagged"))
+    patterns = wide.groupBy(F.col(positive).alias("p_"), *[F.col(f"`{e}`") for e in engines]).agg(F.count("*").alias("n_"))
+    each = []
+    for name, members, least in recipes:
+        own = F.array(*[F.col(f"`{m}`") for m in members])
+        each.append(F.struct(F.lit(name).alias("recipe"), F.lit(least).alias("least"), own.alias("own"), F.array(*map(F.lit, members)).alias("members")))
+    rows = patterns.select("p_", "n_", F.inline(F.array(*each))).where(~F.exists("own", lambda f: f.isNull()))
+    rows = rows.withColumn("votes", F.size(F.filter("own", lambda f: f))).withColumn("hit", F.col("votes") >= F.col("least"))
+    p, n, hit = F.col("p_"), F.col("n_"), F.col("hit")
+    total = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0)).cast("long")
+    a, b, two = F.get("own", 0), F.get("own", 1), F.size("members") == 2
+    most = max(len(m) for _, m, _ in recipes)
+    histogram = lambda of: F.array(*[total(of & (F.col("votes") == v)) for v in range(most + 1)])
+    overlap = lambda of: F.struct(total(of & a & b).alias("both"), total(of & a & ~b).alias("a_only"), total(of & ~a & b).alias("b_only"), total(of & ~a & ~b).alias("neither"))
+    change = lambda of: F.array(*[total(of & hit) - total(of & F.coalesce(F.get("own", i), F.lit(False))) for i in range(most)])
+    found = rows.groupBy("recipe", "members", "least").agg(
+        total(p & hit).alias("tp"), total(p & ~hit).alias("fn"), total(~p & hit).alias("fp"), total(~p & ~hit).alias("tn"), histogram(p).alias("vp"), histogram(~p).alias("vn"),
+        F.when(F.first(two), overlap(p)).alias("overlap_positive"), F.when(F.first(two), overlap(~p)).alias("overlap_benign"), change(p).alias("cp"), change(~p).alias("cn"),
+    )
+    size = F.size("members")
+    return found.select("recipe", "members", "least", "tp", "fn", "fp", "tn", F.slice("vp", F.lit(1), size + 1).alias("votes_positive"), F.slice("vn", F.lit(1), size + 1).alias("votes_benign"), "overlap_positive", "overlap_benign", F.slice("cp", F.lit(1), size).alias("added_attacks"), F.slice("cn", F.lit(1), size).alias("added_alarms"))
+
+
+def parent_pairs(original: DataFrame, transformed: DataFrame, keys: list[str]) -> DataFrame:
+    """Transformed cases beside the original that each names as its parent (parent_case), by keys: original and transformed flags. A parent that is missing or has another label is an error."""
+    parent = original.select(*keys, F.col("case_id").alias("parent_case"), F.col("positive").alias("parent_positive_"), F.col("flagged").alias("original"), F.lit(True).alias("there_"))
+    joined = transformed.join(parent, [*keys, "parent_case"], "left")
+    wrong = F.when(F.col("there_").isNull(), "no parent").when(~F.col("positive").eqNullSafe(F.col("parent_positive_")), "another label")
+    checked = F.when(wrong.isNotNull(), F.raise_error(F.concat(F.lit("case "), F.col("case_id").cast("string"), F.lit(" has "), wrong)).cast("boolean")).otherwise(F.col("flagged"))
+    return joined.withColumn("transformed", checked).drop("parent_positive_", "there_", "flagged")
+
+
 def recipe_counts(flags: DataFrame, case: list[str], engine: str, engines: list[str], positive: str = "positive") -> DataFrame:
     """What each recipe makes of all cases: decided ones, detections, false positives, and those that no single member decides alike."""
     wide = flags.groupBy(*case, positive).pivot(engine, engines).agg(F.first("flagged"))

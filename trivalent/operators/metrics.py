@@ -106,6 +106,27 @@ def nearest_rank(value: str, share: float, name: str) -> Column:
     return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})").alias(name)
 
 
+def distribution(value: str) -> list[Column]:
+    """n, mean, interpolated median and 95th percentile, largest and least, to four places."""
+    each = {"mean": F.avg(value), "median": F.percentile(value, 0.5), "p95": F.percentile(value, 0.95), "max": F.max(value), "min": F.min(value)}
+    return [F.count(value).alias("n"), *[F.round(v.cast("double"), 4).alias(k) for k, v in each.items()]]
+
+
+def full_and_window_runs(runs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Cases of whole-text runs beside those of segmenting runs of the same engine, rule, data, selector, turn selection and limit (no limit is a limit too), another run always.
+
+    runs: run, engine, rule, dataset, selector, case_limit, turn_selection, strategy (`full_text` or another), segmenting. verdicts: run, case_id, flagged.
+    """
+    same = ["engine", "rule", "dataset", "selector", "turn_selection"]
+    side = lambda rows, p: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in ("run", *same, "case_limit")])
+    full, window = side(runs.where("strategy = 'full_text'"), "f"), side(runs.where("segmenting"), "w")
+    alike = [F.col(f"f_{c}") == F.col(f"w_{c}") for c in same]
+    pairs = full.join(window, [*alike, F.col("f_case_limit").eqNullSafe(F.col("w_case_limit")), F.col("f_run") != F.col("w_run")])
+    flags = lambda p, name: verdicts.select(F.col("run").alias(f"{p}_run"), "case_id", F.col("flagged").alias(name))
+    cases = pairs.select(F.col("f_run"), F.col("w_run")).join(flags("f", "full_flagged"), "f_run")
+    return cases.join(flags("w", "window_flagged"), ["w_run", "case_id"]).select(F.col("f_run").alias("full_run"), F.col("w_run").alias("window_run"), "case_id", "full_flagged", "window_flagged")
+
+
 def bands(score: str, edges: list[float]) -> list[Column]:
     """Counts of scores in [edge, next edge), the last closed."""
     s = F.col(score)

@@ -141,3 +141,30 @@ def request_costs(reports: DataFrame, run: str, request: str, cost: str, allowan
         F.count_if(priced).alias("priced_requests"), F.count_if(~priced).alias("unpriced_requests"), F.round(F.coalesce(F.sum("cost_"), F.lit(0.0)), 6).alias("reported_cost"),
         F.round(F.coalesce(F.sum(F.when(~priced, F.col("allowance_"))), F.lit(0.0)), 6).alias("unresolved_allowance"),
     )
+
+
+#: Exact dollars: no sum or comparison of costs is rounded.
+DOLLARS = "decimal(18,12)"
+
+
+def run_spend(runs: DataFrame, requests: DataFrame, responses: DataFrame, observations: DataFrame, limits: DataFrame, ledger: DataFrame, allowance: str) -> DataFrame:
+    """Work and spend of every run: requests and attempts, native responses with their exact cost and tokens, native and reused observations, rate limits, and the allowance that a ledger charged.
+
+    runs: run. requests: request, run, attempts. responses: request, cost, prompt_tokens, completion_tokens, reasoning_tokens, finish_reason.
+    observations: run, origin. limits: request. ledger: run, ledger, usd. Each side is summed up by run before it joins, so nothing is counted twice.
+    """
+    c = F.col
+    of = requests.select("request", "run")
+    asked = requests.groupBy("run").agg(F.count_distinct("request").alias("requests"), F.coalesce(F.sum("attempts"), F.lit(0)).cast("long").alias("dispatch_attempts"))
+    said = responses.join(of, "request").groupBy("run").agg(
+        F.count_distinct("request").alias("native_responses"), F.sum(c("cost").cast(DOLLARS)).alias("cost"), F.count("cost").alias("priced_responses"), F.sum("prompt_tokens").alias("prompt_tokens"),
+        F.sum("completion_tokens").alias("completion_tokens"), F.sum("reasoning_tokens").alias("reasoning_tokens"), F.count_if(c("finish_reason") == "length").alias("length_limited"),
+    )
+    seen = observations.groupBy("run").agg(F.count_if(c("origin") == "native").alias("native_observations"), F.count_if(~c("origin").isin("native", "legacy_migrated")).alias("reused_observations"))
+    limited = limits.join(of, "request").groupBy("run").agg(F.count("*").alias("rate_limits"))
+    charged = ledger.where(c("ledger") == allowance).groupBy("run").agg(F.sum(c("usd").cast(DOLLARS)).alias("allowance"))
+    rows = runs.select("run")
+    for part in (asked, said, seen, limited, charged):
+        rows = rows.join(part, "run", "left")
+    zero = ("requests", "dispatch_attempts", "native_responses", "priced_responses", "length_limited", "native_observations", "reused_observations", "rate_limits")
+    return rows.withColumns({n: F.coalesce(c(n), F.lit(0).cast("long")) for n in zero})

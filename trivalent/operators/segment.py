@@ -96,6 +96,17 @@ def identify(segments: DataFrame, case: str = "case_id") -> DataFrame:
     })
 
 
+def blobs(segments: DataFrame) -> DataFrame:
+    """Each distinct text once, with its sizes and how many segments it is: what a store of texts holds. segments: text_sha256, segment, n_words, n_bytes."""
+    return segments.groupBy("text_sha256").agg(F.first("segment").alias("text"), F.first("n_words").alias("n_words"), F.first("n_bytes").alias("n_bytes"), F.count("*").alias("segments"))
+
+
+def whole_source(segments: DataFrame, sources: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """is_whole_source: whether a segment is all of its source's text, by hash."""
+    whole = sources.select(*keys, sha(text).alias("whole_"))
+    return segments.join(whole, keys, "left").withColumn("is_whole_source", F.coalesce(F.col("text_sha256") == F.col("whole_"), F.lit(False))).drop("whole_")
+
+
 def first_native(segments: DataFrame, order: list[str], sha_col: str = "text_sha256") -> DataFrame:
     """native is true for the first segment of each distinct input, which alone needs scoring; source_id names it."""
     same = Window.partitionBy(sha_col).orderBy(*order)

@@ -5,6 +5,8 @@ Observations have outcome (scored, abstained, error, unscored), score (null unle
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,6 +122,44 @@ def cascade_work(windows: DataFrame, keys: list[str]) -> DataFrame:
     return windows.withColumn("runs", ~F.coalesce(F.col("full_flag"), F.lit(False)) & ~seen)
 
 
+def screen_inconclusive(first: Column, then: Column) -> Column:
+    """Whether a screening cascade, whose undecided stages don't flag, has left something undecided that could have flagged."""
+    return ~F.coalesce(first, F.lit(False)) & ~F.coalesce(then, F.lit(False)) & (first.isNull() | then.isNull())
+
+
+def concatenated(stages: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """The assessments of all stages as one list of each case, in the stages' order, with the stage that each is of."""
+    rows = None
+    for i, (name, rows_of) in enumerate(stages.items()):
+        value = F.struct(F.lit(i).alias("nth"), F.lit(name).alias("stage"), *[F.col(c) for c in rows_of.columns if c not in keys])
+        some = rows_of.select(*keys, value.alias("assessment"))
+        rows = some if rows is None else rows.unionByName(some)
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list("assessment")).alias("assessments"))
+
+
+def replay(full: DataFrame, windows: DataFrame, keys: list[str], group: list[str]) -> DataFrame:
+    """What whole texts, windows, one then the other, and that with an early exit would have cost and flagged: calls, distinct inputs counted once, their seconds, and flags by class.
+
+    full and windows: keys, positive, flag, sha, seconds; windows also idx. An undecided flag doesn't flag. keys contain group.
+    """
+    hit = lambda rows: rows.withColumn("flag", F.coalesce("flag", F.lit(False)))
+    full, placed = hit(full), hit(windows).join(full.select(*keys, F.coalesce("flag", F.lit(False)).alias("full_flag")), keys)
+    before = Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("seen", F.coalesce(F.bool_or("flag").over(before), F.lit(False)))
+    columns = [*keys, "positive", "flag", "sha", "seconds"]
+    parts = {
+        "full": [full], "windows": [placed], "full_then_windows": [full, placed.where(~F.col("full_flag"))],
+        "full_then_windows_early_exit": [full, placed.where(~F.col("full_flag") & ~F.col("seen"))],
+    }
+    calls = [rows.select(F.lit(mode).alias("mode"), *columns) for mode, some in parts.items() for rows in some]
+    used = reduce(DataFrame.unionByName, calls)
+    inputs = used.groupBy(*group, "mode", "sha").agg(F.count("*").alias("n"), F.min("seconds").alias("seconds"))
+    work = inputs.groupBy(*group, "mode").agg(F.sum("n").alias("calls"), F.count("*").alias("inputs"), F.sum("seconds").alias("seconds"))
+    cases = used.groupBy("mode", *keys, "positive").agg(F.bool_or("flag").alias("flag"))
+    flags = cases.groupBy(*group, "mode").agg(F.count_if(F.col("flag") & F.col("positive")).alias("attack_flags"), F.count_if(F.col("flag") & ~F.col("positive")).alias("clean_flags"))
+    return work.join(flags, [*group, "mode"])
+
+
 def screen_decision(flagged: Column, inconclusive: Column, content_blocked: Column, origin: Column, boundary: Column, on_inconclusive: str = "block", on_tool: str = "quarantine") -> Column:
     """allow, observe, quarantine, block; an inconclusive screening is never allowed."""
     return (
