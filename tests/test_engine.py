@@ -467,6 +467,47 @@ def test_managed_filters_fail_closed(spark):
         assert r.inconclusive == (want is None) and (r.flagged, r.blocked, r.score, r.label, r.matched) == (want or (None,) * 5)
 
 
+def test_missing_members_and_wrong_parents_are_errors(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "case_id int, member string")
+    assert assembly.require_members(rows, "member", ["a", "b"]).count() == 2
+    with pytest.raises(Exception, match="missing: c, d"):
+        assembly.require_members(rows, "member", ["a", "c", "d"]).collect()
+    original = spark.createDataFrame([(1, True, True)], "case_id int, positive boolean, flagged boolean")
+    for parent, positive, told in ((1, True, None), (2, True, "no parent"), (1, False, "another label")):
+        changed = spark.createDataFrame([(9, parent, positive, False)], "case_id int, parent_case int, positive boolean, flagged boolean")
+        pairs = assembly.parent_pairs(original, changed, [])
+        if told:
+            with pytest.raises(Exception, match=told):
+                pairs.collect()
+        else:
+            assert [(r.original, r.transformed) for r in pairs.collect()] == [(True, False)]
+
+
+def test_actions_without_a_tool_are_flagged(spark):
+    kind = "action_id int, tool string, path string, sources array<string>"
+    origins = spark.createDataFrame([("op", "operator")], "source_id string, origin string")
+    found = behavior.action_provenance(spark.createDataFrame([(1, None, "/to", ["op"]), (2, "go", "/to", ["op"])], kind), origins, {"go": ["/to"]}).collect()
+    assert sorted((r.action_id, r.flagged, r.reasons) for r in found) == [(1, True, ["tool_not_allowed"]), (2, False, [])]
+    more = spark.createDataFrame([(1, None, "{}", None), (2, " ", None, None), (3, "go", '{"to":null}', None), (4, "go", '{"other":1}', None), (5, "go", "not json", None)], "action_id int, tool string, arguments string, sources map<string,array<string>>")
+    found = {r.action_id: (r.flagged, r.reasons, [tuple(e) for e in r.evidence]) for r in behavior.assess_actions(more, origins, ["go"], {"go": ["/to"]}).collect()}
+    assert found == {1: (True, ["tool_not_allowed"], []), 2: (True, ["tool_not_allowed"], []), 3: (True, ["missing_provenance"], [("/to", [])]), 4: (False, [], []), 5: (False, [], [])}
+
+
+def test_extensions_in_capitals(spark):
+    paths = {"docs/FIG.PNG": ("figure", "image/png"), "run.LOG": ("console_log", "text/plain"), "readme.MD": ("report", "text/markdown"), "a/.png": ("other", "application/octet-stream"), "a.b/none": ("other", "application/octet-stream"), "x.JSONL": ("other", "application/x-ndjson")}
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").select("path", files.artifact_kind("path").alias("kind"), files.content_type("path").alias("type"))
+    found = {r.path: (r.kind, r.type) for r in rows.collect()}
+    assert found == paths
+
+
+def test_two_queries_of_one_name_are_an_error():
+    from trivalent.plans import catalog, registry
+
+    assert catalog.QUERIES is registry.QUERIES
+    with pytest.raises(ValueError, match="two queries"):
+        registry.query()(next(iter(registry.QUERIES.values())))
+
+
 # ---- Catalog
 
 

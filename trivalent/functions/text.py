@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once and not wherever it is named."""
+    return F.transform(F.array(value), then)[0]
+
+
 def trimmed(text: Column | str) -> Column:
     return F.regexp_replace(col(text), rf"^[{SPACE}]+|[{SPACE}]+$", "")
 
@@ -46,6 +52,18 @@ def sha(text: Column | str) -> Column:
     return F.sha2(F.encode(col(text), "utf-8"), 256)
 
 
+def iso_time(text: Column | str) -> Column:
+    """The instant that an ISO text with an offset names, with or without parts of a second; null if it is none."""
+    formats = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    return F.coalesce(*[F.try_to_timestamp(col(text), F.lit(f)) for f in formats])
+
+
+def date_of(year: Column | str, month: Column | str, day: Column | str) -> Column:
+    """The date of three numbers; null where there is no such day."""
+    text = F.concat_ws("-", F.lpad(col(year).cast("string"), 4, "0"), F.lpad(col(month).cast("string"), 2, "0"), F.lpad(col(day).cast("string"), 2, "0"))
+    return F.when(col(year).isNotNull() & col(month).isNotNull() & col(day).isNotNull(), F.try_to_date(text, "yyyy-MM-dd"))
+
+
 def lcg(state: Column) -> Column:
     """The next state of the 32-bit linear congruential generator; state / 2^32 is the draw."""
     return (state * F.lit(1664525).cast("long") + F.lit(1013904223).cast("long")).bitwiseAND(F.lit(4294967295).cast("long"))

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trivalent.functions.text import col, is_blank
+from trivalent.functions.text import col, is_blank, let
 from trivalent.operators.scoring import INJECTION_FILTER, managed_filter
 from trivalent.operators.verdict import outcome
 
@@ -156,6 +156,36 @@ def pair_up(target: DataFrame, source: DataFrame, keys: list[str], order: str) -
     return target.withColumn("nth_", nth).join(given, [*keys, "nth_"], "left").drop("nth_")
 
 
+#: How a run came by its observations: the field of its metadata that says so, what it is called, and its place in the order of import. Fixed values.
+ORIGINS = (("derivedFrom", "derived_equivalent", 3), ("reuseFrom", "reused_full_input", 2), ("inputReuseFrom", "live", 1))
+METHODS = {"derivedFrom": "derived_segment_equivalence", "reuseFrom": "reused_full_input", "inputReuseFrom": "dedup_native_input"}
+SAME_RUN = "same-run:"
+
+
+def run_origin(metadata: Column | str, source: Column | str) -> dict[str, Column]:
+    """origin, rank (sources before what is made of them) and, for a reused observation of this source artifact, the method, from a run's metadata in JSON."""
+    meta = F.try_parse_json(col(metadata))
+    has = {f: F.coalesce(F.schema_of_variant(F.try_variant_get(meta, f"$.{f}", "variant")) != "VOID", F.lit(False)) for f, _, _ in ORIGINS}
+    first = lambda values, other: F.coalesce(*[F.when(has[f], F.lit(v)) for f, v in values], F.lit(other))
+    method = F.when(F.coalesce(F.startswith(col(source), F.lit(SAME_RUN)), F.lit(False)), "dedup_same_run").otherwise(first(METHODS.items(), METHODS["reuseFrom"]))
+    return {"origin": first([(f, o) for f, o, _ in ORIGINS], "live"), "rank": first([(f, r) for f, _, r in ORIGINS], 0), "method": method}
+
+
+def mark_existing(rows: DataFrame, found: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows with `name`: whether any row of found has the same keys. Many matches don't multiply a row."""
+    there = found.select(*keys).distinct().withColumn(name, F.lit(True))
+    return rows.join(there, keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def require_members(rows: DataFrame, member: str, members: list) -> DataFrame:
+    """The rows, if every member has some; else an error that names those without."""
+    seen = rows.agg(F.collect_set(F.when(F.col(member).isin(*members), F.col(member))).alias("seen_"))  # one row of the named members at most
+    gone = F.array_except(F.array(*map(F.lit, members)), F.col("seen_"))
+    told = F.raise_error(F.concat(F.lit("missing: "), F.array_join(gone.cast("array<string>"), ", "))).cast("boolean")
+    whole = seen.select(F.when(F.size(gone) > 0, told).otherwise(F.lit(True)).alias("whole_"))
+    return rows.crossJoin(F.broadcast(whole)).where("whole_").drop("whole_")
+
+
 def derive(target: DataFrame, source: DataFrame, keys: list[str], segment: str, begin: str, end: str) -> DataFrame:
     """How each target segment is had from a source: (target's segment, source, status), a source only where it is the one match of a segment that is its one match.
 
@@ -269,22 +299,33 @@ DATA_FIELDS = ("inspectResult", "deidentifyResult", "redactResult")
 
 def filter_payload(entry: Column | str) -> Column:
     """matchState, executionState and confidenceLevel of one filter's JSON, however deep its payload is."""
-    at = lambda path, kind="variant": F.try_variant_get(F.try_parse_json(col(entry)), path, kind)
     paths = [p for f in RESULT_FIELDS for p in ([f"$.{f}.{d}" for d in DATA_FIELDS] if f == "sdpFilterResult" else []) + [f"$.{f}"]] + ["$"]
-    is_object = lambda p: F.coalesce(F.schema_of_variant(at(p)).startswith("OBJECT"), F.lit(False))
-    read = lambda p: F.struct(*[at(f"{p}.{n}", "string").alias(n) for n in ("matchState", "executionState", "confidenceLevel")])
-    return F.coalesce(*[F.when(is_object(p), read(p)) for p in paths])
+
+    def found(v: Column) -> Column:
+        inner = F.array(*[F.try_variant_get(v, p, "variant") for p in paths])
+        return F.get(F.filter(inner, lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False))), 0)
+
+    read = lambda v: F.when(v.isNotNull(), F.struct(*[F.try_variant_get(v, f"$.{n}", "string").alias(n) for n in ("matchState", "executionState", "confidenceLevel")]))
+    return let(let(F.try_parse_json(col(entry)), found), read)
 
 
 def managed_answer(body: Column | str) -> dict[str, Column]:
     """The verdict over the JSON of a managed filter's answer, and the confidence of its injection filter; what is no such answer is inconclusive."""
     kind = "sanitizationResult struct<invocationResult:string,filterMatchState:string,filterResults:map<string,string>>"
-    answer = F.from_json(col(body), kind)["sanitizationResult"]
-    entries = F.transform(F.map_entries(answer["filterResults"]), lambda e: F.struct(e["key"].alias("name"), filter_payload(e["value"]).alias("p")))
-    filters = F.transform(entries, lambda e: F.struct(e["name"].alias("name"), e["p"]["executionState"].alias("state"), e["p"]["matchState"].alias("match")))
-    found = managed_filter(filters, answer["filterMatchState"], answer["invocationResult"])
-    sure = F.filter(entries, lambda e: e["name"] == INJECTION_FILTER)
-    return {**found, "matched": F.array_sort(found["matched"]), "confidence": F.when(~found["inconclusive"], F.get(sure, 0)["p"]["confidenceLevel"])}
+
+    def judge(answer: Column) -> Column:
+        entries = F.transform(F.map_entries(answer["filterResults"]), lambda e: F.struct(e["key"].alias("name"), filter_payload(e["value"]).alias("p")))
+        flat = F.transform(entries, lambda e: F.struct(e["name"].alias("name"), e["p"]["executionState"].alias("state"), e["p"]["matchState"].alias("match"), e["p"]["confidenceLevel"].alias("sure")))
+        return let(flat, lambda filters: told(answer, filters))
+
+    def told(answer: Column, filters: Column) -> Column:
+        found = managed_filter(filters, answer["filterMatchState"], answer["invocationResult"])
+        sure = F.get(F.filter(filters, lambda e: e["name"] == INJECTION_FILTER), 0)["sure"]
+        return F.struct(*[c.alias(n) for n, c in found.items()], sure.alias("confidence"))
+
+    found = let(F.from_json(col(body), kind)["sanitizationResult"], judge)
+    names = ("inconclusive", "flagged", "blocked", "score", "label")
+    return {**{n: found[n] for n in names}, "matched": F.array_sort(found["matched"]), "confidence": F.when(~found["inconclusive"], found["confidence"])}
 
 
 def output_anomaly(score: Column, finish: Column, content: Column, one_field: Column) -> Column:

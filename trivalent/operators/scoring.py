@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trivalent.functions.text import ascii_words, col, is_blank, words
+from trivalent.functions.text import ascii_words, col, is_blank, let, words
 
 
 def strict_json(text: Column | str) -> Column:
@@ -88,19 +88,26 @@ def classify_response(body: Column | str, model: str) -> dict[str, Column]:
 
 def final_anomaly(content: Column | str, finish: Column | str, tool_calls: Column | str, targets: Column | str) -> dict[str, Column]:
     """What is wrong with a final answer as it stands, or null; its number; and whether it is, out of range, one of the numbers that were asked for."""
-    text, answer = col(content), strict_json(content)
-    value = F.try_variant_get(answer, "$.concernScore", "variant")
-    shape = F.schema_of_variant(answer)
-    number = F.when(shape.startswith("OBJECT") & F.coalesce(F.schema_of_variant(value).rlike(f"^{_NUMBER}$"), F.lit(False)), value.cast("double"))
-    inside = F.coalesce(number.between(0, 1), F.lit(False))
-    whole = inside & F.coalesce(shape.rlike(rf"^OBJECT<concernScore: {_NUMBER}>$"), F.lit(False))
+    text = col(content)
     stopped, called = F.coalesce(col(finish) == "stop", F.lit(False)), F.coalesce(col(tool_calls), F.lit(False))
-    category = (
-        F.when(whole & stopped & ~called, None).when(F.coalesce(text, F.lit("")) == "", "empty_final").when(number.isNotNull() & ~inside, "out_of_range_numeric")
-        .when(whole, "valid_shape_nonstop").otherwise("malformed_or_other_schema")
-    )
-    asked = F.coalesce(F.array_contains(col(targets), number), F.lit(False))
-    return {"category": category, "number": number, "target_match": F.coalesce(category == "out_of_range_numeric", F.lit(False)) & stopped & asked}
+
+    def read(answer: Column) -> Column:
+        shape, value = F.schema_of_variant(answer), F.try_variant_get(answer, "$.concernScore", "variant")
+        known = shape.startswith("OBJECT") & F.schema_of_variant(value).rlike(f"^{_NUMBER}$")
+        return F.struct(F.when(known, F.try_variant_get(answer, "$.concernScore", "double")).alias("number"), F.coalesce(shape.rlike(rf"^OBJECT<concernScore: {_NUMBER}>$"), F.lit(False)).alias("alone"))
+
+    def judge(a: Column) -> Column:
+        inside = F.coalesce(a["number"].between(0, 1), F.lit(False))
+        whole = inside & a["alone"]
+        category = (
+            F.when(whole & stopped & ~called, None).when(F.coalesce(text, F.lit("")) == "", "empty_final").when(a["number"].isNotNull() & ~inside, "out_of_range_numeric")
+            .when(whole, "valid_shape_nonstop").otherwise("malformed_or_other_schema")
+        )
+        return F.struct(category.alias("category"), a["number"].alias("number"))
+
+    found = let(let(strict_json(content), read), judge)
+    asked = F.coalesce(F.array_contains(col(targets), found["number"]), F.lit(False))
+    return {"category": found["category"], "number": found["number"], "target_match": F.coalesce(found["category"] == "out_of_range_numeric", F.lit(False)) & stopped & asked}
 
 
 #: How a rationale says that it saw an instruction, and how it says that there is none: fixed values.
@@ -129,11 +136,11 @@ def managed_filter(filters: Column | str, overall: Column | str, invocation: Col
     true where anything matched; content that is blocked by no injection is CONTENT_BLOCKED, and where only the whole
     says so the filter is unknown.
     """
-    f = F.coalesce(col(filters), F.array().cast("array<struct<name:string,state:string,match:string>>"))
+    f = col(filters)
     told = lambda match: F.coalesce(match.isin(MATCH, NO_MATCH), F.lit(False))
     whole = F.forall(f, lambda x: F.coalesce(x["state"] == EXECUTED, F.lit(False)) & told(x["match"]))
-    screened = F.exists(f, lambda x: F.coalesce(x["name"] == INJECTION_FILTER, F.lit(False)))
-    known = F.coalesce(col(invocation) == INVOKED, F.lit(False)) & told(col(overall)) & (F.size(f) > 0) & whole & screened
+    screened = F.exists(f, lambda x: F.coalesce(x["name"] == INJECTION_FILTER, F.lit(False)))  # of no filters none is
+    known = F.coalesce(col(invocation) == INVOKED, F.lit(False)) & told(col(overall)) & F.coalesce(whole & screened, F.lit(False))
     matched = F.transform(F.filter(f, lambda x: x["match"] == MATCH), lambda x: x["name"])
     injected, blocked = F.array_contains(matched, INJECTION_FILTER), (F.size(matched) > 0) | (col(overall) == MATCH)
     said = F.when(injected, "MALICIOUS").when(blocked, "CONTENT_BLOCKED").otherwise("BENIGN")

@@ -139,14 +139,14 @@ KINDS = (
     ("other", r"^evals/reports/.*/runs/|^evals/reports/runs/|/runs/.*\.md$"),
     ("report", r"^evals/reports/|\.md$"),
     ("literature", r"/research-literature-"),
-    ("checkpoint", r"\.jsonl$"),
+    ("checkpoint", r"[^/]\.jsonl$"),
     ("legacy_event_log", r"/migrated-(.*/)?observations\.jsonl$|/assistant-2026-09/.*\.jsonl$"),
     ("batch_ledger", r"(^|/)batch-ledger\.jsonl$"),
     ("budget_ledger", r"(^|/)armor-budget[^/]*\.jsonl$"),
     ("driver_log", r"(^|/)driver[^/]*\.ndjson$"),
-    ("console_log", r"\.log$"),
-    ("script", r"\.(ts|py|sh|jinja)$"),
-    ("figure", r"\.(png|svg|pdf)$"),
+    ("console_log", r"[^/]\.log$"),
+    ("script", r"[^/]\.(ts|py|sh|jinja)$"),
+    ("figure", r"[^/]\.(png|svg|pdf)$"),
     ("file_inventory", r"(^|/)(artifact-inventory|inventory-result)\.json$"),
     ("coverage_ledger", r"(^|/)research-coverage-ledger\.json$"),
     ("endpoint_snapshot", r"/model-endpoints-|(^|/)openrouter-models-[^/]*$"),

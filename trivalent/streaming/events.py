@@ -50,6 +50,13 @@ def stored(rows: DataFrame, name: str) -> str:
     return path
 
 
+def stored_lines(rows: DataFrame, name: str) -> str:
+    """The path of the rows' one column as text files in the shared folder."""
+    path = shared_dir(rows.sparkSession, name)
+    rows.write.text(path)
+    return path
+
+
 def drain(stream: DataFrame, mode: str = "append", resume: str | None = None) -> DataFrame:
     """Run a stream over all that is there and return what it wrote, as Parquet in the shared folder.
 
