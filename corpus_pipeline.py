@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and returns the columns of
 documents, but for the last. Its result is written as Parquet and read again as the next one's docs.
+
+Defined cases: a null or empty text has no language and goes at the first stage, so the others see texts with a letter;
+very long texts are worked on whole; repeated rows are near duplicates of each other, and one stays; null ids are rows
+like any other, and the last to stand for a group; without labels every document scores a half and goes, with labels of
+one class every document scores that class's share; an empty benchmark removes nothing; empty documents give no rows; columns beside those of documents,
+whatever their names, come through all stages but the last, which returns its own.
 """
 
 from __future__ import annotations

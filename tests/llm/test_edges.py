@@ -179,3 +179,36 @@ def test_passage_features_against_plain_ones(text):
         twice = sum(triples[tuple(lower[i : i + 3])] > 1 for i in at if i + 3 <= len(lower))
         assert np.isclose(x[p, mq.CLASSES + 4], twice / max(1, len(mine)))
         assert np.isclose(x[p, mq.CLASSES + 5], np.log1p(len(words)) / 8) and np.isclose(x[p, mq.CLASSES + 6], max(1, len(own)) / mq.PASSAGE_WORDS)
+
+
+def test_the_pipeline_and_its_stages_on_empty_tables(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        table(spark, SF, name).limit(0).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    sf = f"file://{tmp_path}"
+    assert cp.run(spark, sf).count() == 0
+    docs = table(spark, sf, "documents")
+    for name, stage in cp.STAGES[:-1]:
+        kept = stage(spark, docs, sf)
+        assert kept.count() == 0 and kept.columns == docs.columns, name
+    assert gs.keep_one(docs).count() == 0
+    rows = qr.ledger(docs)
+    assert rows.count() == 0 and qr.ablation(rows, "v2").count() == 0
+
+
+def test_without_benchmark_or_labels(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        table(spark, SF, name).limit(50 if name == "documents" else 0).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    sf = f"file://{tmp_path}"
+    docs = table(spark, sf, "documents")
+    assert cp.decontamination(spark, docs, sf).count() == 50
+    assert cp.quality(spark, docs, sf).count() == 0  # a half each
+
+
+def test_decode_replaces_a_column_of_its_name(spark):
+    model = queries.vocabulary("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(1, "the cat sat"), (2, None)], "doc_id long, text string")
+    best = sg.sample(docs, model, k=1).select("doc_id", F.col("samples")[0]["ids"].alias("ids"), F.lit(7).alias("decoded"), F.lit("x").alias("text"))
+    found = sg.decode(best, model)
+    assert found.columns == ["doc_id", "ids", "text", "decoded"]
+    assert {r.doc_id: (r.decoded or "").strip() for r in found.collect()} == {1: "the cat sat", 2: ""}
+    assert sg.decode(best.limit(0), model).count() == 0

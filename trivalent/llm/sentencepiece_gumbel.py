@@ -23,7 +23,9 @@ step): a row's sample is the same wherever it runs.
 Memory: a slice is `SLICE_CHARS` characters of whole texts, or one longer text; arrays are of its size.
 
 Defined cases: a null or empty text has the one empty segmentation; a text with fewer than k segmentations returns all
-of them; a null row key is a key of its own; repeated rows return the same samples.
+of them; a null row key is a key of its own; repeated rows return the same samples; very long texts are searched whole; an
+empty table has no rows; extra columns, whatever their names, are not read by sample and come back from decode, but for one
+named `decoded`, which is replaced; null ids decode to null.
 """
 
 from __future__ import annotations
@@ -617,6 +619,8 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     """The rows with the text that the piece ids stand for, as the column decoded."""
     from pyspark.sql import types as T
 
+    encoded = encoded.drop("decoded")
+
     def run(batches):
         pieces = pieces_of(model)
         for batch in batches:
