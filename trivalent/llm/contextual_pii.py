@@ -4,8 +4,8 @@ Seeds are the spans of four kinds that fixed patterns and checks find: email, ip
 string of a text (a seed, or a run with a digit or an @) is an occurrence with its context: the word before, two words
 before, the word before and the one after. Contexts are patterns, normalised strings are instances, and distinct pairs
 of both are a graph, so copies of a text count once. Rounds over the graph score both sides: a pattern's confidence in a
-kind is the lower Wilson bound of the share of its instances believed to be of that kind (narrow contexts, which meet by
-chance, are bounded more strictly than wide ones); patterns of enough belief and confidence are accepted; an unseen
+kind is the lower Wilson bound of the share of its instances believed to be of that kind (a single word, which meets by
+chance, is bounded more strictly than a label or more words); patterns of enough belief and confidence are accepted; an unseen
 instance is believed as much as the best accepted pattern that it stands in, and counts with that in the next round. Unseen
 identifiers that stand in an accepted pattern become spans of its kind, beside the seeds.
 
@@ -55,8 +55,9 @@ LONG = 64
 LEAST = 3
 ACCEPT = 0.5
 ROUNDS = 3
-#: Deviations by which the confidence of each type of pattern is bounded.
-STRICT = {"1": 1.96, "2": 1.0, "3": 1.0}
+#: Deviations by which the confidence of each type of pattern is bounded: a word before, two words before, words around, and a word before that ends like a label.
+STRICT = {"1": 1.96, "2": 1.0, "3": 1.0, "4": 1.0}
+LABEL = "[:=#]$"
 
 
 def _let(value: Column, then) -> Column:
@@ -133,7 +134,7 @@ def _context(before: Column, after: Column) -> list[Column]:
     one = squeeze(F.regexp_extract(tail, r"(?<!\p{L})(\p{L}+[^\p{L}]*)$", 1))
     two = squeeze(F.regexp_extract(tail, r"(?<!\p{L})(\p{L}+[^\p{L}]+\p{L}+[^\p{L}]*)$", 1))
     right = squeeze(F.regexp_extract(head, r"^([^\p{L}]*\p{L}+)", 1))
-    return [F.concat(F.lit("1|"), one), F.concat(F.lit("2|"), two), F.concat(F.lit("3|"), one, F.lit("|"), right)]
+    return [F.concat(F.when(one.rlike(LABEL), "4|").otherwise("1|"), one), F.concat(F.lit("2|"), two), F.concat(F.lit("3|"), one, F.lit("|"), right)]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
