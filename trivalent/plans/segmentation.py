@@ -117,14 +117,16 @@ def seg_random_lcg(spark, sf):
     return rows.select("case_id", *[F.col(c).cast("long").alias(c) for c in ("idx", "start_word", "end_word")], "segment")
 
 
-@query("""WITH RECURSIVE g AS (SELECT 0::BIGINT AS i, 42::BIGINT AS state UNION ALL SELECT i + 1, (state * 1664525 + 1013904223) & 4294967295 FROM g WHERE i < 100)
-SELECT i, state, state / 4294967296.0::DOUBLE AS u FROM g""")
+@query("""WITH RECURSIVE g AS (SELECT c_custkey, 0::BIGINT AS i, c_custkey & 4294967295 AS state FROM customer UNION ALL SELECT c_custkey, i + 1, (state * 1664525 + 1013904223) & 4294967295 FROM g WHERE i < 15)
+SELECT c_custkey, i, state, state / 4294967296.0::DOUBLE AS u FROM g""")
 def lcg_stream(spark, sf):
+    """The first states of each customer's own stream."""
     from trivalent.functions.text import lcg
 
-    states = F.transform(F.sequence(F.lit(0), F.lit(100)), lambda i: F.aggregate(F.sequence(F.lit(0), i), F.lit(42).cast("long"), lambda s, j: F.when(j == 0, s).otherwise(lcg(s))))
-    rows = spark.range(1).select(F.posexplode(states).alias("i", "state"))
-    return rows.select(F.col("i").cast("long").alias("i"), "state", (F.col("state") / F.lit(4294967296.0)).alias("u"))
+    seed = F.col("c_custkey").bitwiseAND(F.lit(4294967295).cast("long"))
+    states = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.aggregate(F.sequence(F.lit(0), i), seed, lambda s, j: F.when(j == 0, s).otherwise(lcg(s))))
+    rows = fx.table(spark, sf, "customer").select("c_custkey", F.posexplode(states).alias("i", "state"))
+    return rows.select("c_custkey", F.col("i").cast("long").alias("i"), "state", (F.col("state") / F.lit(4294967296.0)).alias("u"))
 
 
 _REDACT = """WITH sp AS (SELECT list(s ORDER BY length(s) DESC, s) AS spans FROM (SELECT DISTINCT regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM benchmark) WHERE length(s) >= 40),
