@@ -109,3 +109,33 @@ def test_updates_merge_by_key_and_are_refused_without(spark, tmp_path):
     assert run() == [("a", 6), ("b", 2)]
     with pytest.raises(ValueError, match="update"):
         streams.drain(counts(), "update")
+
+
+def test_audits_by_windows_and_by_state_agree_on_any_events(spark):
+    from pyspark.sql import Row
+
+    from trivalent.operators import audit
+    from trivalent.streaming import audit as live
+
+    rng = random.Random(3)
+    protocols = {"r0": "live", "r1": "exact_input", "r2": "derived", "r3": "exact_input"}
+    plan = [(r, f"s{i}", f"c{i // 2}", f"t{i % 3}", i) for r in protocols for i in range(4)]
+    kinds = ["dispatch", "dispatch", "response", "response", "observation", "observation", "derived_observation", "error", "rateLimit", "note", "metadata"]
+    events = []
+    for r in protocols:
+        for at in range(120):
+            kind = rng.choice(kinds) if at or r == "r3" else "metadata"
+            kind = "complete" if r == "r1" and at in (90, 91) else kind
+            i = rng.randrange(5)  # the fifth is not planned
+            pick = lambda right, wrong: right if rng.random() < 0.8 else wrong
+            events.append((r, at, kind, pick(f"q{i}", None), f"s{i}", pick(f"c{i // 2}", "cx"), pick(f"t{i % 3}", "tx"), pick("g", None), pick(0.5, rng.choice([None, 7.0])), pick(f"s{rng.randrange(4)}", None), pick("quota", audit.PROVENANCE_FAILURE), rng.choice([4, 3])))
+    df, planned = spark.createDataFrame(events, audit.EVENTS), spark.createDataFrame(plan, "run string, segment string, case_id string, sha string, ordinal int")
+    runs = spark.createDataFrame([(r, "g", p) for r, p in protocols.items()], "run string, config string, protocol string")
+    got = sorted((x.run, x.at, x.fault) for x in audit.audit(df.repartition(3), planned, runs).collect())
+    want, notes = [], {r: live.Notes() for r in protocols}
+    for e in sorted(audit.with_plan(df, planned, runs).collect(), key=lambda e: (e.run, e.at)):
+        assert isinstance(e, Row)
+        want += [(e.run, e.at, f) for f in live.judge(e, notes[e.run])]
+    assert got == sorted(want)
+    faults = {f for _, _, f in got}
+    assert {"call_not_allowed", "live_not_allowed", "other_case", "provenance_failure", "no_metadata", "after_completion", "incomplete_completion", "repeated_inference", "reuse_before_source"} <= faults
