@@ -211,12 +211,18 @@ def unfinished(planned: DataFrame, done: DataFrame, keys: list[str], identity: l
 
 
 def report_lines(df: DataFrame, order: list[str]) -> DataFrame:
-    """The rows as lines of a Markdown table, in order, below its head: a table of one column, value, to write as text. For reports, whose rows are few."""
+    """The rows as lines of a Markdown table, in order, below its head: a table of one column, value, to write as text."""
     cells = [F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in df.columns]
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
-    body = df.select(F.lit(2).alias("part"), F.row_number().over(Window.orderBy(*order)).alias("nth"), line.alias("value"))
-    head = df.sparkSession.createDataFrame([(0, 0, f"| {' | '.join(df.columns)} |"), (1, 0, f"|{' --- |' * len(df.columns)}")], "part int, nth int, value string")
-    return head.unionByName(body).orderBy("part", "nth").select("value")
+    body = df.select(F.lit(2).alias("part_"), *[F.col(c).alias(f"{c}_by_") for c in order], line.alias("value"))
+    head = df.sparkSession.createDataFrame([(0, f"| {' | '.join(df.columns)} |"), (1, f"|{' --- |' * len(df.columns)}")], "part_ int, value string")
+    return body.unionByName(head, allowMissingColumns=True).orderBy("part_", *[f"{c}_by_" for c in order], "value").select("value")
+
+
+def write_report(df: DataFrame, folder: str, order: list[str]) -> None:
+    """A report as lines of JSON in `folder`/json and as a Markdown table in `folder`/markdown, both in order by the names of their files."""
+    df.orderBy(*order).write.json(f"{folder}/json", ignoreNullFields=False)
+    report_lines(df, order).write.text(f"{folder}/markdown")
 
 
 def file_sha(path: str) -> str:
