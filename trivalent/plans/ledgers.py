@@ -11,6 +11,7 @@ from trivalent.plans.decisions import strict
 from trivalent.plans.registry import query
 from trivalent.session import shared_dir
 from trivalent.sources import files, lines
+from trivalent.streaming import events as streams
 
 _F = F.col
 
@@ -93,8 +94,8 @@ _TRANCHE = 300
 @query(f"WITH {fx.SEGMENTS}, n AS (SELECT case_id, idx, (row_number() OVER (ORDER BY case_id % 7, case_id, idx) - 1) // {_TRANCHE} + 1 AS t FROM s WHERE strategy = 'window') SELECT case_id, idx, CASE WHEN t <= 3 THEN 't' || t END AS tranche FROM n")
 def run_tranches(spark, sf):
     """A run that is dispatched in three tranches, each the next of what the checkpoint doesn't have yet."""
-    planned = fx.segments(spark, sf).where("strategy = 'window'").select("case_id", "idx")
-    path = shared_dir(spark, "tranches")
+    plan, path = streams.stored(fx.segments(spark, sf).where("strategy = 'window'").select("case_id", "idx"), "plan"), shared_dir(spark, "tranches")
+    planned = spark.read.schema("case_id long, idx long").parquet(plan)
     done = spark.createDataFrame([], "case_id long, idx long, run_id string")
     for t in range(1, 4):
         files.append_run(ordering.tranche(planned, done, ["case_id", "idx"], [_F("case_id") % 7, "case_id", "idx"], _TRANCHE), path, f"t{t}")
