@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -280,15 +281,17 @@ def evidence_tier(valid: Column, exact: Column, flip: Column) -> Column:
 
 
 def pointer(json: Column | str, path: str) -> Column:
-    """The value at a JSON pointer, as a variant; null where it leads nowhere. A number names a field or, in an array, a place."""
+    """The value at a JSON pointer, as a variant; null where it leads nowhere. A number names a field or, in an array, a place; one with zeros in front only a field."""
     if path and not path.startswith("/"):
         raise ValueError(f"not a JSON pointer: {path}")
     at = F.try_parse_json(col(json))
     for part in path.split("/")[1:]:
         key = part.replace("~1", "/").replace("~0", "~")
-        quoted = key.replace("\\", "\\\\").replace("'", "\\'")
-        field = F.try_variant_get(at, f"$['{quoted}']", "variant")
-        at = F.coalesce(field, F.try_variant_get(at, f"$[{key}]", "variant")) if key.isdigit() else field
+        if key and not set(key) & set("'\"?\\"):
+            field = F.try_variant_get(at, f"$['{key}']", "variant")
+        else:  # a name that a path can't say
+            field = F.try_element_at(F.try_variant_get(at, "$", "map<string, variant>"), F.lit(key))
+        at = F.coalesce(field, F.try_variant_get(at, f"$[{key}]", "variant")) if re.fullmatch("0|[1-9][0-9]{0,8}", key) else field
     return at
 
 
