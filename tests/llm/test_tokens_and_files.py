@@ -38,6 +38,27 @@ def test_pieces_encode_as_whole_texts_do(library):
         assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_capitals_and_marks_are_not_taken_one_by_one(library):
+    letters = [c for c in map(chr, range(0x250)) if c.isalpha()]
+    words = [f"{a}{b}{marks}" for a, b, marks in zip(letters, [*letters[7:], *letters[:7]], [".", "$$$", "", ",###", "&%*!"] * len(letters))]
+    texts = [" ".join(words), None, "Êmenté$$$ ueta.### word.", "", " Ñarco,\tßß&&& word\x0b", *words]
+
+    class Watched(PieceEncoder):
+        taken: list = []
+
+        def _whole(self, pieces):
+            self.taken += pieces
+            return super()._whole(pieces)
+
+    encoder = Watched(vocabulary("word_bpe_49k.json"))
+    column = pa.array(["left out", *texts, "left out"]).slice(1, len(texts))
+    for given in (column, column.cast(pa.large_string()), texts):
+        got = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(given)]
+        assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    odd = [p for p in encoder.taken if any(c.isalpha() for c in p)]
+    assert len(odd) == len(set(odd)) and all(any(c == "İ" or c.lower() >= "\u0250" for c in p) for p in odd)
+
+
 def test_another_vocabulary_is_not_cut():
     from tokenizers import Tokenizer
 

@@ -47,7 +47,7 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
         out, file, size, nth, number = None, "", 0, 0, 0
         for batch in batches:
             files, places = [], []
-            for value in encode.encode(x.as_py() for x in batch.column(1)):
+            for value in encode.encode(batch.column(1)):
                 if out is None:
                     file, size, nth, number = f"part-{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}-{run}.bin", 0, 0, number + 1
                     out = system.open_output_stream(f"{path}/{file}")

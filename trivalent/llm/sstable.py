@@ -212,7 +212,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for doc_id, value in zip(ids, encode.encode(x.as_py() for x in batch.column(1)), strict=True):
+            for doc_id, value in zip(ids, encode.encode(batch.column(1)), strict=True):
                 if state[1] is None:
                     state[0] = system.open_output_stream(f"{path}/{name(state[2])}")
                     state[1], state[3] = Writer(state[0], encode.dtype.itemsize), doc_id
