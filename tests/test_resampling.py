@@ -45,6 +45,31 @@ def test_family_bootstrap_is_exact(spark):
     assert (rows["h"].lower, rows["h"].upper_share, rows["h"].joint_lower) == (0, None, None)
 
 
+def test_joint_shares_from_halves_are_those_of_all_outcomes():
+    rng = random.Random(3)
+    for top in (4, 30, 10**10):
+        for n in range(1, 9):
+            cells = collections.Counter((rng.randrange(-4, top), rng.choice([0, 0, 1, 2, 7, rng.randrange(50)])) for _ in range(n))
+            cells = [(v, m, c) for (v, m), c in cells.items()]
+            draws = list(itertools.product([(v, m) for v, m, c in cells for _ in range(c)], repeat=n)) if n < 6 else None
+            found = rs._ends_of_halves(cells, n, min(v for v, _, _ in cells))
+            if draws is None:
+                assert top > 30 or found == rs._ends_of_all(cells, n, min(v for v, _, _ in cells))
+            else:
+                shares = sorted(Fraction(sum(v for v, _ in d), sum(m for _, m in d)) for d in draws if sum(m for _, m in d))
+                assert found == ([shares[math.ceil(Fraction(k, 40) * len(shares)) - 1] for k in (1, 39)] if shares else [None, None])
+
+
+def test_joint_shares_of_a_family_that_dwarfs_the_others():
+    """Twenty families, one of half of all cases: packed into one number, this took some 10^10 digits."""
+    rng = random.Random(5)
+    cells = [(12707, 2892, 1)] + [(1200 + rng.randrange(-60, 60), 270 + rng.randrange(-40, 40), 1) for _ in range(19)]
+    low, high = rs._ends_of_halves(cells, 20, min(v for v, _, _ in cells))
+    draws = np.random.default_rng(1).multinomial(20, [1 / 20] * 20, 400_000)
+    drawn = (draws @ [v for v, _, _ in cells]) / (draws @ [m for _, m, _ in cells])
+    assert abs(np.mean(drawn <= float(low)) - 0.025) < 0.0015 and abs(np.mean(drawn <= float(high)) - 0.975) < 0.0015
+
+
 def cases(seed=4, n=240):
     rng = random.Random(seed)
     rows = []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import decimal
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -37,7 +38,7 @@ def power(counts: dict[int, int], n: int) -> dict[int, int]:
     return {p: int(s) for p, s in enumerate(slots) if s != zero}
 
 
-def _at(outcomes: list[tuple[Fraction, int]], share: Fraction, whole: int) -> Fraction | None:
+def _at(outcomes: list[tuple[Fraction | int, int]], share: Fraction, whole: int) -> Fraction | int | None:
     """The first outcome, in order, up to which this share of all draws lies."""
     reached = 0
     for x, ways in outcomes:
@@ -54,8 +55,7 @@ def family_bootstrap(df: DataFrame, groups: list[str], family: str, value: str,
     """The exact bootstrap distribution of as many drawn families as there are: of the sum of their values (whole numbers), and with `valid` of the share of valid ones.
 
     lower and upper are the ends of the 95% interval of the sum, lower_share and upper_share those over the valid count as
-    it is; joint_lower and joint_upper are of the share whose denominator is drawn with its numerator, by a generating function in
-    both (draws without a valid one have no share; null where none has). Families are counted by their value first, so a group's
+    it is; joint_lower and joint_upper are of the share whose denominator is drawn with its numerator, exact as well (draws without a valid one have no share; null where none has). Families are counted by their value first, so a group's
     task holds a row for each distinct outcome. All counts are whole numbers, so no end is moved by rounding.
     """
     sums = df.groupBy(*groups, family).agg(F.sum(value).cast("long").alias("v"), (F.sum(valid) if valid else F.lit(1)).cast("long").alias("m"))
@@ -69,30 +69,124 @@ def family_bootstrap(df: DataFrame, groups: list[str], family: str, value: str,
         one: dict[int, int] = {}
         for v, _, c in cells:
             one[v - least] = one.get(v - least, 0) + c
-        dist = [(Fraction(p + n * least), ways) for p, ways in sorted(power(one, n).items())]
+        dist = [(p + n * least, ways) for p, ways in sorted(power(one, n).items())]
         whole = n**n
-        row = [n, float(sum(x * w for x, w in dist) / whole), int(_at(dist, LOWER, whole)), int(_at(dist, UPPER, whole)), float(Fraction(sum(w for x, w in dist if x <= 0), whole))]
+        row = [n, float(Fraction(sum(x * w for x, w in dist), whole)), int(_at(dist, LOWER, whole)), int(_at(dist, UPPER, whole)), float(Fraction(sum(w for x, w in dist if x <= 0), whole))]
         row += _shares(cells, n, least, row[2], row[3]) if valid else [None] * 4
         return pd.DataFrame([[*(pdf[g].iloc[0] for g in groups), *row]], columns=[*groups, "families", "mean", "lower", "upper", "p_not_above_zero", *shares])
 
     return cells.groupBy(*groups).applyInPandas(exact, schema)
 
 
+#: Up to so many families half of the draws have fewer than 2^62 ways, and shares are found from halves; above, from one packed number.
+HALVES = 26
+Sums = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 def _shares(cells: list[tuple[int, int, int]], n: int, least: int, lower: int, upper: int) -> list[float | None]:
-    """Ends over the valid count as it is, and of the share drawn with its denominator: the place of x^v y^m is v + step * m."""
+    """Ends over the valid count as it is, and of the share drawn with its denominator."""
     given = sum(m * c for _, m, c in cells)
+    ends = (_ends_of_halves if n <= HALVES else _ends_of_all)(cells, n, least)
+    return [float(Fraction(x, given)) if given else None for x in (lower, upper)] + [None if x is None else float(x) for x in ends]
+
+
+def _ends_of_all(cells: list[tuple[int, int, int]], n: int, least: int) -> list[Fraction | None]:
+    """The ends from all outcomes: the place of x^v y^m is v + step * m."""
     step = (max(v for v, _, _ in cells) - least) * n + 1
     both: dict[int, int] = {}
     for v, m, c in cells:
         both[v - least + step * m] = both.get(v - least + step * m, 0) + c
-    drawn = [(p % step + n * least, p // step, ways) for p, ways in power(both, n).items()]
     shares: dict[Fraction, int] = {}
-    for v, m, ways in drawn:
-        if m > 0:
-            shares[Fraction(v, m)] = shares.get(Fraction(v, m), 0) + ways
+    for p, ways in power(both, n).items():
+        if p >= step:
+            x = Fraction(p % step + n * least, p // step)
+            shares[x] = shares.get(x, 0) + ways
     dist, whole = sorted(shares.items()), sum(shares.values())
-    ends = [_at(dist, LOWER, whole), _at(dist, UPPER, whole)] if dist else [None, None]
-    return [float(Fraction(x, given)) if given else None for x in (lower, upper)] + [None if x is None else float(x) for x in ends]
+    return [_at(dist, LOWER, whole), _at(dist, UPPER, whole)] if dist else [None, None]
+
+
+def _sums(cells: list[tuple[int, int, int]], draws: int, least: int) -> Sums:
+    """The sums of v and m over so many draws, and in how many ways each comes about; cell by cell, so that no order of draws is listed."""
+    span = draws * max(m for _, m, _ in cells) + 1
+    fits = (max(v for v, _, _ in cells) - least) * (draws + 1) * span < 2**62
+    known = {0: (np.zeros(1, np.int64 if fits else object), np.ones(1, np.int64))}
+    for i, (v, m, c) in enumerate(cells, 1):
+        grown = {}
+        for u in range(draws + 1) if i < len(cells) else (draws,):
+            parts = [(known[u - t][0] + t * ((v - least) * span + m), known[u - t][1] * (math.comb(u, t) * c**t)) for t in range(u + 1) if u - t in known]
+            place, ways = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(place, kind="stable")
+            place, ways = place[order], ways[order]
+            first = np.flatnonzero(np.diff(place, prepend=-1))
+            grown[u] = place[first], np.add.reduceat(ways, first)
+        known = grown
+    place, ways = known[draws]
+    return place // span + draws * least, place % span, ways
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> int:
+    """The exact sum of products of numbers below 2^63, by limbs of 21 bits; at most 2^20 of them."""
+    limbs = lambda x: [(x >> 21 * i) & 0x1FFFFF for i in range(3)]
+    return sum(int(x @ y) << 21 * (i + j) for i, x in enumerate(limbs(a)) for j, y in enumerate(limbs(b)))
+
+
+def _not_above(k: int, bits: int, left: Sums, right: Sums) -> int:
+    """In how many ways a sum of both halves has v * 2^bits <= k * m. Sorts left, so that the next k near by finds it almost in order."""
+    wide = any(abs(k) * int(m.max()) + (int(np.abs(v).max()) << bits) >= 2**62 for v, m, _ in (left, right))
+    exact = lambda x: x.astype(object) if wide else x
+    order = np.argsort(exact(left[0]) * (1 << bits) - exact(left[1]) * k, kind="stable")
+    for x in left:
+        x[:] = x[order]
+    del order
+    place, ways = exact(left[0]) * (1 << bits) - exact(left[1]) * k, np.concatenate([[0], np.cumsum(left[2])])
+    found = 0
+    for i in range(0, len(right[0]), 1 << 20):
+        v, m, w = (x[i : i + (1 << 20)] for x in right)
+        found += _dot(w, ways[np.searchsorted(place, exact(m) * k - exact(v) * (1 << bits), side="right")])
+    return found
+
+
+def _ends_of_halves(cells: list[tuple[int, int, int]], n: int, least: int) -> list[Fraction | None]:
+    """The ends from the outcomes of half of the draws: whole numbers count the draws up to a share, of which two halves make each.
+
+    Shares of denominators up to `most` lie further apart than 2^-bits, so a step of that size in which the count passes
+    what is wanted holds one share. Memory is that of the sums that half of the draws can have, never of all their pairs.
+    """
+    none = sum(c for _, m, c in cells if m == 0) ** n
+    if not (whole := sum(c for *_, c in cells) ** n - none):
+        return [None, None]
+    left = _sums(cells, n // 2, least)
+    right = left if n % 2 == 0 else _sums(cells, n - n // 2, least)
+    zero = [tuple(x[half[1] == 0] for x in half) for half in (left, right)]
+    below = _not_above(0, 0, *zero) if all(len(z[0]) for z in zero) else 0  # without a valid one, and a sum up to zero
+    most = n * max(m for _, m, _ in cells)
+    bits = 2 * most.bit_length() + 1
+    guess = (sum(v * c for v, _, c in cells) << bits) // sum(m * c for _, m, c in cells)
+
+    def end(share: Fraction) -> Fraction:
+        need = math.ceil(share * whole)
+        over = lambda k: _not_above(k, bits, left, right) - below - need
+        low = high = guess
+        wide = abs(guess) // 8 + 1
+        at_low = at_high = over(guess)
+        while at_low >= 0:
+            high, at_high, low, wide = low, at_low, low - wide, wide * 2
+            at_low = over(low)
+        while at_high < 0:
+            low, at_low, high, wide = high, at_high, high + wide, wide * 2
+            at_high = over(high)
+        a, b, turn = Fraction(at_low), Fraction(at_high + 1), 0
+        while high - low > 1:  # by the line between the ends, an end that stays weighing half; each third time in the middle
+            turn += 1
+            k = (low + high) // 2 if turn % 3 == 0 else low + int((high - low) * (-a / (b - a)))
+            k = min(max(k, low + 1), high - 1)
+            if (at := over(k)) < 0:
+                low, a, b = k, Fraction(at), b / 2
+            else:
+                high, b, a = k, Fraction(at + 1), a / 2
+        return Fraction(low + high, 2 << bits).limit_denominator(most)
+
+    return [end(LOWER), end(UPPER)]
 
 
 def _statistic(kind: str, values: np.ndarray, y: np.ndarray, times: np.ndarray) -> np.ndarray:
