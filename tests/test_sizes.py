@@ -1,11 +1,13 @@
 """Results at ties and of rare combinations, and work that is dealt out, on tables made for it."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from trivalent.operators import assembly
+from trivalent.streaming import audit as live
 
 
 @pytest.fixture
@@ -28,3 +30,45 @@ def test_links_of_one_prefix_are_many_tasks(shuffled):
     want = [(i, r, f"run-{r}") for i, r in itertools.product(range(300), range(20))] + [(300, 7, "run-7"), (301, 99, None), (302, None, None), (303, None, None)] + [(304, 8, "run-8")] * 20
     assert sorted(map(str, ((r.link, r.run, r.run_id) for r in found))) == sorted(map(str, want))
     assert len({r.task for r in found if r.link < 300}) > 4
+
+
+class Store:
+    """A value and a map of the state store in memory, with the number of calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.map = 0, None, {}
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.map[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.map[key] = value
+
+
+def test_a_batch_calls_the_state_store_for_pages_not_for_entries(monkeypatch):
+    store, rng, plain = Store(), random.Random(2), live.Notes()
+    notes = live.StoredNotes(store, store)
+    for i in range(1000):
+        notes.first("asked", f"k{i}", (None, f"v{i}"))
+    notes.write()
+    assert store.calls == 3  # what is there, a page, what is there now
+    monkeypatch.setattr(live, "PAGE", 20)
+    store = Store()
+    for _ in range(40):
+        notes = live.StoredNotes(store, store)
+        for _ in range(30):
+            at = rng.choice(["a", "b"]), rng.choice([None, *map(str, range(300))])
+            assert notes.get(*at) == plain.get(*at)
+            for n in (notes, plain):
+                n.first(*at, (at[1], "x\u2028\"" + at[0]))
+        notes.write()
+    assert store.value[1] == len(plain.entries) and store.value[0] * 20 >= len(plain.entries) and len(store.map) == store.value[0]

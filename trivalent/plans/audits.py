@@ -108,6 +108,7 @@ def checkpoint_protocol(spark, sf):
 def stream_checkpoint_protocol(spark, sf):
     """The same checkpoints, judged while they are read."""
     planned, runs = _plans(spark, sf)
-    written = streams.stored(_lives(fx.table(spark, sf, "events")).unionByName(_frames(runs, planned)), "checkpoints")
+    events = _lives(fx.table(spark, sf, "events")).unionByName(_frames(runs, planned))
+    written = streams.stored(events.repartition("run"), "checkpoints")  # a run in one file, so in order however many files a batch has
     events = audit.with_plan(streams.read_table(spark, written), planned, runs)
     return streams.drain(live_audit.faults(events))

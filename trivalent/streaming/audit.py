@@ -1,15 +1,20 @@
 """The audit of checkpoints while they are written: what a run has said is state, and each event is judged as it comes.
 
-A run's requests, segments, sources and inputs are entries of one map in the state store, so a long run is no one value
-that is read and written whole. The events of a run must come in order from one micro-batch to the next; within one they
-are put in order.
+A run's requests, segments, sources and inputs are entries of pages in the state store, packed. A micro-batch reads and
+writes each page that it touches once, not each entry; a run has more pages as it grows, so a long run is no one value that is
+read and written whole. The events of a run must come in order from one micro-batch to the next; within one they are put in order.
 """
 
 from __future__ import annotations
 
+import json
+import zlib
+from collections import namedtuple
 from collections.abc import Iterator
+from operator import attrgetter
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -38,22 +43,54 @@ class Notes:
             self.put(kind, key, value)
 
 
+#: Entries that a page has on average before a run's pages are doubled.
+PAGE = 4096
+
+
 class StoredNotes(Notes):
-    """Notes in a map of the state store."""
+    """Notes of one run in one micro-batch: its pages in the state store (a map from number to packed entries), of which head has how many they are and how many entries."""
 
-    def __init__(self, store) -> None:
-        self.store = store
+    def __init__(self, head, store) -> None:
+        self.head, self.store, self.pages, self.changed = head, store, {}, set()
+        known = head.get()
+        self.n_pages, self.size = known or (1, 0)
+        if known is None:
+            self.pages[0] = {}
 
     @staticmethod
-    def _key(kind: str, key: str | None) -> tuple[str, str]:
-        return kind, "\0" if key is None else key
+    def _at(entry: tuple[str, str | None], n_pages: int) -> int:
+        return zlib.crc32(json.dumps(entry).encode()) % n_pages if n_pages > 1 else 0
+
+    def _page(self, at: int) -> dict[tuple[str, str | None], Pair]:
+        if at not in self.pages:
+            self.pages[at] = {(kind, key): (a, b) for kind, key, a, b in json.loads(zlib.decompress(self.store.getValue((at,))[0]))}
+        return self.pages[at]
 
     def get(self, kind: str, key: str | None = None) -> Pair | None:
-        at = self._key(kind, key)
-        return tuple(self.store.getValue(at)) if self.store.containsKey(at) else None
+        return self._page(self._at((kind, key), self.n_pages)).get((kind, key))
 
     def put(self, kind: str, key: str | None = None, value: Pair = ("", "")) -> None:
-        self.store.updateValue(self._key(kind, key), value)
+        at = self._at((kind, key), self.n_pages)
+        page = self._page(at)
+        self.size += (kind, key) not in page
+        page[kind, key] = value
+        self.changed.add(at)
+
+    def write(self) -> None:
+        """Into the state store, what has changed; with more pages if they are full."""
+        if not self.changed:
+            return
+        if self.size > PAGE * self.n_pages:
+            entries = [x for at in range(self.n_pages) for x in self._page(at).items()]
+            while self.size > PAGE * self.n_pages:
+                self.n_pages *= 2
+            self.pages = {at: {} for at in range(self.n_pages)}
+            for entry, value in entries:
+                self.pages[self._at(entry, self.n_pages)][entry] = value
+            self.changed = set(self.pages)
+        for at in self.changed:
+            self.store.updateValue((at,), (zlib.compress(json.dumps([(*entry, *value) for entry, value in self.pages[at].items()]).encode(), 1),))
+        self.head.update((self.n_pages, self.size))
 
 
 def _request(e: Row, notes: Notes, add) -> None:
@@ -122,14 +159,21 @@ def judge(e: Row, notes: Notes) -> list[str]:
 
 
 class Auditor(StatefulProcessor):
+    """Rows have an event each, as JSON: of a row of many columns each column would be taken to Python for itself."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        text = T.StringType()
-        self.notes = StoredNotes(handle.getMapState("notes", T.StructType([T.StructField("kind", text), T.StructField("key", text)]), T.StructType([T.StructField("a", text), T.StructField("b", text)])))
+        self.head = handle.getValueState("head", "pages long, entries long")
+        self.store = handle.getMapState("pages", "page long", "entries binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for e in sorted(rows, key=lambda e: e.at):
-            for fault in judge(e, self.notes):
+        rows = [json.loads(r.event) for r in rows]
+        event = namedtuple("Event", rows[0])._make
+        notes = StoredNotes(self.head, self.store)
+        for e in sorted((event(r.values()) for r in rows), key=attrgetter("at")):
+            e = e if e.score is None else e._replace(score=float(e.score))  # JSON names what is no number
+            for fault in judge(e, notes):
                 yield Row(run=key[0], at=e.at, fault=fault)
+        notes.write()
 
     def close(self) -> None:
         pass
@@ -138,4 +182,5 @@ class Auditor(StatefulProcessor):
 def faults(events: DataFrame) -> DataFrame:
     """(run, at, fault) of a stream of events with their plan, as `operators.audit.with_plan` joins it."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)  # maps are a matter of this store
-    return events.groupBy("run").transformWithState(statefulProcessor=Auditor(), outputStructType=T.StructType.fromDDL(FAULTS), outputMode="Append", timeMode="None")
+    packed = events.select("run", F.to_json(F.struct(*[c for c in events.columns if c != "run"]), {"ignoreNullFields": "false"}).alias("event"))
+    return packed.groupBy("run").transformWithState(statefulProcessor=Auditor(), outputStructType=T.StructType.fromDDL(FAULTS), outputMode="Append", timeMode="None")
