@@ -114,3 +114,11 @@ def test_a_batch_calls_the_state_store_for_pages_not_for_entries(monkeypatch):
                 n.first(*at, (at[1], "x\u2028\"" + at[0]))
         notes.write()
     assert store.value[1] == len(plain.entries) and store.value[0] * 20 >= len(plain.entries) and len(store.map) == store.value[0]
+
+
+def test_derivation_moves_no_segment_of_what_is_dealt_out_by_a_key(shuffled):
+    rows = shuffled.createDataFrame([(c, str(i % 3), i) for c in range(6) for i in range(5)], "k long, sha string, seg long").repartition("k").withColumns({"b": F.col("seg"), "e": F.col("seg") + 1})
+    found = assembly.derive(rows.where("seg < 4"), rows.where("seg > 0").withColumn("b", F.when(F.col("seg") != 3, F.col("b"))), ["k", "sha"], "seg", "b", "e")
+    want = {0: (None, "ambiguous"), 1: (1, "derived"), 2: (2, "derived"), 3: (None, "ambiguous")}  # as a source 3 has no place, so it is a match of both 0 and 3
+    assert sorted(map(tuple, found.collect())) == sorted((seg, *x) for seg, x in want.items() for _ in range(6))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 2  # one for each side's rows

@@ -193,32 +193,29 @@ def derive(target: DataFrame, source: DataFrame, keys: list[str], segment: str,
     Segments match if the keys are equal, nulls too, and the offsets (begin, end), unless either side has none. status is
     derived; missing, without any match; or ambiguous, where target or source has several, which is told and never decided by order.
     Matches are counted from groups of equal keys and offsets, not by listing pairs, so a text that repeats costs a row a segment.
+    Both sides go into windows over the keys as one table, so they are dealt out by the keys once; where target and source come
+    from rows that were dealt out by some of the keys already (`repartition`), no segment is moved at all.
     """
-    def placed(rows: DataFrame, name: str) -> DataFrame:
-        free = F.col(begin).isNull() | F.col(end).isNull()
-        place = F.when(free, None).otherwise(F.struct(F.col(begin).cast("long").alias("b"), F.col(end).cast("long").alias("e")))
-        return rows.select(F.struct(*[F.col(k) for k in keys]).alias("key_"), place.alias("place_"), F.col(segment).alias(name))
-
-    def tallied(rows: DataFrame, name: str, prefix: str) -> tuple[DataFrame, DataFrame]:
-        """Of each key and place, how many there are and the least; and of the key, how many have a place, none, and the least of either."""
-        each = rows.groupBy("key_", "place_").agg(F.count("*").alias("n"), F.min(name).alias("one"))
-        whole = rows.groupBy("key_").agg(F.count("*").alias("all"), F.count_if(F.col("place_").isNull()).alias("free"), F.min(F.when(F.col("place_").isNull(), F.col(name))).alias("free_one"), F.min(name).alias("any_one"))
-        return each.select(F.col("key_").alias("k"), F.col("place_").alias("p"), F.col("n").alias(f"{prefix}n"), F.col("one").alias(f"{prefix}one")), whole.select(F.col("key_").alias("wk"), *[F.col(c).alias(f"{prefix}{c}") for c in ("all", "free", "free_one", "any_one")])
-
-    def matched(rows: DataFrame, others: DataFrame, name: str, other: str) -> DataFrame:
-        """Each row with the number of its matches on the other side, and the match where it is one."""
-        each, whole = tallied(others, other, "o_")
-        rows = rows.join(whole, F.col("key_").eqNullSafe(F.col("wk")), "left").join(each, F.col("key_").eqNullSafe(F.col("k")) & F.col("place_").eqNullSafe(F.col("p")) & F.col("place_").isNotNull(), "left")
-        some = lambda c: F.coalesce(c, F.lit(0))
-        n = F.when(F.col("place_").isNull(), some("o_all")).otherwise(some("o_n") + some("o_free"))
-        one = F.when(F.col("place_").isNull(), F.col("o_any_one")).otherwise(F.coalesce("o_one", "o_free_one"))
-        return rows.select(name, n.alias(f"{name}_matches"), F.when(n == 1, one).alias(f"{name}_match"))
-
-    t, s = placed(target, "t_"), placed(source, "s_")
-    ours, theirs = matched(t, s, "t_", "s_"), matched(s, t, "s_", "t_")
-    both = ours.join(theirs.select("s_", "s__matches"), ours["t__match"] == theirs["s_"], "left")
-    status = F.when(F.col("t__matches") == 0, "missing").when((F.col("t__matches") == 1) & (F.col("s__matches") == 1), "derived").otherwise("ambiguous")
-    return both.select(F.col("t_").alias(segment), F.when(status == "derived", F.col("t__match")).alias("source"), status.alias("status"))
+    names = [f"key{i}_" for i in range(len(keys))]
+    free = F.col(begin).isNull() | F.col(end).isNull()
+    at = F.when(~free, F.struct(F.col(begin).cast("long").alias("b"), F.col(end).cast("long").alias("e")))
+    side = lambda rows, own: rows.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.lit(own).alias("target_"), at.alias("place_"), F.col(segment).alias("one_"))
+    mine, other, loose = F.col("target_"), ~F.col("target_"), F.col("place_").isNull()
+    n, one = (lambda test: F.count_if(test)), (lambda test: F.min(F.when(test, F.col("one_"))))
+    spot, key = Window.partitionBy(*names, "place_"), Window.partitionBy(*names)
+    rows = side(target, True).unionByName(side(source, False))
+    rows = rows.withColumns({"t_here": n(mine).over(spot), "s_here": n(other).over(spot), "s_one": one(other).over(spot)})
+    rows = rows.withColumns({
+        "t_all": n(mine).over(key), "t_free": n(mine & loose).over(key), "s_all": n(other).over(key), "s_free": n(other & loose).over(key), "free_one": one(other & loose).over(key),
+        "any_one": one(other).over(key), "t_there": F.max(F.when(other & ~loose, F.col("t_here"))).over(key),
+    })
+    rows = rows.where("target_")
+    matches = F.when(loose, F.col("s_all")).otherwise(F.col("s_here") + F.col("s_free"))
+    match = F.when(loose, F.col("any_one")).otherwise(F.coalesce(F.when(F.col("s_here") > 0, F.col("s_one")), F.col("free_one")))
+    # how many targets the one match has: one without a place has all, one with a place those there and those without
+    back = F.when(~loose & (F.col("s_here") > 0), F.col("t_here") + F.col("t_free")).when(F.col("s_free") > 0, F.col("t_all")).otherwise(F.col("t_there") + F.col("t_free"))
+    status = F.when(matches == 0, "missing").when((matches == 1) & (back == 1), "derived").otherwise("ambiguous")
+    return rows.select(F.col("one_").alias(segment), F.when(status == "derived", match).alias("source"), status.alias("status"))
 
 
 def derived_run(derivation: DataFrame, observations: DataFrame, segment: str, identity: dict[str, Column]) -> DataFrame:
