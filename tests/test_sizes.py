@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from trivalent.operators import assembly, behavior
+from trivalent.operators import assembly, behavior, metrics
 from trivalent.plans import catalog
 from trivalent.streaming import audit as live
 
@@ -132,3 +132,14 @@ def test_payloads_after_a_very_long_word_take_no_square_of_its_length(spark):
     found = behavior.payload_span(df, "c", "a").select("start", "stop", "payload").collect()
     assert sorted(map(tuple, found), key=str) == [(400_001, 400_009, "halfXYZ "), (None, None, None)]
     assert time.perf_counter() - began < 30
+
+
+def test_pairs_of_runs_are_made_last_and_by_shares(shuffled):
+    rows = [(r, "e", "r", "d", "all", "all", None if r % 2 else 5, "full_text" if r % 3 else "window", r % 3 != 1) for r in range(24)]
+    runs = shuffled.createDataFrame(rows, "run long, engine string, rule string, dataset string, selector string, turn_selection string, case_limit long, strategy string, segmenting boolean")
+    seen = [(r, c, (r + c) % 3 == 0) for r in range(24) for c in range(r % 4, 5)]
+    found = metrics.full_and_window_runs(runs, shuffled.createDataFrame(seen, "run long, case_id long, flagged boolean"))
+    want = [(f[0], w[0], c, x, y) for f, w in itertools.product(rows, rows) if f[7] == "full_text" and w[8] and f[6] == w[6] and f[0] != w[0] for r, c, x in seen if r == f[0] for s, d, y in seen if (s, d) == (w[0], c)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    last = next(x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x)
+    assert "share_" in last and len({r.task for r in found.select(F.spark_partition_id().alias("task")).collect()}) > 4

@@ -112,19 +112,29 @@ def distribution(value: str) -> list[Column]:
     return [F.count(value).alias("n"), *[F.round(v.cast("double"), 4).alias(k) for k, v in each.items()]]
 
 
+#: Into so many shares the whole-text runs of one kind and case are dealt, each of which meets all segmenting runs of it.
+SHARES = 32
+
+
 def full_and_window_runs(runs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Cases of whole-text runs beside those of segmenting runs of the same engine, rule, data, selector, turn selection and limit (no limit is a limit too), another run always.
 
     runs: run, engine, rule, dataset, selector, case_limit, turn_selection, strategy (`full_text` or another), segmenting. verdicts: run, case_id, flagged.
+
+    Verdicts take on what their run is like and meet by that and the case, in one join: there are as many rows as pairs of alike runs
+    times their cases, and no step moves or keeps them. The whole-text side is dealt into shares, to each of which the other is copied.
     """
     same = ["engine", "rule", "dataset", "selector", "turn_selection"]
-    side = lambda rows, p: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in ("run", *same, "case_limit")])
-    full, window = side(runs.where("strategy = 'full_text'"), "f"), side(runs.where("segmenting"), "w")
-    alike = [F.col(f"f_{c}") == F.col(f"w_{c}") for c in same]
-    pairs = full.join(window, [*alike, F.col("f_case_limit").eqNullSafe(F.col("w_case_limit")), F.col("f_run") != F.col("w_run")])
-    flags = lambda p, name: verdicts.select(F.col("run").alias(f"{p}_run"), "case_id", F.col("flagged").alias(name))
-    cases = pairs.select(F.col("f_run"), F.col("w_run")).join(flags("f", "full_flagged"), "f_run")
-    return cases.join(flags("w", "window_flagged"), ["w_run", "case_id"]).select(F.col("f_run").alias("full_run"), F.col("w_run").alias("window_run"), "case_id", "full_flagged", "window_flagged")
+
+    def side(rows: DataFrame, run: str, flag: str) -> DataFrame:
+        # a limit that is null is equal to another: two plain keys in its place
+        alike = rows.select("run", *same, F.col("case_limit").isNull().alias("no_limit_"), F.coalesce("case_limit", F.lit(0)).alias("limit_"))
+        return verdicts.select("run", "case_id", F.col("flagged").alias(flag)).join(alike, "run").withColumnRenamed("run", run)
+
+    full = side(runs.where("strategy = 'full_text'"), "full_run", "full_flagged").withColumn("share_", F.pmod(F.hash("full_run"), F.lit(SHARES)))
+    window = side(runs.where("segmenting"), "window_run", "window_flagged").withColumn("share_", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    met = full.join(window, [*same, "no_limit_", "limit_", "case_id", "share_"]).where(F.col("full_run") != F.col("window_run"))
+    return met.select("full_run", "window_run", "case_id", "full_flagged", "window_flagged")
 
 
 def bands(score: str, edges: list[float]) -> list[Column]:
